@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import neardup
+from quillmark.llm import leaks, neardup, vectors
 from quillmark.session import table
 
 
@@ -26,5 +26,18 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p4_found": p4_found}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.mutual(vectors.nearest(table(spark, sf, "langchain_pg_embedding"), "id", "collection_id", "embedding", k=10, min_cosine=0.9))
+
+
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    found = vectors.nearest(table(spark, sf, "langchain_pg_embedding"), "id", "collection_id", "embedding", k=10)
+    return found.select(F.col("grp").alias("collection_id"), "id", "neighbour", F.round("cosine", 3).alias("cosine"), "rank")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), tokens=12, edits=0).select("item_id", "doc_id")
+
+
+QUERIES = {"p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL: dict[str, str] = {}

@@ -16,10 +16,10 @@ HASH_BITS = 54
 ROWS = 1 << (64 - HASH_BITS)  # rows a block, so that row and hash fit one word
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-_class = np.zeros(256, np.uint8)
+TOKEN_CLASS = np.zeros(256, np.uint8)
 for _a, _b in ((48, 58), (97, 123)):
-    _class[_a:_b] = np.arange(_a, _b)
-_class[65:91] = np.arange(97, 123)
+    TOKEN_CLASS[_a:_b] = np.arange(_a, _b)
+TOKEN_CLASS[65:91] = np.arange(97, 123)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,20 +38,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of an array of strings: row of each token, its hash, and its ordinal's first byte in the joined buffer; in order."""
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts and each text's offset in them; texts with one of the two letters outside ASCII whose lower case holds an ASCII letter (Kelvin
+    sign, dotted capital I) are lower-cased first, all others may be by their ASCII letters alone."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(texts) or offsets[-1] == offsets[0]:
-        e = np.empty(0, np.int64)
-        return e, np.empty(0, np.uint64), e
+        return np.empty(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    # two letters outside ASCII have an ASCII letter in their lower case: the Kelvin sign and the dotted capital I
     if ((raw[:-2] == 0xE2) & (raw[1:-1] == 0x84) & (raw[2:] == 0xAA)).any() or ((raw[:-1] == 0xC4) & (raw[1:] == 0xB0)).any():
-        return token_hashes(pa.array([None if t is None else t.lower() for t in texts.to_pylist()], pa.large_string()))
-    offsets = offsets - offsets[0]
+        return lowered(pa.array([None if t is None else t.lower() for t in texts.to_pylist()], pa.large_string()))
+    return raw, offsets - offsets[0]
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an array of strings: row of each token, its hash, and its ordinal's first byte in the joined buffer; in order."""
+    raw, offsets = lowered(texts)
+    if not len(raw):
+        e = np.empty(0, np.int64)
+        return e, np.empty(0, np.uint64), e
     c = np.empty(len(raw) + 1, np.uint8)
-    c[0], c[1:] = 0, _class[raw]
+    c[0], c[1:] = 0, TOKEN_CLASS[raw]
     ok = c != 0
     start = np.zeros(len(raw), bool)
     start |= ok[1:] & ~ok[:-1]
