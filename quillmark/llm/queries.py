@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import leaks, neardup, vectors
+from quillmark.llm import leaks, neardup, pairs, vectors
 from quillmark.session import table
 
 
@@ -39,5 +39,9 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), tokens=12, edits=0).select("item_id", "doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defects(table(spark, sf, "qa_slice_bm25"))
+
+
+QUERIES = {"p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL: dict[str, str] = {}
