@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import leaks, neardup, pairs, vectors
+from quillmark.llm import leaks, neardup, pairs, pii, vectors
 from quillmark.session import table
 
 
@@ -43,5 +43,13 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.defects(table(spark, sf, "qa_slice_bm25"))
 
 
-QUERIES = {"p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.spans(table(spark, sf, "documents"), table(spark, sf, "name_list")).select("doc_id", "kind", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_list"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL: dict[str, str] = {}
