@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from quillmark.plans import references
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _part in (references,):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
