@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import leaks, neardup, pairs, pii, vectors
+from quillmark.llm import leaks, neardup, pairs, pii, quality, vectors
 from quillmark.session import table
 
 
@@ -17,6 +17,14 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "sections").withColumn("parent_id", section_key())
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.not_prose(sections(spark, sf), "parent_id", "text", "title")
+
+
+def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.text_statistics(sections(spark, sf), "parent_id", "text", "title")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, df in (("sections", sections(spark, sf).select(F.col("parent_id").alias("id"), "text")), ("chunks", table(spark, sf, "chunks").select("id", "text"))):
@@ -51,5 +59,5 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_list"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+QUERIES = {"p2_found": p2_found, "p2_statistics": p2_statistics, "p10_found": p10_found, "p10_redacted": p10_redacted, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL: dict[str, str] = {}
