@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import leaks, neardup, pairs, pii, quality, vectors
+from quillmark.llm import leaks, neardup, pairs, pii, quality, scans, vectors
 from quillmark.session import table
 
 
@@ -25,6 +25,21 @@ def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.text_statistics(sections(spark, sf), "parent_id", "text", "title")
 
 
+def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
+    a = sections(spark, sf).where(F.col("source").startswith("archive/")).select(F.lit("sections").alias("tbl"), F.col("parent_id").alias("item_id"), "text", F.lit(0).alias("first"))
+    b = table(spark, sf, "parse_failures").select(F.lit("parse_failures").alias("tbl"), F.col("doc_id").alias("item_id"), F.col("reason").alias("text"), F.lit(1).alias("first"))
+    return a.unionByName(b).distinct()
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.found(scans.repairs(scanned_pages(spark, sf)))
+
+
+def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    pages = scanned_pages(spark, sf)
+    return scans.paragraphs(pages, scans.repairs(pages))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, df in (("sections", sections(spark, sf).select(F.col("parent_id").alias("id"), "text")), ("chunks", table(spark, sf, "chunks").select("id", "text"))):
@@ -59,5 +74,5 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_list"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_statistics": p2_statistics, "p10_found": p10_found, "p10_redacted": p10_redacted, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p10_found": p10_found, "p10_redacted": p10_redacted, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL: dict[str, str] = {}
