@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmark.plans import references
+from quillmark.plans import references, retrieval
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (references,):
+for _part in (references, retrieval):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
