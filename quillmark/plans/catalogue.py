@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmark.plans import references, retrieval
+from quillmark.plans import project, references, retrieval
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (references, retrieval):
+for _part in (references, retrieval, project):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
