@@ -4,8 +4,9 @@ fixed-size subsets, heavy sets scan inverted lists).
 Every text becomes the set of its runs of `width` consecutive tokens. Shingles get one global
 order, rarest first, by a counting sketch of fixed size over *all* texts (any order gives the same
 result; the sketch only makes the lists short). If two sets a, b reach similarity t, their overlap
-is at least o = ceil(t * max(|a|, |b|)), and the first |s| - ceil(t |s|) + c shingles of each share
-at least min(c, o): an overlap join with the fixed threshold c = 2. For it
+is at least o = ceil(t * max(|a|, |b|)), and the first |s| - ceil(t |s|) + c shingles of each
+share at least min(c, o): an overlap join with the fixed threshold c (2; up to 6 for
+large sets). For it
 
 * light sets (short prefix) emit every c-subset of the prefix: sharing one is enough;
 * heavy sets, and light sets that a heavy one may match, emit single shingles into inverted lists,
@@ -33,14 +34,19 @@ from quillmark.llm.shingles import HASH_BITS, M1, blocks, mix, shingle_sets
 from quillmark.session import written
 
 SKETCH_BITS = 20
-SUBSET = 2
+SUBSET, MOST_MEETINGS = 2, 6
 LOW = np.uint64((1 << HASH_BITS) - 1)
 LEVEL_SHIFT = np.uint64(HASH_BITS - 8)
 REST = np.uint64((1 << (HASH_BITS - 8)) - 1)
 
 
-def prefix_length(n: np.ndarray, t: float, c: int = SUBSET) -> np.ndarray:
-    return np.minimum(n, n - np.ceil(t * n - 1e-9).astype(np.int64) + c)
+def required(n: np.ndarray) -> np.ndarray:
+    """How often a pair must meet whose smaller set has n shingles: 2, and for larger sets up to 6, which costs little longer prefixes and drops most chance pairs."""
+    return np.clip(SUBSET + (n - 64) // 32, SUBSET, MOST_MEETINGS)
+
+
+def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
+    return np.minimum(n, n - np.ceil(t * n - 1e-9).astype(np.int64) + required(n))
 
 
 def _merged(parts: DataFrame, dtype: type, bits: int, block: int) -> np.ndarray:
@@ -166,7 +172,7 @@ def _fold(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def scan(postings: DataFrame, t: float, partitions: int) -> DataFrame:
-    """postings (sig, n, h, bits) -> (a, b, sure): pairs of sets that meet in a list and that size and bitmap allow, once a list. Lists are streamed in the
+    """postings (sig, n, h, bits) -> (a, b, times, need): pairs of sets that meet in a list and that size and bitmap allow, once a list. Lists are streamed in the
     order of size; only the part of the current list that the size bound still reaches is kept."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +218,12 @@ def scan(postings: DataFrame, t: float, partitions: int) -> DataFrame:
                         good[i] = far <= (n[z[i]] + n[y[i]]) * ((1 - t) / (1 + t)) + 1e-9
                 z, y = z[good], y[good]
                 if len(z):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(h[z], h[y])), "b": pa.array(np.maximum(h[z], h[y])), "sure": pa.array((sig[z] & 1).astype(np.int32) + 1)})
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(h[z], h[y])), "b": pa.array(np.maximum(h[z], h[y])), "times": pa.array(np.where(sig[z] & 1, MOST_MEETINGS, 1).astype(np.int32)), "need": pa.array(required(n[y]).astype(np.int32))})
             last = (sig == sig[-1]) & (n >= t * n[-1] - 1e-9)
             kept = [x[last] for x in now]
 
     ordered = postings.repartition(partitions, "sig").sortWithinPartitions("sig", "n", "h")
-    return ordered.mapInArrow(walk, "a bigint, b bigint, sure int")
+    return ordered.mapInArrow(walk, "a bigint, b bigint, times int, need int")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, least_tokens: int | None = None, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -238,7 +244,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     sets = signatures(src, width, least, threshold, shared, limit)
     postings = sets.select(F.explode("sigs").alias("sig"), "n", "h", "bits")
     met = scan(postings, threshold, partitions)
-    pairs = written(met.groupBy("a", "b").agg(F.sum("sure").alias("times")).where(F.col("times") >= SUBSET).select("a", "b"))
+    pairs = written(met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b"))
     classes = written(sets.select("key", "h").distinct())
     return classes, _verified(src, classes, pairs, width, least, threshold)
 
