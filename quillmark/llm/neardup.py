@@ -277,7 +277,8 @@ def _bloom(hashes: DataFrame, bits: int = 23) -> np.ndarray:
 
 
 def _verified(src: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: int, t: float) -> DataFrame:
-    """The pairs whose whole sets reach t. Only texts that are in a candidate (by a filter of fixed size on their keys, then exactly) are read into sets again."""
+    """The pairs whose whole sets reach t. Sets travel as the low 32 bits of their hashes (two of a pair's few hundred shingles fall together about once in
+    100,000 pairs, and then count as one). Only texts that are in a candidate (by a filter of fixed size on their keys, then exactly) are read into sets again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     owners = written(classes.groupBy("h").agg(F.min("key").alias("key")).join(wanted, "h").withColumn("kh", F.xxhash64("key")))
     near = src.sparkSession.sparkContext.broadcast(_bloom(owners.select("kh")).tobytes())
@@ -297,10 +298,10 @@ def _verified(src: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
                 starts = np.cumsum(n) - n
                 name = mix(np.add.reduceat(mix(s), starts)) ^ np.add.reduceat(mix(s ^ M1), starts)
                 offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"key": b.column(0).take(pa.array(has)), "h": pa.array(name.view(np.int64)), "s": pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.view(np.int64)))})
+                yield pa.RecordBatch.from_pydict({"key": b.column(0).take(pa.array(has)), "h": pa.array(name.view(np.int64)), "s": pa.ListArray.from_arrays(pa.array(offsets), pa.array((s & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))})
 
     kind = src.schema["key"].dataType.simpleString()
-    again = src.select("key", F.xxhash64("key").alias("kh"), "text").mapInArrow(read, f"key {kind}, h bigint, s array<bigint>")
+    again = src.select("key", F.xxhash64("key").alias("kh"), "text").mapInArrow(read, f"key {kind}, h bigint, s array<int>")
     sets = again.join(owners.select("key", "h"), ["key", "h"], "left_semi").dropDuplicates(["h"]).select("h", "s")
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
