@@ -5,7 +5,7 @@ Every text becomes the set of its runs of `width` consecutive tokens. Shingles g
 order, rarest first, by a counting sketch of fixed size over *all* texts (any order gives the same
 result; the sketch only makes the lists short). If two sets a, b reach similarity t, their overlap
 is at least o = ceil(t * max(|a|, |b|)), and the first |s| - ceil(t |s|) + c shingles of each
-share at least min(c, o): an overlap join with the fixed threshold c (2; up to 6 for
+share at least min(c, o): an overlap join with the fixed threshold c (2; up to 12 for
 large sets). For it
 
 * light sets (short prefix) emit every c-subset of the prefix: sharing one is enough;
@@ -34,15 +34,15 @@ from quillmark.llm.shingles import HASH_BITS, M1, blocks, mix, shingle_sets
 from quillmark.session import written
 
 SKETCH_BITS = 20
-SUBSET, MOST_MEETINGS = 2, 6
+SUBSET, MOST_MEETINGS = 2, 12
 LOW = np.uint64((1 << HASH_BITS) - 1)
 LEVEL_SHIFT = np.uint64(HASH_BITS - 8)
 REST = np.uint64((1 << (HASH_BITS - 8)) - 1)
 
 
 def required(n: np.ndarray) -> np.ndarray:
-    """How often a pair must meet whose smaller set has n shingles: 2, and for larger sets up to 6, which costs little longer prefixes and drops most chance pairs."""
-    return np.clip(SUBSET + (n - 64) // 32, SUBSET, MOST_MEETINGS)
+    """How often a pair must meet whose smaller set has n shingles: 2, and for larger sets up to 12, which costs little longer prefixes and drops most chance pairs."""
+    return np.clip(SUBSET + (n - 64) // 16, SUBSET, MOST_MEETINGS)
 
 
 def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
