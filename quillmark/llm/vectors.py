@@ -18,25 +18,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.llm.shingles import M3, mix
 from quillmark.session import written
 
-FIT_ROWS, MOST_LISTS, LISTS_A_BLOCK = 65_536, 4_096, 8
+FIT_ROWS, MOST_LISTS, LISTS_A_BLOCK = 65_536, 4_096, 12
 EPSILON = 1.9  # of the code's error bound, in standard deviations
 
 
 def usable(df: DataFrame, id_col: str, group_col: str, vector_col: str, dims: dict[str, int] | None = None) -> DataFrame:
-    """(id, grp, v): each id of a group once, with a vector of its group's length, finite and not zero. Without `dims`, a group's length is its most
-    frequent one (ties: the longer). Null ids and groups take no part."""
-    d = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(vector_col).cast("array<float>").alias("v"))
+    """(id, grp, h, d, v): rows with a vector of their group's length, finite and not zero, as normalised 32-bit numbers; h names the vector. Without `dims`, a
+    group's length is its most frequent one (ties: the longer). Null ids and groups take no part; a row delivered twice stays twice here."""
+    d = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(vector_col).cast("array<float>").alias("v"))
     d = d.where("id is not null and grp is not null and size(v) > 0")
     if dims is None:
         n = d.groupBy("grp", F.size("v").alias("d")).count().groupBy("grp").agg(F.max(F.struct("count", "d")).alias("m")).select("grp", F.col("m.d").alias("dim"))
     else:
         n = d.sparkSession.createDataFrame(sorted(dims.items()), "grp string, dim int")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    d = d.join(n, "grp").where(F.size("v") == F.col("dim")).withColumn("norm", norm)
-    d = d.where("not exists(v, x -> x is null) and norm > 0 and not isnan(norm) and norm < 1e300")
-    return d.select("id", "grp", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("v")).dropDuplicates(["grp", "id"])
+
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            col = b.column(2)
+            offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+            flat = col.values.to_numpy(zero_copy_only=False)
+            size = np.diff(offsets)
+            for k in np.unique(size):
+                i = np.flatnonzero(size == k)
+                x = flat[offsets[i][:, None] + np.arange(k)].astype(np.float64)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    norm = np.sqrt((x * x).sum(axis=1))
+                good = np.isfinite(norm) & (norm > 0)
+                i = i[good]
+                unit = (x[good] / norm[good][:, None]).astype(np.float32)
+                if not len(i):
+                    continue
+                words = unit.view(np.uint32).astype(np.uint64)
+                h = np.full(len(i), k, np.uint64)
+                for c in range(int(k)):
+                    h = mix(h * M3 + words[:, c])
+                yield pa.RecordBatch.from_pydict({"id": b.column(0).take(pa.array(i)), "grp": b.column(1).take(pa.array(i)), "h": pa.array(h.view(np.int64)), "d": pa.array(np.full(len(i), k, np.int32)), "v": pa.array([r.tobytes() for r in unit], pa.binary())})
+
+    return d.mapInArrow(normal, "id string, grp string, h bigint, d int, v binary").join(n, "grp").where("d = dim").select("id", "grp", "h", "d", "v")
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -63,65 +86,70 @@ class OneBitList:
 
     def __init__(self, x: np.ndarray, centroid: np.ndarray, turn: np.ndarray):
         self.x, self.c, self.turn = x, centroid, turn
-        r = (x - centroid) @ turn
-        self.norm = np.linalg.norm(r, axis=1)
         d = x.shape[1]
-        self.code = np.packbits(r > 0, axis=1)
-        own = np.abs(r).sum(axis=1) / (np.maximum(self.norm, 1e-12) * math.sqrt(d))
-        self.own = np.maximum(own, 1e-6)
-        self.bound = EPSILON * np.sqrt(np.maximum(0, 1 - self.own**2)) / self.own / math.sqrt(max(1, d - 1))
-
-    def upper(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of the products with all members, and their upper bounds."""
-        d = self.x.shape[1]
-        signs = (np.unpackbits(self.code, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(d))
+        r = (x - centroid) @ turn
+        norm = np.linalg.norm(r, axis=1)
+        code = np.packbits(r > 0, axis=1)  # what a stored index would keep, beside two scalars a member
+        own = np.maximum(np.abs(r).sum(axis=1) / (np.maximum(norm, 1e-12) * math.sqrt(d)), 1e-6)
+        bound = EPSILON * np.sqrt(np.maximum(0, 1 - own**2)) / own / math.sqrt(max(1, d - 1))
+        signs = (np.unpackbits(code, axis=1, count=d).astype(np.float32) * 2 - 1) / math.sqrt(d)
+        # product = q.c + x.c - c.c + <turned residual of q, code> * norm / own, give or take |residual of q| * norm * bound: one matrix product
+        self.table = np.concatenate([signs * (norm / own)[:, None], np.ones((len(x), 1)), (x @ centroid - centroid @ centroid)[:, None], (norm * bound)[:, None]], axis=1).astype(np.float32).T.copy()
+
+    def query(self, q: np.ndarray) -> np.ndarray:
         r = (q - self.c) @ self.turn
-        n = np.linalg.norm(r, axis=1)
-        cross = (r @ signs.T) * (self.norm / self.own).astype(np.float32)
-        base = (q @ self.c)[:, None] + (self.x @ self.c)[None, :] - np.float32(self.c @ self.c)
-        est = base + cross
-        return est, est + np.outer(n, self.norm * self.bound).astype(np.float32)
+        return np.concatenate([r, (q @ self.c)[:, None], np.ones((len(q), 1)), np.linalg.norm(r, axis=1)[:, None]], axis=1).astype(np.float32)
 
+    def estimates(self, q: np.ndarray) -> np.ndarray:
+        return self.query(q)[:, :-1] @ self.table[:-1]
 
-def search(lists: list[OneBitList], ids: list[np.ndarray], q: np.ndarray, qid: np.ndarray, asks: np.ndarray, k: int, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Of each query the k best members (id, product) of the lists it asks; -1 where there are fewer."""
+    def upper(self, q: np.ndarray) -> np.ndarray:
+        """Upper bounds of the products with all members."""
+        return self.query(q) @ self.table
+
+
+def search(lists: list[OneBitList], ids: list[np.ndarray], q: np.ndarray, qid: np.ndarray, order: np.ndarray, k: int, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query the k best members (id, product) of the lists it asks, nearest list first; -1 where there are fewer. order: for each query the numbers of
+    its lists, -1 where it asks none."""
     best = np.full((len(q), k), -2.0, np.float32)
     who = np.full((len(q), k), -1, np.int64)
-    for j, one in enumerate(lists):
-        for at in np.array_split(np.flatnonzero(asks[:, j]), max(1, math.ceil(asks[:, j].sum() / chunk))):
-            if not len(at):
-                continue
-            est, up = one.upper(q[at])
-            fresh = np.flatnonzero(best[at, k - 1] < -1)
-            take = up > best[at, k - 1][:, None]
-            if len(fresh) and est.shape[1] > 2 * k:
-                first = np.argpartition(-est[fresh], k, axis=1)[:, : k + 1]
-                exact = np.einsum("ikd,id->ik", one.x[first], q[at[fresh]])
-                exact[ids[j][first] == qid[at[fresh]][:, None]] = -2
-                floor = np.sort(exact, axis=1)[:, -k]
-                take[fresh] = up[fresh] >= floor[:, None]
-            i, m = np.nonzero(take)
-            same = ids[j][m] == qid[at[i]]
-            i, m = i[~same], m[~same]
-            if not len(i):
+    for step in range(order.shape[1]):
+        for j in np.unique(order[:, step]):
+            if j < 0:
                 continue
-            exact = np.empty(len(i), np.float32)
-            for z in range(0, len(i), 200_000):
-                exact[z : z + 200_000] = np.einsum("nd,nd->n", one.x[m[z : z + 200_000]], q[at[i[z : z + 200_000]]])
-            good = exact > best[at[i], k - 1]
-            i, m, exact = i[good], m[good], exact[good]
-            if not len(i):
-                continue
-            some, inv = np.unique(i, return_inverse=True)
-            row = np.r_[inv, np.repeat(np.arange(len(some)), k)]
-            score = np.r_[exact, best[at[some]].ravel()]
-            name = np.r_[ids[j][m], who[at[some]].ravel()]
-            order = np.lexsort((name, -score, row))
-            row, score, name = row[order], score[order], name[order]
-            place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(some)))[row]
-            keep = place < k
-            best[at[some]] = score[keep].reshape(len(some), k)
-            who[at[some]] = name[keep].reshape(len(some), k)
+            one, name_of = lists[j], ids[j]
+            asking = np.flatnonzero(order[:, step] == j)
+            for z in range(0, len(asking), chunk):
+                at = asking[z : z + chunk]
+                qs = q[at]
+                up = one.upper(qs)
+                floor = best[at, k - 1].copy()
+                fresh = np.flatnonzero(floor < -1)
+                n = up.shape[1]
+                if len(fresh) and n > 2 * k:  # a first floor from the best estimates
+                    est = up[fresh] if step == 0 else one.estimates(qs[fresh])
+                    first = np.argpartition(-est, k, axis=1)[:, : k + 1]
+                    exact = np.einsum("ikd,id->ik", one.x[first], qs[fresh])
+                    exact[name_of[first] == qid[at[fresh]][:, None]] = -2
+                    floor[fresh] = np.sort(exact, axis=1)[:, -k] - 1e-6
+                i, m = np.nonzero(up > floor[:, None])
+                if len(i) > 0.05 * up.size:  # a matrix product costs less than so many gathers
+                    exact = (qs @ one.x.T)[i, m]
+                else:
+                    exact = np.einsum("nd,nd->n", one.x[m], qs[i])
+                good = (exact > floor[i]) & (name_of[m] != qid[at[i]])
+                i, m, exact = i[good], m[good], exact[good]
+                if not len(i):
+                    continue
+                some, inv = np.unique(i, return_inverse=True)
+                row = np.r_[inv, np.repeat(np.arange(len(some)), k)]
+                score = np.r_[exact, best[at[some]].ravel()]
+                name = np.r_[name_of[m], who[at[some]].ravel()]
+                by = np.lexsort((name, -score, row))
+                row, score, name = row[by], score[by], name[by]
+                keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(some)))[row] < k
+                best[at[some]] = score[keep].reshape(len(some), k)
+                who[at[some]] = name[keep].reshape(len(some), k)
     return who, best
 
 
@@ -132,7 +160,7 @@ def _of_group(classes: DataFrame, k: int, n: int, dim: int, list_size: int, prob
     want = min(FIT_ROWS, max(2_000, 64 * lists))
     part = classes if n <= want else classes.where(F.pmod(F.xxhash64("h"), F.lit(1_000_003)) < int(1_000_003 * 1.2 * want / n))
     rows = part.select("v").limit(want).collect()  # bounded by FIT_ROWS
-    sample = np.array([r.v for r in rows], np.float32).reshape(-1, dim)
+    sample = np.frombuffer(b"".join(bytes(r.v) for r in rows), np.float32).reshape(-1, dim)
     cent = fit_centroids(sample, lists)
     groups = max(1, math.ceil(len(cent) / LISTS_A_BLOCK))
     coarse = fit_centroids(cent, groups)
@@ -145,8 +173,10 @@ def _of_group(classes: DataFrame, k: int, n: int, dim: int, list_size: int, prob
         top = np.argpartition(s, probes - 1, axis=1)[:, :probes] if probes < s.shape[1] else np.argsort(s, axis=1)
         return np.take_along_axis(top, np.argsort(np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
-    def arrays(b: pa.RecordBatch, k: int) -> np.ndarray:
-        return b.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    def arrays(b: pa.RecordBatch, k: int, kind: type = np.float32) -> np.ndarray:
+        col = b.column(k)
+        at = int(np.frombuffer(col.buffers()[1], np.int32)[col.offset])
+        return np.frombuffer(col.buffers()[2], kind, count=len(col) * dim, offset=at).reshape(-1, dim).astype(np.float32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(int(block_of.max()) + 1, np.int64)
@@ -196,19 +226,20 @@ def _of_group(classes: DataFrame, k: int, n: int, dim: int, list_size: int, prob
                 home = near(mv)[:, 0]
                 names = np.unique(home)
                 state.update(lists=[OneBitList(mv[home == j], cent[j], turn) for j in names], ids=[mh[home == j] for j in names], names=names, h=[], v=[])
-            asks = (near(v)[:, :, None] == state["names"][None, None, :]).any(axis=1)
-            who, best = search(state["lists"], state["ids"], v, h, asks, k)
-            ok = best > -2
-            n = ok.sum(axis=1)
-            offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(best[ok]), pa.array(who[ok])], ["cosine", "nh"])
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.ListArray.from_arrays(pa.array(offsets), pairs)], ["h", "near"])
+            number = np.full(len(cent), -1, np.int64)
+            number[state["names"]] = np.arange(len(state["names"]))
+            order = number[near(v)]
+            order = np.take_along_axis(order, np.argsort(order < 0, axis=1, kind="stable"), 1)[:, : len(state["names"])]
+            who, best = search(state["lists"], state["ids"], v, h, order, k)
+            packed = np.zeros((len(h), k), np.dtype([("c", "<f4"), ("h", "<i8")]))
+            packed["c"], packed["h"] = best, who
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array([r.tobytes() for r in packed], pa.binary())], ["h", "near"])
 
         for b in batches:
             blk, kind, h = (b.column(c).to_numpy() for c in range(3))
-            col = b.column(3)
-            at = np.frombuffer(col.buffers()[1], np.int32)[col.offset]
-            v = np.frombuffer(col.buffers()[2], np.float16, count=len(h) * dim, offset=int(at)).reshape(-1, dim).astype(np.float32)
+            if not len(h):
+                continue
+            v = arrays(b, 3, np.float16)
             cut = np.flatnonzero((np.diff(blk, prepend=blk[:1]) != 0) | (np.diff(kind, prepend=kind[:1]) != 0))
             for i in np.split(np.arange(len(h)), cut):
                 if not len(i):
@@ -219,10 +250,25 @@ def _of_group(classes: DataFrame, k: int, n: int, dim: int, list_size: int, prob
                     yield out
 
     moved = classes.select("h", "v").mapInArrow(send, "block int, kind tinyint, h bigint, v binary")
-    met = moved.repartition(partitions, "block").sortWithinPartitions("block", "kind").mapInArrow(walk, "h bigint, near array<struct<cosine:float,nh:bigint>>")
-    best = met.groupBy("h").agg(F.flatten(F.collect_list("near")).alias("near"))  # at most probes * k entries
-    best = best.select("h", F.slice(F.sort_array("near", asc=False), 1, k).alias("near"))
-    return best.select("h", F.explode("near").alias("x")).select("h", F.col("x.nh").alias("nh"), F.col("x.cosine").alias("cosine"))
+    met = moved.repartition(partitions, "block").sortWithinPartitions("block", "kind").mapInArrow(walk, "h bigint, near binary")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for z in range(0, b.num_rows, 2_000):
+                c = b.slice(z, 2_000)
+                parts = [np.frombuffer(b"".join(x), np.dtype([("c", "<f4"), ("h", "<i8")])) for x in c.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                every = np.concatenate(parts)
+                ok = every["c"] > -2
+                row, every = row[ok], every[ok]
+                by = np.lexsort((every["h"], -every["c"], row))
+                row, every = row[by], every[by]
+                keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(parts)))[row] < k
+                row, every = row[keep], every[keep]
+                yield pa.RecordBatch.from_pydict({"h": pa.array(c.column(0).to_numpy()[row]), "nh": pa.array(np.ascontiguousarray(every["h"])), "cosine": pa.array(np.ascontiguousarray(every["c"]))})
+
+    # at most one entry a block that a vector asks
+    return met.groupBy("h").agg(F.collect_list("near").alias("near")).mapInArrow(merge, "h bigint, nh bigint, cosine float")
 
 
 def nearest(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int = 10, min_cosine: float | None = None, list_size: int = 700, probes: int = 16, block_rows: int = 16_000, dims: dict[str, int] | None = None, groups: list[str] | None = None) -> DataFrame:
@@ -234,25 +280,31 @@ def nearest(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int
     """
     spark = df.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    all_ = written(usable(df, id_col, group_col, vector_col, dims).withColumn("h", F.xxhash64("grp", "v")))
-    known = [(r.grp, r.n, r.d) for r in all_.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).orderBy("grp").collect()]  # a row a collection
+    rows = written(usable(df, id_col, group_col, vector_col, dims).dropDuplicates(["grp", "id", "h"]))
+    # of several vectors of one id, one is kept
+    all_ = rows.groupBy("grp", "id").agg(F.min("h").alias("h"))
+    vectors = rows.select("grp", "h", "v").dropDuplicates(["grp", "h"])
+    known = [(r.grp, r.n, r.d) for r in rows.groupBy("grp").agg(F.count("*").alias("n"), F.max("d").alias("d")).orderBy("grp").collect()]  # a row a collection
     links = None
     for grp, n, dim in known:
         if groups is not None and grp not in groups:
             continue
-        classes = all_.where(F.col("grp") == grp).dropDuplicates(["h"]).select("h", "v")
-        one = _of_group(classes, k, n, dim, list_size, probes, block_rows, partitions).withColumn("grp", F.lit(grp))
+        one = _of_group(vectors.where(F.col("grp") == grp).select("h", "v"), k, n, dim, list_size, probes, block_rows, partitions).withColumn("grp", F.lit(grp))
         links = one if links is None else links.unionByName(one)
     if links is None:
         return all_.select("grp", "id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
-    if min_cosine is not None:
-        links = links.where(F.col("cosine") >= min_cosine - 1e-3)
-    links = links.groupBy("grp", "h", "nh").agg(F.max("cosine").alias("cosine"))
-    if min_cosine is not None:  # few enough to be measured again on the whole vectors
-        v = all_.dropDuplicates(["grp", "h"]).select("grp", "h", "v")
-        exact = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-        links = links.drop("cosine").join(v, ["grp", "h"]).join(v.select("grp", F.col("h").alias("nh"), F.col("v").alias("w")), ["grp", "nh"]).select("grp", "h", "nh", exact.alias("cosine"))
-        links = links.where(F.col("cosine") >= min_cosine)
+    if min_cosine is not None:  # of the whole neighbourhoods; few enough to be measured again on the whole vectors
+        links = written(links.where(F.col("cosine") >= min_cosine - 2e-3))
+        wanted = links.select("grp", F.explode(F.array("h", "nh")).alias("h")).distinct()
+        v = vectors.join(wanted, ["grp", "h"], "left_semi")
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                c = [float(np.frombuffer(x, np.float32).astype(np.float64) @ np.frombuffer(y, np.float32).astype(np.float64)) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+                yield pa.RecordBatch.from_pydict({"grp": b.column(0), "h": b.column(1), "nh": b.column(2), "cosine": pa.array(c, pa.float64())})
+
+        both = links.drop("cosine").join(v, ["grp", "h"]).join(v.select("grp", F.col("h").alias("nh"), F.col("v").alias("w")), ["grp", "nh"]).select("grp", "h", "nh", "v", "w")
+        links = both.mapInArrow(measure, "grp string, h bigint, nh bigint, cosine double").where(F.col("cosine") >= min_cosine)
     in_class = Window.partitionBy("grp", "h").orderBy("id")
     firsts = all_.select("grp", "h", "id").withColumn("r", F.row_number().over(in_class)).where(F.col("r") <= k + 1)
     copies = all_.groupBy("grp", "h").count().where("count > 1").select("grp", "h", F.col("h").alias("nh"), F.lit(1.0).alias("cosine"))
@@ -266,5 +318,6 @@ def nearest(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int
 
 def mutual(links: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs in which each is among the other's neighbours."""
+    links = written(links.select("grp", "id", "neighbour"))
     back = links.select("grp", F.col("neighbour").alias("id"), F.col("id").alias("neighbour"))
     return links.where("id < neighbour").join(back, ["grp", "id", "neighbour"], "left_semi").select(F.col("id").alias("id_a"), F.col("neighbour").alias("id_b")).distinct()
