@@ -1,13 +1,13 @@
 """Filling containers of fixed capacity with whole items: optimal length buckets, then token-budget batches inside each bucket.
 
-1. Lengths (tokens of a public tokenizer) are counted into a histogram, which has at most `capacity` bars, whatever the number of items.
-2. Dynamic programming over the histogram chooses bucket boundaries that minimise padding: an item of length l in a bucket with upper bound u takes u, and
-   u is chosen among the capacity's shares (capacity / k for k items a container), so a full container of a bucket leaves no more than the padding.
-3. Inside a bucket the items are numbered and a container takes the next k; what remains of all buckets is packed first-fit decreasing, which by then are a
-   few items a bucket and task.
-4. Short items then fill up the room that is left: the smallest lengths are handed to containers by their free room in one merge over the histogram.
-
-Items larger than the capacity are split at token boundaries; their full parts are containers of their own, the rests are items.
+1. Lengths (tokens of a public tokenizer) are counted into a histogram, which has at most `capacity` + 1 bars, whatever the number of items.
+2. Dynamic programming over the histogram chooses bucket bounds that minimise padding, among the shares of the capacity (capacity // k for k items).
+3. A container starts with the longest length left, as many of them as its bucket's share allows, and its rest is filled with the longest lengths that
+   still fit, over the histogram alone: a pattern of lengths is repeated as often as the scarcest of them allows, so there are few patterns.
+4. The items of each length are numbered (in salted parts, so that a length that a third of all items has is no single task) and take their places in the
+   patterns by number.
+
+Items larger than the capacity come in parts of the capacity and a rest; all others stay whole. Only the histogram reaches the driver.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def _best_fit(cut: DataFrame, hist: dict[int, int], capacity: int, buckets: int)
     """Containers as patterns over the histogram: patterns say which lengths go together and how often; items take their places by number."""
     rows = patterns(hist, capacity, buckets)
     spark = cut.sparkSession
-    plan = spark.createDataFrame(pd.DataFrame(rows, columns=["tokens", "first", "times", "each", "base", "stride"]).astype("int64"))
+    plan = spark.createDataFrame(rows, "tokens bigint, first bigint, times bigint, each bigint, base bigint")
     # number the items of each length: by salted partitions, then offsets, so that a hot length is no single task
     salt = F.pmod(F.xxhash64("key", "part"), F.lit(64)).cast("int")
     numbered = cut.withColumn("salt", salt).withColumn("i", F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("key", "part")) - 1)
@@ -113,8 +113,8 @@ def _best_fit(cut: DataFrame, hist: dict[int, int], capacity: int, buckets: int)
     return got.select("key", "part", "tokens", (F.col("x.base") + F.floor(within)).cast("bigint").alias("container_id"))
 
 
-def patterns(hist: dict[int, int], capacity: int, buckets: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first position, times, each, container base, 1): positions first, first + 1, ... of that length go, `each` a container, into the containers
+def patterns(hist: dict[int, int], capacity: int, buckets: int) -> list[tuple[int, int, int, int, int]]:
+    """(length, first position, times, each, container base): positions first, first + 1, ... of that length go, `each` a container, into the containers
     base, base + 1, ..., base + times - 1.
 
     Buckets come from `optimal_bounds`. A pattern starts with the largest length left (of its bucket) and is filled with the largest lengths that still fit,
@@ -124,7 +124,7 @@ def patterns(hist: dict[int, int], capacity: int, buckets: int) -> list[tuple[in
     taken = dict.fromkeys(left, 0)
     keys = np.array(sorted(left), np.int64)
     count = np.array([left[int(k)] for k in keys], np.int64)
-    out: list[tuple[int, int, int, int, int, int]] = []
+    out: list[tuple[int, int, int, int, int]] = []
     base = 0
     zero = int(left.get(0, 0))
     if zero:
@@ -149,12 +149,12 @@ def patterns(hist: dict[int, int], capacity: int, buckets: int) -> list[tuple[in
             j -= 1
         times = min(int(count[i]) // k for i, k in use.items())
         for i, k in use.items():
-            out.append((int(keys[i]), taken[int(keys[i])], times, k, base, 1))
+            out.append((int(keys[i]), taken[int(keys[i])], times, k, base))
             taken[int(keys[i])] += times * k
             count[i] -= times * k
         base += times
     if zero:
-        out.append((0, 0, max(1, base), -(-zero // max(1, base)), 0, 1))
+        out.append((0, 0, max(1, base), -(-zero // max(1, base)), 0))
     return out
 
 
