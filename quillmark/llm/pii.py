@@ -45,7 +45,7 @@ ID = re.compile(
 ID_SCORE = {"nine": 0.6, "ssn": 0.3, "cpf": 0.6, "reg": 0.6, "nino": 0.6, "nie": 0.5, "pass": 0.5, "dni": 0.3, "insee": 0.2, "long": 0.05}
 ID_GOOD = re.compile(r"(?i)(?:ssn|social security|passport|taxpayer|tax id|tin|national (?:id|insurance)|identity|id (?:no|number|card)|ausweis\w*|steuer\w*|personal\w*nummer|identité|insee|sécurité sociale|documento|dni|nie|cpf|pasaporte)\W*(?:no|nr|n°|number|nummer|num)?\W*\Z")
 PHONE_GOOD = re.compile(r"(?i)(?:call|phone|fax|tel\w*|mobile|mobil|desk|number|anruf\w*|nummer|répond|appel\w*|atiende|llam\w*|ext|rufen|on|au|en el|unter)\W{0,3}(?:[\w ]{0,12}\W{0,3})?\Z")
-BAD = re.compile(r"(?i)(?:\border|invoice|part no|isbn|issn|doi|accession|grid point|version|figure|table|serial|sku|model|catalogue no|case no|ref)\W*(?:no|number)?\W*[\w.\-/:]{0,14}\Z")
+BAD = re.compile(r"(?i)(?:\border|invoice|part no|isbn|issn|doi|accession|grid point|version|figure|table|serial|sku|model|catalogue no|case no|ref)\s*(?:no\.?|number|n[º°.])?\s*[:#.]?[\w.\-/:]{0,14}\s?\Z")
 
 STREET = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Lane|Ln\.?|Drive|Dr\.?|Close|Crescent|Court|Ct\.?|Terrace|Place|Pl\.?|Way|Square|Sq\.?|Row|Parkway|Pkwy\.?|Highway|Hwy\.?|Circle|Mews|Gardens|Hill|Walk|Grove)"
 CAP = r"[A-ZÀ-Þ][\w'’-]*"
@@ -204,8 +204,9 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
                 given, family, swapped = m.group(4), m.group(6), False
             else:
                 given, family, swapped = m.group(8), m.group(7), True
-            score = names.score(given, family, text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 16])
-            if swapped and len(given.rstrip(".")) > 1 and not names.kind(given, "given"):
+            before = text[max(0, m.start() - 24) : m.start()]
+            score = names.score(given, family, before, text[m.end() : m.end() + 16])
+            if swapped and len(given.rstrip(".")) > 1 and not names.kind(given, "given") and not NAME_GOOD.search(before):
                 score = 0.0
             if score >= ACCEPT:
                 add(m.start(), m.end(), "name")

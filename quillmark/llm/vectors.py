@@ -250,7 +250,7 @@ def _of_group(classes: DataFrame, k: int, n: int, dim: int, list_size: int, prob
                     yield out
 
     moved = classes.select("h", "v").mapInArrow(send, "block int, kind tinyint, h bigint, v binary")
-    met = moved.repartition(partitions, "block").sortWithinPartitions("block", "kind").mapInArrow(walk, "h bigint, near binary")
+    met = moved.repartition(max(partitions, int(parts.sum())), "block").sortWithinPartitions("block", "kind").mapInArrow(walk, "h bigint, near binary")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
