@@ -21,7 +21,7 @@ def balanced(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFr
     q = q.withColumn("rest", rest).withColumn("place", F.row_number().over(Window.partitionBy(one).orderBy(F.desc("frac"), F.col(stratum))))
     quota = q.select(stratum, (F.col("base") + (F.col("place") <= F.col("rest")).cast("int")).alias("quota"))
     rows = df.withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, key))))
-    return rows.join(F.broadcast(quota), stratum).where("rn <= quota").drop("rn", "quota")
+    return rows.join(quota, stratum).where("rn <= quota").drop("rn", "quota")
 
 
 def anchored_sample(universe: DataFrame, gold: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.session import small
+
 
 def bm25(post: DataFrame, terms: DataFrame, stats: DataFrame, q: DataFrame, qid: str, key: str, k1: float = 1.5, b: float = 0.75, idf_mode: str = "positive") -> DataFrame:
     """(qid, key, score), rounded to 6 places. idf_mode "positive": ln(1 + (N - df + .5) / (df + .5)); "okapi": ln((N - df + .5) / (df + .5)), where negative ones
@@ -63,6 +65,6 @@ def best_child(scores: DataFrame, qid: str, parent: Column, name: str) -> DataFr
 def zero_filled(scores: DataFrame, qid: str, key: str, questions: DataFrame, universe: DataFrame) -> DataFrame:
     """(qid, key, score, rank) over every parent: those without a score tie at 0 in the order of their key. The whole ranking of every question is the result
     asked for, so its rows are questions times parents."""
-    full = universe.select(key).crossJoin(F.broadcast(questions.select(qid)))
+    full = universe.select(key).crossJoin(small(questions.select(qid)))
     full = full.join(scores, [qid, key], "left").na.fill({"score": 0.0})
     return ranked(full, qid, [F.desc("score"), F.col(key)])

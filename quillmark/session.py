@@ -65,3 +65,10 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most `most_rows` rows, else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
