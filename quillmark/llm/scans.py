@@ -37,7 +37,7 @@ CONFUSED = {
     ("v", "y"): 0.35, ("u", "n"): 0.35, ("n", "u"): 0.35, ("i", "l"): 0.35, ("l", "i"): 0.35, ("t", "f"): 0.4, ("f", "t"): 0.4, ("l", "t"): 0.4, ("t", "l"): 0.4, ("i", "j"): 0.4, ("j", "i"): 0.4, ("f", "s"): 0.35,
     ("o", "c"): 0.4, ("c", "o"): 0.4, ("o", "e"): 0.4, ("e", "o"): 0.4, ("a", "o"): 0.45, ("o", "a"): 0.45, ("g", "q"): 0.4, ("q", "g"): 0.4, ("w", "v"): 0.45, ("r", "t"): 0.45,
     ("rn", "m"): 0.3, ("m", "rn"): 0.3, ("ii", "n"): 0.3, ("n", "ii"): 0.3, ("ii", "u"): 0.3, ("ni", "m"): 0.35, ("in", "m"): 0.35, ("nn", "m"): 0.4, ("cl", "d"): 0.3, ("d", "cl"): 0.3, ("li", "h"): 0.3, ("h", "li"): 0.3,
-    ("tl", "d"): 0.4, ("vv", "w"): 0.3, ("w", "vv"): 0.3, ("u", "ll"): 0.35, ("ll", "u"): 0.35, ("iii", "m"): 0.35, ("m", "in"): 0.35, ("m", "ni"): 0.35, ("h", "lt"): 0.4, ("k", "lc"): 0.35, ("lc", "k"): 0.35, ("ri", "n"): 0.35, ("n", "ri"): 0.35, ("ci", "a"): 0.35, ("j", ";"): 0.4, ("ti", "n"): 0.4, ("lj", "b"): 0.4, ("tb", "th"): 0.3,
+    ("tl", "d"): 0.4, ("vv", "w"): 0.3, ("w", "vv"): 0.3, ("u", "ll"): 0.35, ("ll", "u"): 0.35, ("ﬁ", "fi"): 0.15, ("ﬂ", "fl"): 0.15, ("ﬀ", "ff"): 0.15, ("iii", "m"): 0.35, ("m", "in"): 0.35, ("m", "ni"): 0.35, ("h", "lt"): 0.4, ("k", "lc"): 0.35, ("lc", "k"): 0.35, ("ri", "n"): 0.35, ("n", "ri"): 0.35, ("ci", "a"): 0.35, ("j", ";"): 0.4, ("ti", "n"): 0.4, ("lj", "b"): 0.4, ("tb", "th"): 0.3,
 }
 PLAIN = str.maketrans("áàâäãåéèêëíìîïóòôöõúùûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy")
 HYPHENS = r"\-=¬\u00ad‐‑~"
@@ -45,7 +45,7 @@ PAGE = re.compile(r"\s*(?:[\[({\-–—~•*.\s]*(?:\d{1,4}|[ivxlc]{1,8})[\])}\-
 NUMERAL = re.compile(r"\s*[\d]{1,4}\s*|\s*[ivxlc]{1,7}\s*")
 CHUNK = re.compile(r"[^\s.,;:?\"“”„«»()\[\]{}—…]+")
 BREAK = re.compile(rf"([^\s.,;:?\"“”()\[\]{{}}—…{HYPHENS}][^\s.,;:?\"“”()\[\]{{}}—…]*?)\s?[{HYPHENS}]\s*\Z")
-ODD = re.compile(r"[A-Za-z][@†ſ|¢$€!][A-Za-z]|^[@†ſ|¢$€][A-Za-z]{2}|[A-Za-z]{2}[@†ſ|¢$€]$|[A-Za-z][0-9]+[A-Za-z]|^[0-9][A-Za-z]{3,}|[A-Za-z]{2,}[0-9]$")
+ODD = re.compile(r"[ﬀ-ﬆ]|[A-Za-z][@†ſ|¢$€!][A-Za-z]|^[@†ſ|¢$€][A-Za-z]{2}|[A-Za-z]{2}[@†ſ|¢$€]$|[A-Za-z][0-9]+[A-Za-z]|^[0-9][A-Za-z]{3,}|[A-Za-z]{2,}[0-9]$")
 ORDINAL = re.compile(r"\d+(?:st|nd|rd|th|d|mo|vo|to|s)\Z")
 
 
