@@ -129,7 +129,10 @@ def signatures(df: DataFrame, width: int, least: int, t: float, levels, limit: i
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels.value, np.uint8)
         shift = np.uint64(HASH_BITS - int(math.log2(len(table))))
+        seen: set[int] = set()  # sets this task has sent already: a hot group of copies sends its postings about once a task
         for whole in batches:
+            if len(seen) > 500_000:
+                seen.clear()
             for b in blocks(whole):
                 key, n = shingle_sets(b.column(1), width, least)
                 has = np.flatnonzero(n)
@@ -144,7 +147,11 @@ def signatures(df: DataFrame, width: int, least: int, t: float, levels, limit: i
                 p = prefix_length(n, t)
                 single = (p > limit) | (prefix_length(np.floor(n / t + 1e-9).astype(np.int64), t) > limit)
                 sigs = []
-                for i in range(len(n)):
+                for i, h in enumerate(name.tolist()):
+                    if h in seen:
+                        sigs.append(ordered[:0])
+                        continue
+                    seen.add(h)
                     x = ordered[starts[i] : starts[i] + p[i]]
                     out = [x << np.uint64(1)] if single[i] else []
                     if 1 < p[i] <= limit:
@@ -187,7 +194,10 @@ def scan(postings: DataFrame, t: float, partitions: int) -> DataFrame:
                 i = np.flatnonzero(size == w)
                 if len(i):
                     wide[i, :w] = data[offsets[i][:, None] + np.arange(w)]
-            now = [sig, n, h, size.astype(np.int64), wide]
+            once = np.ones(len(sig), bool)  # copies of a set lie side by side
+            once[1:] = (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])
+            now = [x[once] for x in (sig, n, h, size.astype(np.int64), wide)]
+            sig = now[0]
             fresh = np.zeros(len(sig), bool)
             if kept is not None and len(kept[0]) and kept[0][-1] == sig[0]:
                 fresh = np.r_[np.zeros(len(kept[0]), bool), np.ones(len(sig), bool)]

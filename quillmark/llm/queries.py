@@ -63,6 +63,22 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with the group of its near-duplicates (five words, 0.8) and how many different texts it is linked with."""
+    out = None
+    for name, df in (("sections", sections(spark, sf).select(F.col("parent_id").alias("id"), "text")), ("chunks", table(spark, sf, "chunks").select("id", "text"))):
+        one = neardup.groups(*neardup.near_duplicates(df, "id", "text")).select(F.lit(name).alias("tbl"), F.col("key").alias("item_id"), "group_id", "links")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Which items leaked, and into how many documents of how many sources."""
+    d = table(spark, sf, "documents")
+    found = leaks.leaks(d, table(spark, sf, "benchmark"), tokens=12, edits=0)
+    return found.join(d.select("doc_id", "source"), "doc_id").groupBy("item_id").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("sources"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.mutual(vectors.nearest(table(spark, sf, "langchain_pg_embedding"), "id", "collection_id", "embedding", k=10, min_cosine=0.9))
 
@@ -96,7 +112,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_list"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p3_found": p3_found, "p3_repaired": p3_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p10_found": p10_found, "p10_redacted": p10_redacted, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p3_found": p3_found, "p3_repaired": p3_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p10_found": p10_found, "p10_redacted": p10_redacted, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_report": p9_report, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL: dict[str, str] = {
     "p1_found": """
 SELECT DISTINCT 'sections' AS tbl, source || '#' || section_idx AS item_id FROM sections WHERE length(text) > 2000 AND source || '#' || section_idx IS NOT NULL

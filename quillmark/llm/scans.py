@@ -141,12 +141,15 @@ def read_words(lines: list[str], kinds: list[str]) -> list[Word]:
     return [w for w in out if re.search(r"[^\W\d_]", w.text)]
 
 
-def deletions(w: str, most: int = 2) -> set[str]:
-    level, out = {w}, {w}
-    for _ in range(most if len(w) > 4 else 1 if len(w) < 3 else most):
-        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
-        out |= level
-    return {x for x in out if x}
+def deletions(w: str, most: int = 2) -> dict[str, int]:
+    """What is left of a word without up to `most` characters, and how many are missing; the empty word is left out."""
+    out = {w: 0}
+    level = {w}
+    for k in range(1, most + 1):
+        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))} - {""}
+        for x in level:
+            out.setdefault(x, k)
+    return out
 
 
 def weighted_distance(seen: str, meant: str, most: float = 2.0) -> tuple[float, int]:
@@ -212,8 +215,8 @@ def _candidates(words: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(w, n, d) for w, n in zip(b["w"], b["n"]) if len(w) <= 40 for d in deletions(w)]
-            yield pd.DataFrame(out, columns=["w", "n", "d"])
+            out = [(w, n, d, k) for w, n in zip(b["w"], b["n"]) if len(w) <= 40 for d, k in deletions(w).items()]
+            yield pd.DataFrame(out, columns=["w", "n", "d", "k"])
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -224,8 +227,9 @@ def _candidates(words: DataFrame) -> DataFrame:
                     out.append((w, meant, cost, at, n))
             yield pd.DataFrame(out, columns=["w", "meant", "cost", "at", "n"])
 
-    cuts = words.mapInPandas(cut, "w string, n bigint, d string")
-    known = cuts.where(F.col("n") >= LEAST_COUNT).select("d", F.col("w").alias("meant"), F.col("n").alias("nm"))
+    cuts = words.mapInPandas(cut, "w string, n bigint, d string, k int")
+    # short words would meet everywhere without two of their letters
+    known = cuts.where((F.col("n") >= LEAST_COUNT) & ((F.length("w") > 3) | (F.col("k") <= 1))).select("d", F.col("w").alias("meant"), F.col("n").alias("nm"))
     met = cuts.select("d", "w", F.col("n").alias("nw")).join(known, "d").where("w != meant").where(F.col("nm") >= RATIO * F.greatest(F.col("nw"), F.lit(1)) - (RATIO - LEAST_COUNT) * (F.col("nw") == 0).cast("int") - (RATIO - LEAST_COUNT) * (F.col("w").rlike(r"[0-9@†ſ|¢$€!áàâäéèêëíìîïóòôöúùûü]|[a-z][A-Z]")).cast("int"))
     met = met.select("w", "meant", F.col("nm").alias("n")).distinct()
     return met.mapInPandas(weigh, "w string, meant string, cost double, at int, n bigint")
