@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import words
 
+# What headings, item lines and the end of a text look like.
+NUMBERED_HEADING = r"^\s*(\d+(?:\.\d+)*|[IVXL]+)\.?\s+([A-Z][A-Za-z][^\n]{0,60})$"
+END_OF_CONTENT = r"(?i)^\s*(references|bibliography)\s*$"
+ITEM_LINE = r"(?im)^[ \t]*(item[ \t]+\d+[a-z]?\.?)\s+([A-Z][^\n]{0,80})"
+LEAST_ITEMS, LONGEST_DROPPED_FRONT = 3, 400
+
 
 def word_windows(df: DataFrame, key: str, text: str, size: int, overlap: int, least: int, keep_first: bool) -> DataFrame:
     """(key, chunk_no, n_words, chunk): windows of `size` words every size - overlap; shorter than `least` are dropped, the first one too unless `keep_first`.
@@ -40,10 +46,9 @@ def joined_lines(grouped: DataFrame, keys: list[str], sep: str = "\n") -> Column
 
 def heading_lines(lines: DataFrame, key: str) -> DataFrame:
     """Adds `heading`: numbered heading lines. A bare number has to exceed every bare number accepted before, which equals exceeding every candidate's."""
-    pattern = r"^\s*(\d+(?:\.\d+)*|[IVXL]+)\.?\s+([A-Z][A-Za-z][^\n]{0,60})$"
-    num, title = F.regexp_extract("line", pattern, 1), F.trim(F.regexp_extract("line", pattern, 2))
-    ok = F.col("line").rlike(pattern) & ~title.rlike("[,;:]$")
-    bare = F.when(ok & num.rlike(r"^\d+$"), num.try_cast("bigint") if hasattr(num, "try_cast") else num.cast("bigint"))
+    num, title = F.regexp_extract("line", NUMBERED_HEADING, 1), F.trim(F.regexp_extract("line", NUMBERED_HEADING, 2))
+    ok = F.col("line").rlike(NUMBERED_HEADING) & ~title.rlike("[,;:]$")
+    bare = F.when(ok & num.rlike(r"^\d+$"), num.try_cast("bigint"))
     before = F.max(bare).over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
     return lines.withColumn("heading", ok & (bare.isNull() | before.isNull() | (bare > before)))
 
@@ -53,7 +58,7 @@ def numbered_sections(df: DataFrame, key: str, text: str, least: int = 40) -> Da
     references or bibliography on is dropped; numbers are given before sections shorter than `least` are dropped, so they have gaps."""
     lines = lines_of(df, key, text)
     w = Window.partitionBy(key)
-    stop = F.min(F.when(F.col("line").rlike(r"(?i)^\s*(references|bibliography)\s*$"), F.col("line_no"))).over(w)
+    stop = F.min(F.when(F.col("line").rlike(END_OF_CONTENT), F.col("line_no"))).over(w)
     lines = lines.withColumn("stop", stop).where("stop is null or line_no < stop").drop("stop")
     parts = islands(heading_lines(lines, key), key, F.col("heading")).groupBy(key, "grp").agg(joined_lines(lines, [key]).alias("body"), F.min_by("line", "line_no").alias("top"), F.max("heading").alias("headed"))
     body = F.trim(F.regexp_replace("body", r"^\s+|\s+$", ""))
@@ -64,7 +69,6 @@ def numbered_sections(df: DataFrame, key: str, text: str, least: int = 40) -> Da
 
 def merge_stubs(fragments: DataFrame, group: str, order: str, text: str, least: int) -> DataFrame:
     """(group, fragment, n, text, char_len): fragments shorter than `least` fold into the one before, by their own length; a short first one takes the next."""
-    w = Window.partitionBy(group).orderBy(order)
     f = fragments.select(group, F.col(order).alias("o"), F.col(text).alias("t")).withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy("o")))
     keep = (F.col("rn") == 1) | (F.length("t") >= least)
     f = f.withColumn("isle", F.sum(keep.cast("bigint")).over(Window.partitionBy(group).orderBy("o")))
@@ -73,7 +77,6 @@ def merge_stubs(fragments: DataFrame, group: str, order: str, text: str, least:
     parts = parts.withColumn("place", F.when(first & (F.col("isle") <= 2), 1).otherwise(F.col("isle")))
     merged = parts.groupBy(group, "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("isle", "t"))), lambda x: x["t"]), "\n").alias("text"), F.sum("n").alias("n"))
     out = merged.withColumn("fragment", F.row_number().over(Window.partitionBy(group).orderBy("place")).cast("bigint"))
-    del w
     return out.select(group, "fragment", "n", "text", F.length("text").cast("bigint").alias("char_len"))
 
 
@@ -115,10 +118,10 @@ def item_units(text: str, lane: str | None) -> list[tuple[str | None, str]]:
     """(title, body): filings are divided at their ITEM lines where there are at least three; what stands before the first is kept only if it is longer than
     400 characters. Other lanes are one unit."""
     if lane == "html":
-        hits = list(re.finditer(r"(?im)^[ \t]*(item[ \t]+\d+[a-z]?\.?)\s+([A-Z][^\n]{0,80})", text))
-        if len(hits) >= 3:
+        hits = list(re.finditer(ITEM_LINE, text))
+        if len(hits) >= LEAST_ITEMS:
             ends = [h.start() for h in hits[1:]] + [len(text)]
-            units: list[tuple[str | None, str]] = [("Front Matter", text[: hits[0].start()])] if hits[0].start() > 400 else []
+            units: list[tuple[str | None, str]] = [("Front Matter", text[: hits[0].start()])] if hits[0].start() > LONGEST_DROPPED_FRONT else []
             return units + [(re.sub(r"\s+", " ", h.group()).strip()[:80], text[h.start() : e]) for h, e in zip(hits, ends)]
     return [(None, text)]
 
