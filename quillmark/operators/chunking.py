@@ -150,3 +150,52 @@ def lane_of(source: Column, path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
     by_source = F.when(source == "sec", "html").when(source == "archive", "scanned").otherwise("pdf")
     return F.when(ext.isin(".htm", ".html"), "html").when(ext.isin(".md", ".txt"), "md").otherwise(by_source)
+
+
+SUBHEAD = r"^\s*([A-Z])\.?\s+([A-Z][A-Za-z][^\n]{0,50})$"  # fixed value: a lettered heading of the second tier
+
+
+def split_giants(sections: DataFrame, key: str, giant: int = 5000) -> DataFrame:
+    """(key, section_idx, frag, title, text): sections longer than `giant` divided at lettered subheads whose letters climb; the part before the first keeps the
+    section's title. Shorter sections are one fragment."""
+    small = sections.where(F.length("text") <= giant).select(key, "section_idx", F.lit(0).cast("bigint").alias("frag"), "title", "text")
+    big = sections.where(F.length("text") > giant).select(key, "section_idx", "title", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    letter = F.when(F.col("line").rlike(SUBHEAD) & ~F.trim("line").rlike("[,;:]$"), F.regexp_extract("line", SUBHEAD, 1))
+    w = Window.partitionBy(key, "section_idx").orderBy("line_no")
+    big = big.withColumn("letter", letter).withColumn("before", F.max("letter").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    big = big.withColumn("head", F.col("letter").isNotNull() & (F.col("before").isNull() | (F.col("letter") > F.col("before"))))
+    big = big.withColumn("frag", F.sum(F.col("head").cast("bigint")).over(w))
+    parts = big.groupBy(key, "section_idx", "frag").agg(joined_lines(big, [key]).alias("text"), F.min_by(F.when(F.col("head"), F.trim("line")).otherwise(F.col("title")), "line_no").alias("title"))
+    return small.unionByName(parts.where(F.length(F.trim("text")) > 0).select(key, "section_idx", "frag", "title", "text"))
+
+
+def resize_sections(sections: DataFrame, key: str, giant: int = 5000, stub: int = 500) -> DataFrame:
+    """(key, section_idx, title, text, char_len): giants divided, stubs folded backward inside their section (a short first one takes the next and keeps its
+    title), sections left with one short fragment folded into the section before; ids g, g#A, g#B, ..."""
+    frags = split_giants(sections, key, giant).withColumn("g", F.struct(key, "section_idx"))
+    titles = frags.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("frag", "title"))).alias("titles"))
+    merged = merge_stubs(frags, "g", "frag", "text", stub)
+    firsts = frags.select("g", "frag", F.row_number().over(Window.partitionBy("g").orderBy("frag")).alias("rn"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("fragment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    merged = merged.withColumn("start", start).join(firsts.select("g", F.col("rn").alias("start"), "frag"), ["g", "start"]).join(titles, "g")
+    merged = merged.select("g", "fragment", F.element_at("titles", F.col("frag")).alias("title"), "text")
+    per = merged.withColumn("parts", F.count("*").over(Window.partitionBy("g"))).select(F.col(f"g.{key}").alias(key), F.col("g.section_idx").alias("s"), "fragment", "title", "text", "parts")
+    w = Window.partitionBy(key).orderBy("s", "fragment")
+    runt = (F.col("parts") == 1) & (F.length("text") < stub) & (F.row_number().over(w) > 1)
+    per = per.withColumn("runt", runt).withColumn("isle", F.sum((~F.col("runt")).cast("bigint")).over(w))
+    out = per.groupBy(key, "isle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "fragment", "text"))), lambda x: x["text"]), "\n").alias("text"), F.min_by("title", F.struct("s", "fragment")).alias("title"), F.min("s").alias("s"), F.min_by("fragment", F.struct("s", "fragment")).alias("fragment"))
+    ids = Window.partitionBy(key, "s").orderBy("fragment")
+    j = F.row_number().over(ids) - 1
+    name = F.concat(F.col("s").cast("string"), F.when(j > 0, F.concat(F.lit("#"), F.chr(64 + j))).otherwise(""))
+    return out.select(key, name.alias("section_idx"), "title", "text", F.length("text").cast("bigint").alias("char_len"))
+
+
+def markdown_sections(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, grp, heading, body): divided at lines that begin with '## '; tables of contents are left out, and a body begins with its heading."""
+    lines = islands(lines_of(df, key, text), key, F.col("line").startswith("## "))
+    parts = lines.groupBy(key, "grp").agg(joined_lines(lines, [key]).alias("body"), F.min_by("line", "line_no").alias("top"))
+    head = F.when(F.col("top").startswith("## "), F.trim(F.substring("top", 4, 10_000)))
+    parts = parts.withColumn("heading", head).where(F.col("heading").isNull() | ~F.lower("heading").contains("table of contents"))
+    body = F.trim("body")
+    prefix = F.concat(F.lit("## "), "heading")
+    return parts.select(key, "grp", "heading", F.when(F.col("heading").isNotNull() & ~body.startswith(prefix), F.concat(prefix, F.lit("\n\n"), body)).otherwise(body).alias("body")).where(F.length("body") > 0)

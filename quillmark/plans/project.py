@@ -508,3 +508,40 @@ def cache_replay(spark, sf):
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
 def stream_hourly(spark, sf):
     return ingest.run_to_table(ingest.hourly(ingest.event_stream(spark, sf)))
+
+
+# ---- more sections, samples and fingerprints
+@query("SELECT doc_id, grp, heading, CASE WHEN heading IS NOT NULL AND NOT starts_with(b, '## ' || heading) THEN '## ' || heading || chr(10) || chr(10) || b ELSE b END AS body FROM (SELECT doc_id, grp, trim(string_agg(line, chr(10) ORDER BY line_no), ' ') AS b, CASE WHEN starts_with(min_by(line, line_no), '## ') THEN trim(substr(min_by(line, line_no), 4, 10000), ' ') END AS heading FROM (SELECT doc_id, line_no, line, sum(CAST(starts_with(line, '## ') AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS grp FROM (SELECT doc_id, unnest(range(0, len(l)))::BIGINT AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))) GROUP BY 1, 2) WHERE (heading IS NULL OR NOT contains(lower(heading), 'table of contents')) AND length(b) > 0")
+def markdown_sections(spark, sf):
+    return chunking.markdown_sections(table(spark, sf, "documents").where("text is not null"), "doc_id", "text")
+
+
+@query()
+def resized_sections(spark, sf):
+    return chunking.resize_sections(chunking.numbered_sections(table(spark, sf, "documents").where("text is not null"), "doc_id", "text"), "doc_id")
+
+
+@query(sql(SECTIONS, "SELECT parent_id FROM sec ORDER BY sha256('s1|' || parent_id) LIMIT 20"))
+def random_sample(spark, sf):
+    return sections(spark, sf).select("parent_id").orderBy(golden.hash_order("s1", "parent_id")).limit(20)
+
+
+@query("SELECT source, count(*) AS n, sum(('0x' || left(sha256(doc_id::VARCHAR || chr(0) || coalesce(text, '')), 8))::BIGINT)::BIGINT AS fingerprint FROM documents GROUP BY 1")
+def corpus_fingerprint(spark, sf):
+    """A fingerprint of every source's texts that needs no order: the sum of the rows' hashes, partially added up in each task."""
+    h = F.conv(F.substring(T.fingerprint(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 1, 8), 16, 10).cast("bigint")
+    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(h).alias("fingerprint"))
+
+
+@query(sql(QA, "SELECT id, fp, keep FROM (SELECT id, sha256('factual' || chr(0) || query) AS fp, _gen IS NOT NULL AS keep FROM q WHERE query IS NOT NULL AND type = 'factual')"))
+def generation_fingerprints(spark, sf):
+    q = questions(spark, sf).where("query is not null and type = 'factual'")
+    return q.select("id", T.fingerprint(F.lit("factual"), F.col("query")).alias("fp"), F.col("_gen").isNotNull().alias("keep"))
+
+
+@query(sql(QA, "SELECT n.id AS negative_id, n._near_miss_of AS parent_id, count(o.id) AS answerable_by FROM q n LEFT JOIN q o ON o.type != 'negative' AND list_contains(o.relevant_parent_ids, n._near_miss_of) WHERE n.type = 'negative' AND n._near_miss_of IS NOT NULL GROUP BY 1, 2"))
+def near_miss_negatives(spark, sf):
+    q = questions(spark, sf)
+    n = q.where("type = 'negative' and _near_miss_of is not null").select(F.col("id").alias("negative_id"), F.col("_near_miss_of").alias("parent_id"))
+    o = q.where("type != 'negative'").select("id", F.explode(F.array_distinct("relevant_parent_ids")).alias("parent_id"))
+    return n.join(o, "parent_id", "left").groupBy("negative_id", "parent_id").agg(F.count("id").alias("answerable_by"))

@@ -436,3 +436,31 @@ def ab_diff(spark, sf):
 @query(sql(WINDOWS + GOLD, "SELECT qid, doc_id FROM gold"))
 def gold_labels(spark, sf):
     return Corpus(spark, sf).gold()
+
+
+@query(sql(WINDOWS + BM25 + TFIDF + GOLD + HYBRID, """SELECT qid, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS suggested FROM (
+  SELECT h.qid, h.doc_id, h.rank, row_number() OVER (PARTITION BY h.qid ORDER BY h.rank) AS n FROM hy h ANTI JOIN gold g ON g.qid = h.qid AND g.doc_id = h.doc_id
+  WHERE h.rank <= 5 AND h.qid IN (SELECT qid FROM gold) AND h.qid NOT IN (SELECT h2.qid FROM hy h2 JOIN gold g2 ON g2.qid = h2.qid AND g2.doc_id = h2.doc_id WHERE h2.rank = 1)) WHERE n <= 3 GROUP BY 1"""))
+def multilabel_suggest(spark, sf):
+    c = Corpus(spark, sf)
+    gold, top = c.gold(), c.hybrid().where("rank <= 5")
+    first = top.where("rank = 1").join(gold, ["qid", "doc_id"], "left_semi").select("qid")
+    other = top.join(gold.select("qid").distinct(), "qid", "left_semi").join(first, "qid", "left_anti").join(gold, ["qid", "doc_id"], "left_anti")
+    three = retrieve.ranked(other.withColumnRenamed("rank", "r"), "qid", [F.col("r")], "n", 3)
+    return three.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("suggested"))
+
+
+ANSWER = "'Context:' || chr(10) || string_agg('[' || p.rank || '] ' || coalesce(d.title, '') || chr(10) || left(d.text, 4000), chr(10) || chr(10) ORDER BY p.rank) || chr(10) || chr(10) || 'Question: ' || any_value(q.query) || chr(10) || 'Answer:'"
+
+
+@query(sql(WINDOWS + BM25 + parent_rank("pb", "bm"), f"SELECT p.qid, sha256({ANSWER}) AS prompt_hash, length({ANSWER}) AS n FROM pb p JOIN documents d USING (doc_id) JOIN questions q ON q.qid = p.qid WHERE p.rank <= 3 GROUP BY 1"))
+def answer_prompts(spark, sf):
+    """The grounded prompt of every question: its three best documents, each cut to the grader's budget, best first; a model's answer would stand beside it, and
+    without a model the prompt's context is what is given."""
+    c = Corpus(spark, sf)
+    top = Corpus.parents_of(c.bm25_children()).where("rank <= 3")
+    j = top.join(table(spark, sf, "documents").select("doc_id", "title", "text"), "doc_id").join(c.questions, "qid")
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.substring("text", 1, 4000))
+    g = j.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("ctx"), F.first("query").alias("query"))
+    prompt = F.concat(F.lit("Context:\n"), "ctx", F.lit("\n\nQuestion: "), "query", F.lit("\nAnswer:"))
+    return g.select("qid", F.sha2(prompt, 256).alias("prompt_hash"), F.length(prompt).cast("bigint").alias("n"))

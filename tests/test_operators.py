@@ -192,3 +192,35 @@ def test_plan(spark, sf):
     d = retrieval.QUERIES["bm25_parent_rank"](spark, sf)
     plan = d._jdf.queryExecution().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "CartesianProduct" not in plan
+
+
+def test_resize(spark):
+    body = "x" * 2600
+    giant = f"intro\n{body}\nA. Retrieval Source\n{body}\nA. Again lower\nB. Indexing\n{body}\nC. Trailing comma,"
+    df = spark.createDataFrame([(1, 0, "1 One", giant), (1, 1, "2 Runt", "tiny"), (1, 2, "3 Three", "y" * 600)], "d int, section_idx bigint, title string, text string")
+    got = rows(chunking.resize_sections(df, "d"), "d", "section_idx", "title")
+    assert got == [(1, "0", "1 One"), (1, "0#A", "A. Retrieval Source"), (1, "0#B", "B. Indexing"), (1, "2", "3 Three")]
+    assert chunking.resize_sections(df, "d").where("section_idx = '0#B'").first().text.endswith("C. Trailing comma,\ntiny")
+    assert chunking.resize_sections(df.limit(0), "d").count() == 0
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([(1, "top\n## Table of Contents\na\n## Real part\nbody")], "d int, t string")
+    got = {r.grp: (r.heading, r.body) for r in chunking.markdown_sections(df, "d", "t").collect()}
+    assert got == {0: (None, "top"), 2: ("Real part", "## Real part\nbody")}
+
+
+def test_tables(spark):
+    from quillmark.plans import tables
+
+    tables.create_database(spark, "quillmark_test", reset=True)
+    try:
+        tables.build(spark, "quillmark_test", "postings", spark.range(100).selectExpr("id % 7 AS term", "id"), "term", 4)
+        tables.build(spark, "quillmark_test", "postings", spark.range(1).selectExpr("id AS term", "id"), "term", 4)
+        tables.analyze(spark, "quillmark_test", "postings")
+        t = spark.table("quillmark_test.postings")
+        assert t.count() == 100 and "Bucketed: true" in tables.plan_of(t.groupBy("term").count())
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS quillmark_test CASCADE")
+    assert [r.ok for r in tables.checks(spark, [("a", 1, 1, "=="), ("b", 2, 3, ">=")]).collect()] == [True, False]
+    assert tables.collection_name("lab", "BGE-M3.v1") == "lab__bge_m3_v1" and tables.candidates(200, 50) == 200
