@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,7 @@ NUMERAL = re.compile(r"\s*[\d]{1,4}\s*|\s*[ivxlc]{1,7}\s*")
 CHUNK = re.compile(r"[^\s.,;:?\"“”„«»()\[\]{}—…]+")
 BREAK = re.compile(rf"([^\s.,;:?\"“”()\[\]{{}}—…{HYPHENS}][^\s.,;:?\"“”()\[\]{{}}—…]*?)\s?[{HYPHENS}]\s*\Z")
 ODD = re.compile(r"[ﬀ-ﬆ]|[A-Za-z][@†ſ|¢$€!][A-Za-z]|^[@†ſ|¢$€][A-Za-z]{2}|[A-Za-z]{2}[@†ſ|¢$€]$|[A-Za-z][0-9]+[A-Za-z]|^[0-9][A-Za-z]{3,}|[A-Za-z]{2,}[0-9]$")
+INNER_CAPITAL, LETTER, ROMAN, CAPITAL_PREFIX = re.compile(r"[a-zà-ÿ][A-Z]"), re.compile(r"[^\W\d_]"), re.compile(r"[IVXLC]+"), re.compile(r"(?:Mc|Mac|De|La|Le|O['’])")
 ORDINAL = re.compile(r"\d+(?:st|nd|rd|th|d|mo|vo|to|s)\Z")
 
 
@@ -104,10 +106,25 @@ class Word:
         self.text, self.line, self.line2, self.cut, self.hyphen, self.start = text, line, line2, cut, hyphen, start
 
 
+@lru_cache(maxsize=300_000)
 def key_of(w: str) -> str:
     """Lower case, but for capitals inside a word, which no one writes."""
     w = w.strip("'‘’-=¬­‐‑*_~`<>^/\\+#&%")
-    return w if re.search(r"[a-zà-ÿ][A-Z]", w) else w.lower()
+    return w if INNER_CAPITAL.search(w) else w.lower()
+
+
+@lru_cache(maxsize=300_000)
+def counted_key(w: str) -> str:
+    """The key of a word that counts: neither a Roman numeral in capitals nor without letters (then empty)."""
+    k = key_of(w)
+    return k if LETTER.search(k) and not ROMAN.fullmatch(w) else ""
+
+
+@lru_cache(maxsize=300_000)
+def looks_misread(w: str) -> tuple[bool, bool]:
+    """Whether a word holds signs that no word has, and whether it has accents."""
+    odd = bool(ODD.search(w)) and not ORDINAL.fullmatch(w) or bool(INNER_CAPITAL.search(w)) and not CAPITAL_PREFIX.match(w)
+    return odd, w.translate(PLAIN) != w
 
 
 def read_words(lines: list[str], kinds: list[str]) -> list[Word]:
@@ -135,10 +152,10 @@ def read_words(lines: list[str], kinds: list[str]) -> list[Word]:
             first = m.group(1)
             pending = Word(key_of(first), i, cut=len(key_of(first)), hyphen="-")
             found = [x for x in found if x.start() < m.start(1)]
-        out += [Word(key_of(x.group()), i) for x in found if not re.fullmatch(r"[IVXLC]+", x.group())]
+        out += [Word(k, i) for x in found if (k := counted_key(x.group()))]
     if pending is not None:
         out.append(Word(key_of(pending.text), pending.line))
-    return [w for w in out if re.search(r"[^\W\d_]", w.text)]
+    return [w for w in out if LETTER.search(w.text)]
 
 
 def deletions(w: str, most: int = 2) -> dict[str, int]:
@@ -246,7 +263,6 @@ def repairs(pages: DataFrame) -> DataFrame:
     function = list(FUNCTION)
     cand = written(_candidates(words.where(~F.col("w").isin(function) | (F.col("n") >= LEAST_COUNT))).where(~F.col("w").isin(function)))
     near = pages.sparkSession.sparkContext.broadcast(_bloom(cand.select(F.xxhash64("w").alias("h")).distinct(), 23).tobytes())
-    import xxhash  # noqa: F401
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -275,7 +291,8 @@ def repairs(pages: DataFrame) -> DataFrame:
                     before, after = ws[k - 1].text if k else "", ws[k + 1].text if k + 1 < len(ws) else ""
                     if w.line2 >= 0:
                         out.append((tbl, i, "break", w.line + 1, w.line2 + 1, w.cut, w.text, before, after, None))
-                    odd = bool(ODD.search(w.text)) and not ORDINAL.fullmatch(w.text) or re.search(r"[a-zà-ÿ][A-Z]", w.text) and not re.match(r"(?:Mc|Mac|De|La|Le|O['’])", w.text) or plain and w.text.translate(PLAIN) != w.text
+                    sign, accent = looks_misread(w.text)
+                    odd = sign or plain and accent
                     if odd or maybe(w.text):
                         out.append((tbl, i, "word", w.line + 1, w.line2 + 1 if w.line2 >= 0 else -1, w.cut, w.text, before, after, "odd" if odd else None))
             yield pd.DataFrame(out, columns=["tbl", "item_id", "what", "line_no", "line2", "cut", "w", "before", "after", "odd"])
