@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.shingles import HASH_BITS, M1, blocks, mix, shingle_sets
-from quillmark.session import written
+from quillmark.session import small, written
 
 SKETCH_BITS = 20
 SUBSET, MOST_MEETINGS = 2, 12
@@ -319,18 +319,30 @@ def _verified(src: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     return both.withColumn("common", common).withColumn("similarity", similar).where(F.col("similarity") >= t - 1e-12).select("a", "b", "similarity")
 
 
-def linked_keys(classes: DataFrame, pairs: DataFrame, whole: int = 64) -> DataFrame:
-    """Pairs of different keys (key_a < key_b) of similar or equal sets. Inside a class of up to `whole` copies every pair is given; a larger class gives
-    every copy with the class's first key only, which says the same in linear size."""
+def linked_keys(classes: DataFrame, pairs: DataFrame, whole: int | None = None, block: int = 256) -> DataFrame:
+    """Pairs of different keys (key_a < key_b) of similar or equal sets: every one, also inside a class and between all members of two similar classes. A
+    class is an equal set, not an equal text, so none of its members stands for another. Classes of more than `block` keys are joined block by block, so
+    that the pairs of a hot class spread over the tasks.
+
+    Only if asked for by `whole`, a class of more than `whole` keys gives every key with the class's first key alone, and that one for links outside."""
     of = classes.groupBy("h").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
-    members = classes.join(of, "h").select("h", "key", "rep", "size")
-    shown = members.where((F.col("size") <= whole) | (F.col("key") == F.col("rep")))
-    ends = lambda c, k: shown.select(F.col("h").alias(c), F.col("key").alias(k))
-    across = pairs.select("a", "b").join(ends("a", "x"), "a").join(ends("b", "y"), "b").select("x", "y")
-    small = members.where(F.col("size").between(2, whole))
-    inside = small.select("h", F.col("key").alias("x")).join(small.select("h", F.col("key").alias("y")), "h").where("x < y").select("x", "y")
-    star = members.where((F.col("size") > whole) & (F.col("key") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("key").alias("y"))
-    every = across.unionByName(inside).unionByName(star).where("x != y")
+    inside = of.where("size > 1").select(F.col("h").alias("a"), F.col("h").alias("b"))
+    star, shown = None, classes.select("h", "key")
+    if whole is not None:
+        sized = classes.join(of, "h")
+        star = sized.where((F.col("size") > whole) & (F.col("key") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("key").alias("y"))
+        shown = sized.where((F.col("size") <= whole) | (F.col("key") == F.col("rep"))).select("h", "key")
+    large = written(of.where(F.col("size") > block).select("h", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    large = small(large)
+    part = F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int")
+    members = shown.join(large, "h", "left").select("h", part.alias("part"), "key")
+    links = pairs.select("a", "b").unionByName(inside)
+    for end in ("a", "b"):
+        links = links.join(large.select(F.col("h").alias(end), "blocks"), end, "left").withColumn(f"part_{end}", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    ends = lambda c, k: members.select(F.col("h").alias(c), F.col("part").alias(f"part_{c}"), F.col("key").alias(k))
+    links = links.where("a != b or part_a <= part_b")
+    every = links.join(ends("a", "x"), ["a", "part_a"]).join(ends("b", "y"), ["b", "part_b"]).where("x != y and (a != b or part_a < part_b or x < y)").select("x", "y")
+    every = every if star is None else every.unionByName(star)
     return every.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 

@@ -156,6 +156,17 @@ def test_near_duplicates(spark, monkeypatch, limit):
     assert all(g[a] == g[b] for a, b in got) and len(set(g.values())) > 10
 
 
+def test_large_classes_give_all_pairs(spark):
+    base = " ".join(WORDS[:30])
+    texts = {f"k{i:03}": base.upper() if i % 2 else base for i in range(70)} | {f"n{i}": base + f" x{i // 2}" for i in range(4)}
+    d = spark.createDataFrame(list(texts.items()) + [("k000", base + " x0")], "id string, text string")
+    classes, found = neardup.near_duplicates(d, "id", "text", 0.6, 3, 12)
+    want = {(a, b) for a in texts for b in texts if a < b}
+    for block in (256, 9):
+        got = [tuple(r) for r in neardup.linked_keys(classes, found, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_near_duplicates_empty(spark):
     d = spark.createDataFrame([("a", None), ("b", "")], "id string, text string")
     classes, found = neardup.near_duplicates(d, "id", "text")
