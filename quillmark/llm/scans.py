@@ -2,7 +2,7 @@
 
 1. Layout rules mark page numbers and running headers by line; what remains are text lines, whose words are read in order, a word divided by a line break
    as one (over page breaks too).
-2. A lexicon counts the words of all pages (map-side in each task first).
+2. A lexicon counts the words of all pages, lines that stand on several pages once.
 3. Words and their deletions of up to two characters meet in a symmetric-delete join with those of more frequent words; a weighted edit distance, in which
    misreadings known from print (rn for m, 1 for l, ...) are cheap, keeps candidates, which have to be `RATIO` times as frequent.
 4. Divided words are joined, or keep their hyphen as compounds, by which form the lexicon knows better.
@@ -14,9 +14,10 @@ of fixed size (exact after the join).
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -207,24 +208,38 @@ def english(words: list[Word]) -> bool:
 
 
 def _lexicon(pages: DataFrame) -> DataFrame:
-    """(w, n) of all words, and ('a b', n) of all pairs of neighbours; words divided by line breaks count 0."""
+    """(w, n) of all words, and ('a b', n) of all pairs of neighbours; words divided by line breaks count 0.
+
+    A line that stands on several pages counts as often as on the page that has it most: the misreadings of a page that was delivered under many keys,
+    changed here and there or not, are as rare as those of a page delivered once."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        sent: set[bytes] = set()
         for b in batches:
+            out = []
             for text, first in zip(b["text"], b["first"]):
                 lines = text.split("\n")
                 words = read_words(lines, line_kinds(lines, first))
-                total.update(w.text for w in words if w.line2 < 0)
-                total.update({w.text: 0 for w in words if w.line2 >= 0})
-                for a, z in zip(words, words[1:]):
-                    total[f"{a.text} {z.text}"] += 1
-                if len(total) > 400_000:
-                    yield pd.DataFrame(list(total.items()), columns=["w", "n"])
-                    total.clear()
-        yield pd.DataFrame(list(total.items()), columns=["w", "n"])
-
-    return pages.select("text", "first").mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+                whole, divided = defaultdict(list), defaultdict(list)
+                for k, w in enumerate(words):
+                    (whole if w.line2 < 0 else divided)[w.line].append(w.text)
+                    if k:
+                        whole[w.line].append(f"{words[k - 1].text} {w.text}")
+                times: Counter = Counter()
+                for i in whole.keys() | divided.keys():
+                    says = "\n".join([*whole[i], "", *divided[i]]).encode()
+                    times[says] += 1
+                    line = hashlib.blake2b(b"%d " % times[says] + says, digest_size=16).digest()
+                    if line not in sent:
+                        sent.add(line)
+                        out.append((line, whole[i], divided[i]))
+            if len(sent) > 400_000:
+                sent.clear()
+            yield pd.DataFrame(out, columns=["line", "whole", "divided"])
+
+    lines = pages.select("text", "first").mapInPandas(count, "line binary, whole array<string>, divided array<string>").dropDuplicates(["line"])
+    said = lines.select(F.explode(F.concat(*(F.transform(c, lambda w, n=n: F.struct(w.alias("w"), F.lit(n).cast("bigint").alias("n"))) for c, n in (("whole", 1), ("divided", 0))))).alias("x"))
+    return said.groupBy("x.w").agg(F.sum("x.n").alias("n"))
 
 
 def _candidates(words: DataFrame) -> DataFrame:

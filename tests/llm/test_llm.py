@@ -119,6 +119,13 @@ def test_scans(spark):
     assert scans.repairs(d.limit(0)).count() == 0
 
 
+def test_scans_of_many_copies(spark):
+    data = [("s", "f", FILL, 0)] + [("s", f"c{i}", PAGE, 0) for i in range(20)] + [("q", f"m{i}", f"error {i}\n{PAGE}", 1) for i in range(20)] + [("s", f"v{i}", f"{PAGE} The stone {i % 7} was there.", 0) for i in range(20)]
+    rep = scans.repairs(spark.createDataFrame(data, "tbl string, item_id string, text string, first int")).where("noise = 'misread'")
+    got = rows(rep.groupBy("tbl", "item_id").agg(F.sort_array(F.collect_set("line_no")).alias("lines")), "item_id", "lines")
+    assert len(got) == 60 and all(lines == ([3, 6, 10] if i[0] == "m" else [2, 5, 9]) for i, lines in got)
+
+
 def test_weighted_distance():
     assert scans.weighted_distance("rnargin", "margin")[0] < 0.5 < scans.weighted_distance("bargin", "margin")[0]
     assert scans.weighted_distance("viUage", "village")[0] < 0.5 and scans.weighted_distance("abc", "abc") == (0.0, -1)
