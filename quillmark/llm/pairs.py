@@ -4,13 +4,16 @@ Order: `empty` (nothing, or only filler) ends the rules; then `refusal` (a multi
 answer is the question again, whole or a cut prefix of it, with or without a label, quotes or an ellipsis) end them too; else `truncated` (unclosed
 delimiter, ellipsis, or an ending that is no sentence end) and `other_language` (script mismatch, or the function words of another language) may both hold.
 
-Whether an answer without closing mark stops inside its sentence is decided from the corpus: the sentence's frame (function words kept, other words, names
-and numbers blanked) is looked up among the frames of all finished sentences of all answers. Numbers, names and lists are complete.
+Whether an answer without closing mark stops inside its sentence is decided by its last word (an article, conjunction or preposition leaves it open), then from
+the corpus: of the finished sentences of all answers that begin with the sentence's frame (function words kept, other words, names and numbers blanked), more
+have to end with it than go on. The share does not move with the number of rows; a frame that no finished sentence begins with is unfinished. Numbers, names
+and lists are complete.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,6 +43,8 @@ WORDS = {
 }
 LANG = {k: frozenset(v.split()) - frozenset(x for j, w in WORDS.items() if j != k for x in w.split()) for k, v in WORDS.items()}
 FUNCTION = frozenset(" ".join(WORDS.values()).split()) | frozenset("a near more than after before during until while some all none so such only rather but then over up out there stood he she they we you my our his her their these those most be can must may should could have been".split())
+#: Words after which a sentence goes on.
+LEFT_OPEN = frozenset("the a an of and or from for with into its each if than und ein eine einen einem einer eines dem des für von mit zu le la les du et une pour dans par sur aux el los las del y en para por una al".split())
 LABEL = re.compile(r"(?i)^\s*(?:the question is|question|q|frage|pregunta|la question est|la pregunta es|query|prompt)\s*[:\-–]\s*")
 QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -138,7 +143,10 @@ def judge(kind: str | None, query: str | None, answer: str | None) -> tuple[list
     if unclosed(text) or re.search(r"(?:\.\.\.|…)[\"'”»)]*\Z", text):
         out.append("truncated")
     elif not ENDED.search(text) and not (listing(text)):
-        open_frame = frame(fragment(text))
+        if re.search(r"[^\W\d_]\Z", text) and WORD.findall(text)[-1].lower() in LEFT_OPEN:
+            out.append("truncated")
+        else:
+            open_frame = frame(fragment(text))
     if other_language(query, answer):
         out.append("other_language")
     return out, open_frame
@@ -154,17 +162,22 @@ def defects(df: DataFrame, id_col: str = "id", type_col: str = "type", query_col
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
+            ends: Counter = Counter()
+            goes_on: Counter = Counter()
             for i, k, q, a in zip(b["id"], b["kind"], b["q"], b["a"]):
                 found, open_frame = judge(k, q, a)
-                out += [(i, x, None, None) for x in found]
+                out += [(i, x, None, None, None) for x in found]
                 if open_frame is not None:
-                    out.append((i, None, open_frame, None))
+                    out.append((i, None, open_frame, None, None))
                 if a:  # frames of the finished sentences
                     s = re.split(r"(?<=[.!?])[\"'”»)]*\s+(?=[\"'“«(„¿¡]?[A-ZÀ-Þ0-9$])", a.strip())
-                    out += [(None, None, None, f) for f in {frame(x) for x in s if ENDED.search(x)}]
-            yield pd.DataFrame(out, columns=["id", "defect", "open", "closed"], dtype=object)
-
-    ran = d.mapInPandas(run, "id string, defect string, open string, closed string")
-    frames = ran.where("closed is not null").groupBy("closed").count().where("count > 1").select(F.col("closed").alias("open"))
-    cut = ran.where("open is not null").join(frames, "open", "left_anti").select("id", F.lit("truncated").alias("defect"))
+                    for f in {frame(x) for x in s if ENDED.search(x)}:
+                        ends[f] += 1
+                        goes_on.update(f[: m.start()] for m in re.finditer(" ", f))
+            out += [(None, None, f, ends[f], goes_on[f]) for f in ends.keys() | goes_on.keys()]
+            yield pd.DataFrame(out, columns=["id", "defect", "open", "ends", "goes_on"], dtype=object)
+
+    ran = d.mapInPandas(run, "id string, defect string, open string, ends bigint, goes_on bigint")
+    frames = ran.where("ends is not null").groupBy("open").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")).where("ends > goes_on").select("open")
+    cut = ran.where("id is not null and open is not null").join(frames, "open", "left_anti").select("id", F.lit("truncated").alias("defect"))
     return ran.where("defect is not null").select("id", "defect").unionByName(cut).distinct()

@@ -239,6 +239,17 @@ def test_defects(spark):
     assert pairs.defects(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 2, 8])
+def test_unfinished_whatever_the_size(spark, times):
+    names = ["Halle", "Berne", "Rome", "Fens", "Quens", "Oslo", "Turin", "Basel"]
+    data = [("cut", "The board of Essen approved"), ("cut2", "The board of Essen approved a loss and the"), ("done", "In 1990 the reserve fell")]
+    for k, x in enumerate(names[:times]):
+        data += [(f"a{k}", f"The board of {x} agreed."), *((f"{b}{k}", f"The board of {x} approved a loss of {n} percent.") for n, b in enumerate("bcde"))]
+        data.append((f"f{k}", f"In 199{k} the account moved."))
+    d = spark.createDataFrame([(i, "factual", Q, a) for i, a in data], "id string, type string, query string, _answer string")
+    assert rows(pairs.defects(d)) == [("cut", "truncated"), ("cut2", "truncated")]
+
+
 # ---- 8 packing
 def test_packing(spark):
     rng = np.random.default_rng(2)
