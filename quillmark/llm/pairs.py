@@ -1,4 +1,4 @@
-"""Broken prompt and response pairs: ordered rules, every triggered defect.
+"""Broken prompt and response pairs: ordered rules; `empty`, `refusal` and `copy` exclude the others, which may hold together.
 
 Order: `empty` (nothing, or only filler) ends the rules; then `refusal` (a multilingual refusal phrase opens the answer, whatever follows) and `copy` (the
 answer is the question again, whole or a cut prefix of it, with or without a label, quotes or an ellipsis) end them too; else `truncated` (unclosed
