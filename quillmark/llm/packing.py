@@ -1,4 +1,4 @@
-"""Filling containers of fixed capacity with whole items: optimal length buckets, then token-budget batches inside each bucket.
+"""Filling containers of fixed capacity with whole items: optimal length buckets bound the top length, best fit over all lengths fills the rest.
 
 1. Lengths (tokens of a public tokenizer) are counted into a histogram, which has at most `capacity` + 1 bars, whatever the number of items.
 2. Dynamic programming over the histogram chooses bucket bounds that minimise padding, among the shares of the capacity (capacity // k for k items).
