@@ -346,13 +346,14 @@ def linked_keys(classes: DataFrame, pairs: DataFrame, whole: int | None = None,
     return every.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
-def groups(classes: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def groups(classes: DataFrame, pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """(key, group_id, links): connected groups of similar texts; group_id is the least class name, links counts the similar classes. Labels spread along
-    links and jump to their label's label, until nothing changes; every round is a written table."""
+    links and jump to their label's label, until nothing changes; every round is a written table. If `rounds` bounds them and does not suffice, it raises."""
     edges = written(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct())
     degree = edges.groupBy("a").agg(F.count("*").alias("links"))
     label = written(edges.select(F.col("a").alias("h"), F.col("a").alias("l")).distinct())
-    for _ in range(rounds):
+    done = 0
+    while True:
         spread = edges.join(label.select(F.col("h").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         nxt = label.join(spread, label.h == spread.a).select("h", F.least("l", "m").alias("l"))
         jump = nxt.select(F.col("h").alias("l"), F.col("l").alias("j"))
@@ -361,4 +362,7 @@ def groups(classes: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
         label = nxt
         if not changed:
             break
+        done += 1
+        if done == rounds:
+            raise RuntimeError(f"groups still change after {rounds} rounds")
     return classes.join(label, "h", "left").join(degree, F.col("h") == F.col("a"), "left").select("key", F.coalesce("l", "h").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -174,6 +174,14 @@ def test_large_classes_give_all_pairs(spark):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_groups_end_when_nothing_changes(spark):
+    classes = spark.createDataFrame([(f"k{i}", i) for i in range(12)], "key string, h bigint")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(11)], "a bigint, b bigint")
+    assert {r.group_id for r in neardup.groups(classes, chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        neardup.groups(classes, chain, rounds=1)
+
+
 def test_near_duplicates_empty(spark):
     d = spark.createDataFrame([("a", None), ("b", "")], "id string, text string")
     classes, found = neardup.near_duplicates(d, "id", "text")
