@@ -1,6 +1,6 @@
 """Personal information in free text: patterns propose spans, checksums confirm them, nearby words adjust the score; accepted spans become placeholders.
 
-Every proposal starts with a score for how specific its pattern is. Checksums (Luhn; mod 97 for bank and French numbers; mod 11 for Brazilian ones; the
+Every proposal starts with a score for how specific its pattern is. Checksums (Luhn; mod 97 for French numbers; mod 11 for Brazilian ones; the
 letters of Spanish ones) add to it, words in the 40 characters before it add or take away, and spans of `ACCEPT` and more stay. Overlaps go to the
 earlier kind of: email, phone, id_number, address, name. Names come from a given-and-family list that need not be complete: a word outside it counts as
 likely when its beginning and its ending both occur in list words of that kind, and a span needs a listed word or a personal context.
@@ -20,7 +20,7 @@ S = r"[\s.\-‑–/]"
 AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|AT|arroba|@)\s?[\])}>]\s?|\s(?:at|AT)\s(?=[\w-]+\s(?:dot|DOT)\s))"
 DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|DOT|punto|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s)"
 EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9_](?:[\w.+%-]*\w)?{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*{DOT}[A-Za-z]{{2,}}(?![\w@])")
-EMAIL_HINTS = ("@", "at)", "at]", "at}", "at>", "AT)", "AT]", "AT}", "arroba", " dot ", " DOT ", "at )", "at ]")
+EMAIL_HINTS = ("@", "at)", "at]", "at}", "at>", "AT)", "AT]", "AT}", "arroba", " dot ", " DOT ", *(f"{a} {z}" for a in ("at", "AT") for z in ")]}>"))
 
 PHONE = re.compile(
     r"(?<![\w+$€£.,\-/])(?:"
@@ -56,10 +56,11 @@ ADDRESS = re.compile(
     rf"|(?<!\w)\d{{1,4}}(?:\s(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route)\s+(?:(?:de|du|des|la|le|les|d['’]|l['’])\s*)*{CAP}(?:,\s+\d{{5}}\s+{CAP})?"
     rf"|(?<!\w)(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|C/)\s+(?:(?:de|del|la|las|los|el)\s+)*{CAP}(?:\s{CAP})?,?\s+(?:n[.º°]*\s?)?\d{{1,4}}(?:,\s+\d{{5}}\s+{CAP})?)"
 )
-# A place where an address may be has one of these.
+# A place where an address may be has one of these (any white space as a space), or a box in any case.
 ANCHORS = [" Street", " St.", " St,", " Road", " Rd", " Avenue", " Ave", " Boulevard", " Blvd", " Lane", " Ln", " Drive", " Dr.", " Dr,", " Close", " Crescent", " Court", " Ct", " Terrace", " Place", " Pl.", " Way", " Square", " Sq", " Row", " Parkway", " Pkwy", " Highway", " Hwy", " Circle", " Mews", " Gardens", " Hill", " Walk", " Grove"]
-ANCHORS += [x.replace(" ", "\n", 1) for x in ANCHORS]
-ANCHORS += ["Box", "BOX", "box ", "Postfach", "Apartado", "Casilla", "oîte postale", "B.P.", "straße", "strasse", "Straße", "Strasse", "str. ", "weg ", "platz ", "allee ", "gasse ", " rue ", " avenue ", " boulevard ", " chemin ", " allée ", " impasse ", " quai ", " route ", "Calle", "Avenida", "Plaza", "Paseo", "Camino", "Carrera", "C/"]
+ANCHORS += ["straße", "strasse", "Straße", "Strasse", "str. ", "weg ", "platz ", "allee ", "gasse ", "Weg ", "Platz ", "Allee ", " rue ", " place ", " avenue ", " boulevard ", " chemin ", " allée ", " impasse ", " quai ", " route ", "Calle", "Avenida", "Plaza", "Paseo", "Camino", "Carrera", "C/"]
+BOX = re.compile(r"(?i)box|postfach|apartado|casilla|boîte postale|b\.p\.")
+SPACE = re.compile(r"[^\S ]")
 NUMBERS = re.compile(r"[\d(+][\d\s().\-/–‑]{5,}")
 NAME = re.compile(rf"(?<![\w&'’-])(?:([A-ZÀ-Þ][a-zà-ÿ]+|[A-ZÀ-Þ]{{3,}})((?:\s+[A-ZÀ-Þ]\.){{0,2}})\s+([A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)?)|([A-ZÀ-Þ]\.)((?:\s?[A-ZÀ-Þ]\.){{0,1}})\s+([A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)?)|([A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)?),\s+([A-ZÀ-Þ][a-zà-ÿ]+|[A-ZÀ-Þ]{{3,}}|[A-ZÀ-Þ]\.)((?:\s?[A-ZÀ-Þ]\.){{0,2}}))(?![\w@])")
 GAP = re.compile(r"[\s,]+")
@@ -167,11 +168,12 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
             taken.append((a, z, kind))
 
     at: dict[str, list[int]] = {"email": [], "address": [], "name": []}
-    for end, (n, kinds) in names.anchors.iter(text):
+    for end, (n, kinds) in names.anchors.iter(SPACE.sub(" ", text)):
         for k in kinds:
             i = end - n + 1
             if k != "name" or not i or not text[i - 1].isalnum():
                 at[k].append(i)
+    at["address"] += [m.start() for m in BOX.finditer(text)]
     for k in at.values():
         k.sort()
     for a, z in windows(text, at["email"], 120, 120):

@@ -334,6 +334,16 @@ def test_pii(text, want):
     assert pii.redact(text, pii.find(text, NAMES)).count("[") == text.count("[") + len(want) - sum(x.count("[") for _, x in want)
 
 
+@pytest.mark.parametrize("text", ["12 rue\nde Halle", "12\tavenue de Halle", "12 place de Halle", "Lindenweg\n12", "Lindenstr.\t12", "Allee 12, 01234 Halle", "POSTFACH 123", "apartado 45", "casilla 6", "8966 Halle\tDrive"])
+def test_addresses_in_any_white_space_and_case(text):
+    assert [(k, a, z) for a, z, k in pii.find(f"see {text} now", NAMES)] == [("address", 4, 4 + len(text))]
+
+
+@pytest.mark.parametrize("text", ["a.b{at }mail.example", "a.b<at >mail.example", "a.b at mail\ndot\nexample"])
+def test_disguised_emails(text):
+    assert [(k, a, z) for a, z, k in pii.find(f"see {text} now", NAMES)] == [("email", 4, 4 + len(text))]
+
+
 def test_checksums():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487") and pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33") and pii.cpf("52998224725")
 
