@@ -1,11 +1,14 @@
 """Most similar vectors of every vector: lists around centroids, searched by randomly rotated one-bit codes.
 
-Copies of a vector are one class. K = N / `list_size` centroids (at most 4,096) are fitted on a bounded sample (at most 65,536 vectors, by hash of the
-vector); every class is indexed in its nearest list and asks its `probes` nearest lists. Near centroids share a block, so a class travels once a block,
-not once a list. In a list, a member's residual to the centroid is rotated by one random orthogonal matrix and kept as one bit a coordinate plus two
-correction scalars (its norm and its product with its own code). The code gives an unbiased estimate of the inner product with an error bound; only
-members whose upper bound passes the query's k-th best so far are reranked by their real product. Every usable row is indexed and asks; nothing is
-sampled but the fitting set. Blocks with more than `block_rows` members are split by hash and asked in full.
+Copies of a vector are one class. K = N / `list_size` lists stand on two levels: a list's centre is one of at most `most_first` centroids plus one of
+ceil(K / `most_first`) residual centroids, all fitted on a bounded sample (at most FIT_ROWS vectors, by hash of the vector), so that K grows with the data and
+what is sent to the tasks does not. Every class is indexed in its nearest list and asks its nearest ones, `reach` * sqrt(K) of them (or `probes`, if given).
+
+First-level centroids are halved into blocks of about `block_rows` members; a block larger than that is divided by hash into parts, and its askers into slices
+of about `slice_rows`. A cell (block, part, slice) is one task of its own, so neither a crowded region nor a much asked one is a single task. In a cell, a
+member's residual to its list's centre is rotated by one random orthogonal matrix and kept as one bit a coordinate plus two correction scalars (its norm and its
+product with its own code). The code gives an unbiased estimate of the inner product with an error bound; only members whose upper bound passes the asker's
+k-th best so far are reranked by their real product, of 32-bit numbers. Every usable row is indexed and asks; nothing is sampled but the fitting set.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.shingles import M3, mix
-from quillmark.session import written
+from quillmark.session import small, written
 
-FIT_ROWS, MOST_LISTS, LISTS_A_BLOCK = 65_536, 4_096, 12
+FIT_ROWS = 65_536  # the bound of the fitting sample
 EPSILON = 1.9  # of the code's error bound, in standard deviations
+NEAR = np.dtype([("c", "<f4"), ("h", "<i8")])
 
 
 def usable(df: DataFrame, id_col: str, group_col: str, vector_col: str, dims: dict[str, int] | None = None) -> DataFrame:
@@ -59,23 +63,87 @@ def usable(df: DataFrame, id_col: str, group_col: str, vector_col: str, dims: di
                     h = mix(h * M3 + words[:, c])
                 yield pa.RecordBatch.from_pydict({"id": b.column(0).take(pa.array(i)), "grp": b.column(1).take(pa.array(i)), "h": pa.array(h.view(np.int64)), "d": pa.array(np.full(len(i), k, np.int32)), "v": pa.array([r.tobytes() for r in unit], pa.binary())})
 
-    return d.mapInArrow(normal, "id string, grp string, h bigint, d int, v binary").join(n, "grp").where("d = dim").select("id", "grp", "h", "d", "v")
+    return d.mapInArrow(normal, "id string, grp string, h bigint, d int, v binary").join(small(n), "grp").where("d = dim").select("id", "grp", "h", "d", "v")
 
 
-def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
+def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7, unit: bool = True) -> np.ndarray:
+    """k means of x (fewer, if x has fewer rows); with `unit`, of length 1."""
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
     c = x[rng.choice(len(x), k, False)].copy()
     for _ in range(rounds):
-        near = np.argmax(x @ c.T, axis=1)
+        near = np.argmax(x @ c.T - (c * c).sum(axis=1) / 2, axis=1)
         order = np.argsort(near, kind="stable")
         at = np.flatnonzero(np.diff(near[order], prepend=-1))
         total = np.add.reduceat(x[order], at)
-        n = np.linalg.norm(total, axis=1)
+        n = np.linalg.norm(total, axis=1) if unit else np.diff(np.r_[at, len(order)]).astype(np.float32)
         c[near[order][at]] = np.where(n[:, None] > 0, total / np.maximum(n, 1e-12)[:, None], c[near[order][at]])
     return c
 
 
+class Lists:
+    """Centres on two levels: list c * len(second) + r is around first[c] + second[r]."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.first, self.second, self.n = first, second, len(first) * len(second)
+        self.half = (first * first).sum(axis=1) / 2
+        self.half2 = (second * second).sum(axis=1) / 2
+        self.cross = -(first @ second.T) - self.half2
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, lists: int, most_first: int) -> Lists:
+        first = fit_centroids(sample, min(lists, most_first))
+        more = -(-lists // max(1, len(first)))
+        if more == 1:
+            return cls(first, np.zeros((1, sample.shape[1]), np.float32))
+        rest = sample - first[np.argmax(sample @ first.T, axis=1)]
+        return cls(first, fit_centroids(rest, more, unit=False))
+
+    def centre(self, name: int) -> np.ndarray:
+        return self.first[name // len(self.second)] + self.second[name % len(self.second)]
+
+    def home(self, v: np.ndarray) -> np.ndarray:
+        c = np.argmax(v @ self.first.T - self.half, axis=1)
+        return c * len(self.second) + np.argmax((v - self.first[c]) @ self.second.T - self.half2, axis=1)
+
+    def near(self, v: np.ndarray, probes: int) -> np.ndarray:
+        """The `probes` nearest lists of each vector, nearest first."""
+        wide, m = min(probes, len(self.first)), len(self.second)
+        out = np.empty((len(v), min(probes, self.n)), np.int64)
+        step = max(1, (1 << 22) // (len(self.first) + wide * m))
+        for a in range(0, len(v), step):
+            x = v[a : a + step]
+            s = x @ self.first.T - self.half
+            c = np.argpartition(-s, wide - 1, axis=1)[:, :wide] if wide < s.shape[1] else np.broadcast_to(np.arange(wide), (len(x), wide))
+            both = (np.take_along_axis(s, c, 1)[:, :, None] + (x @ self.second.T)[:, None, :] + self.cross[c]).reshape(len(x), -1)
+            name = (c[:, :, None] * m + np.arange(m)).reshape(len(x), -1)
+            k = out.shape[1]
+            top = np.argpartition(-both, k - 1, axis=1)[:, :k] if k < both.shape[1] else np.broadcast_to(np.arange(k), (len(x), k))
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, 1), axis=1, kind="stable"), 1)
+            out[a : a + step] = np.take_along_axis(name, top, 1)
+        return out
+
+
+def balanced_blocks(centres: np.ndarray, members: np.ndarray, most: float) -> np.ndarray:
+    """Block of each centre: the set is halved by members along its main direction until a block has at most `most` (or a single centre)."""
+    out = np.zeros(len(centres), np.int64)
+    todo, number = [np.arange(len(centres))], 0
+    while todo:
+        i = todo.pop()
+        total = np.cumsum(members[i])
+        if len(i) == 1 or total[-1] <= most:
+            out[i] = number
+            number += 1
+            continue
+        x = centres[i] - centres[i].mean(axis=0)
+        along = x @ np.linalg.svd(x, full_matrices=False)[2][0]
+        by = i[np.argsort(along, kind="stable")]
+        cut = int(np.searchsorted(np.cumsum(members[by]), total[-1] / 2)) + 1
+        cut = min(max(1, cut), len(i) - 1)
+        todo += [by[:cut], by[cut:]]
+    return out
+
+
 def rotation(d: int, seed: int = 11) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
     return (q * np.sign(np.diag(r))).astype(np.float32)
@@ -108,17 +176,16 @@ class OneBitList:
         return self.query(q) @ self.table
 
 
-def search(lists: list[OneBitList], ids: list[np.ndarray], q: np.ndarray, qid: np.ndarray, order: np.ndarray, k: int, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def search(lists: list[OneBitList], ids: list[np.ndarray], q: np.ndarray, qid: np.ndarray, order: np.ndarray, k: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Of each query the k best members (id, product) of the lists it asks, nearest list first; -1 where there are fewer. order: for each query the numbers of
     its lists, -1 where it asks none."""
     best = np.full((len(q), k), -2.0, np.float32)
     who = np.full((len(q), k), -1, np.int64)
     for step in range(order.shape[1]):
-        for j in np.unique(order[:, step]):
-            if j < 0:
-                continue
-            one, name_of = lists[j], ids[j]
-            asking = np.flatnonzero(order[:, step] == j)
+        by_list = np.argsort(order[:, step], kind="stable")
+        cuts = np.searchsorted(order[by_list, step], np.arange(len(lists) + 1))
+        for j in range(len(lists)):
+            one, name_of, asking = lists[j], ids[j], by_list[cuts[j] : cuts[j + 1]]
             for z in range(0, len(asking), chunk):
                 at = asking[z : z + chunk]
                 qs = q[at]
@@ -132,183 +199,195 @@ def search(lists: list[OneBitList], ids: list[np.ndarray], q: np.ndarray, qid: n
                     exact = np.einsum("ikd,id->ik", one.x[first], qs[fresh])
                     exact[name_of[first] == qid[at[fresh]][:, None]] = -2
                     floor[fresh] = np.sort(exact, axis=1)[:, -k] - 1e-6
-                i, m = np.nonzero(up > floor[:, None])
-                if len(i) > 0.05 * up.size:  # a matrix product costs less than so many gathers
-                    exact = (qs @ one.x.T)[i, m]
+                passes = up > floor[:, None]
+                share = np.count_nonzero(passes)
+                if not share:
+                    continue
+                if share > 0.005 * up.size:  # one matrix product costs less than so many gathers
+                    whole = qs @ one.x.T
+                    passes &= whole > floor[:, None]
+                    i, m = np.divmod(np.flatnonzero(passes), n)
+                    exact = whole[i, m]
                 else:
+                    i, m = np.nonzero(passes)
                     exact = np.einsum("nd,nd->n", one.x[m], qs[i])
                 good = (exact > floor[i]) & (name_of[m] != qid[at[i]])
                 i, m, exact = i[good], m[good], exact[good]
                 if not len(i):
                     continue
-                some, inv = np.unique(i, return_inverse=True)
-                row = np.r_[inv, np.repeat(np.arange(len(some)), k)]
-                score = np.r_[exact, best[at[some]].ravel()]
-                name = np.r_[name_of[m], who[at[some]].ravel()]
-                by = np.lexsort((name, -score, row))
-                row, score, name = row[by], score[by], name[by]
-                keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(some)))[row] < k
-                best[at[some]] = score[keep].reshape(len(some), k)
-                who[at[some]] = name[keep].reshape(len(some), k)
+                count = np.bincount(i, minlength=len(at))
+                place = np.arange(len(i)) - (np.cumsum(count) - count)[i]
+                for few in (True, False):  # rows with few new ones, then those with many
+                    rows = np.flatnonzero((count > 0) & ((count <= 16) == few))
+                    if not len(rows):
+                        continue
+                    mine = (count[i] <= 16) == few
+                    local = np.searchsorted(rows, i[mine])
+                    score = np.full((len(rows), k + int(count[rows].max())), -2, np.float32)
+                    name = np.full(score.shape, -1, np.int64)
+                    score[:, :k], name[:, :k] = best[at[rows]], who[at[rows]]
+                    score[local, k + place[mine]], name[local, k + place[mine]] = exact[mine], name_of[m[mine]]
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    best[at[rows]], who[at[rows]] = np.take_along_axis(score, top, 1), np.take_along_axis(name, top, 1)
     return who, best
 
 
-def _of_group(classes: DataFrame, k: int, n: int, dim: int, list_size: int, probes: int, block_rows: int, partitions: int) -> DataFrame:
-    """classes (h, v) of one group -> (h, nh, cosine)."""
+def _vectors_of(b: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
+    col = b.column(column)
+    at = int(np.frombuffer(col.buffers()[1], np.int32)[col.offset])
+    return np.frombuffer(col.buffers()[2], np.float32, count=len(col) * dim, offset=at).reshape(-1, dim)
+
+
+def _of_group(classes: DataFrame, k: int, n: int, dim: int, list_size: int, probes: int | None, reach: float, block_rows: int, slice_rows: int, most_first: int) -> DataFrame:
+    """classes (h, v) of one group, in any number of copies -> (h, nh, cosine)."""
     spark = classes.sparkSession
-    lists = max(1, min(MOST_LISTS, round(n / list_size)))
+    lists = max(1, round(n / list_size))
     want = min(FIT_ROWS, max(2_000, 64 * lists))
     part = classes if n <= want else classes.where(F.pmod(F.xxhash64("h"), F.lit(1_000_003)) < int(1_000_003 * 1.2 * want / n))
-    rows = part.select("v").limit(want).collect()  # bounded by FIT_ROWS
+    rows = part.dropDuplicates(["h"]).select("v").limit(want).collect()  # bounded by FIT_ROWS
     sample = np.frombuffer(b"".join(bytes(r.v) for r in rows), np.float32).reshape(-1, dim)
-    cent = fit_centroids(sample, lists)
-    groups = max(1, math.ceil(len(cent) / LISTS_A_BLOCK))
-    coarse = fit_centroids(cent, groups)
-    block_of = np.argmax(cent @ coarse.T, axis=1).astype(np.int64)
-    probes = min(probes, len(cent))
-    turn = rotation(dim)
-
-    def near(v: np.ndarray) -> np.ndarray:
-        s = -(v @ cent.T)
-        top = np.argpartition(s, probes - 1, axis=1)[:, :probes] if probes < s.shape[1] else np.argsort(s, axis=1)
-        return np.take_along_axis(top, np.argsort(np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
-
-    def arrays(b: pa.RecordBatch, k: int, kind: type = np.float32) -> np.ndarray:
-        col = b.column(k)
-        at = int(np.frombuffer(col.buffers()[1], np.int32)[col.offset])
-        return np.frombuffer(col.buffers()[2], kind, count=len(col) * dim, offset=at).reshape(-1, dim).astype(np.float32)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(int(block_of.max()) + 1, np.int64)
-        for b in batches:
-            if b.num_rows:
-                total += np.bincount(block_of[np.argmax(arrays(b, 0) @ cent.T, axis=1)], minlength=len(total))
-        yield pa.RecordBatch.from_pydict({"b": pa.array(np.arange(len(total)), pa.int32()), "n": pa.array(total)})
-
-    sizes = {r.b: r.n for r in classes.select("v").mapInArrow(count, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect()}  # at most MOST_LISTS rows
-    parts = np.array([max(1, math.ceil(sizes.get(b, 0) / block_rows)) for b in range(int(block_of.max()) + 1)])
-    first = np.cumsum(parts) - parts
+    index = Lists.fit(sample, lists, most_first)
+    probes = max(1, min(index.n, probes or math.ceil(reach * math.sqrt(index.n))))
+    per = len(index.second)
+    share = n / len(sample)
+    first_of = index.home(sample) // per
+    block_of = balanced_blocks(index.first, np.bincount(first_of, minlength=len(index.first)) * share, block_rows)
+    blocks = int(block_of.max()) + 1
+    asked = block_of[index.near(sample, probes) // per]
+    # expected members and askers of each block; they only say into how many cells it is divided
+    members = np.bincount(block_of[first_of], minlength=blocks) * share
+    askers = np.array([(asked == b).any(axis=1).sum() for b in range(blocks)]) * share
+    parts = np.maximum(1, np.ceil(members / (1.5 * block_rows))).astype(np.int64)
+    slices = np.maximum(1, np.ceil(askers / slice_rows)).astype(np.int64)
+    first_cell = np.cumsum(parts * slices) - parts * slices
+    shared = spark.sparkContext.broadcast((index, block_of, rotation(dim)))  # at most `most_first` centroids on the first level, sqrt-like few on the second
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, block_of, _ = shared.value
+        seen: set[int] = set()  # vectors this task has sent already: a hot group of copies is sent about once a task
         for b in batches:
             if not b.num_rows:
                 continue
-            h, v = b.column(0).to_numpy(), arrays(b, 1)
-            top = near(v)
-            home = block_of[top[:, 0]]
-            half = v.astype(np.float16)
-            out = [(np.arange(len(h)), first[home] + (h % parts[home] if len(parts) else 0), np.zeros(len(h), np.int8))]
-            asked = block_of[top]
-            for blk in np.unique(asked):
-                i = np.flatnonzero((asked == blk).any(axis=1))
+            if len(seen) > 500_000:
+                seen.clear()
+            h, once = np.unique(b.column(0).to_numpy(), return_index=True)
+            new = np.array([x not in seen for x in h.tolist()], bool)
+            h, once = h[new], once[new]
+            seen.update(h.tolist())
+            if not len(h):
+                continue
+            v = _vectors_of(b, 1, dim)[once]
+            u = mix(h.view(np.uint64))
+            home = block_of[index.home(v) // per]
+            own_part = ((u >> np.uint64(32)) % parts[home].astype(np.uint64)).astype(np.int64)
+            asked = block_of[index.near(v, probes) // per]
+            out = []  # (row, cell, kind): 0 member and asker, 1 member, 2 asker
+            for blk in np.unique(np.r_[home, asked.ravel()]):
+                mine = (u % np.uint64(slices[blk])).astype(np.int64)
+                is_home, asks = home == blk, (asked == blk).any(axis=1)
                 for s in range(parts[blk]):
-                    out.append((i, np.full(len(i), first[blk] + s), np.ones(len(i), np.int8)))
+                    for t in range(slices[blk]):
+                        member, asker = is_home & (own_part == s), asks & (mine == t)
+                        i = np.flatnonzero(member | asker)
+                        out.append((i, np.full(len(i), first_cell[blk] + s * slices[blk] + t), np.where(member[i] & asker[i], 0, np.where(member[i], 1, 2))))
             i = np.concatenate([x[0] for x in out])
+            raw = np.ascontiguousarray(v).tobytes()
+            size = 4 * dim
             yield pa.RecordBatch.from_pydict({
-                "block": pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)), "kind": pa.array(np.concatenate([x[2] for x in out])),
-                "h": pa.array(h[i]), "v": pa.array([half[a].tobytes() for a in i], pa.binary()),
+                "cell": pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)), "kind": pa.array(np.concatenate([x[2] for x in out]).astype(np.int8)),
+                "h": pa.array(h[i]), "v": pa.array([raw[a * size : a * size + size] for a in i.tolist()], pa.binary()),
             })
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"block": None}
-
-        def members(blk: int, h: np.ndarray, v: np.ndarray) -> None:
-            if state["block"] != blk:
-                state.update(block=blk, h=[], v=[], lists=None)
-            state["h"].append(h)
-            state["v"].append(v)
-
-        def answer(blk: int, h: np.ndarray, v: np.ndarray) -> pa.RecordBatch | None:
-            if state["block"] != blk:
-                return None  # no member in this block
-            if state["lists"] is None:
-                mh, mv = np.concatenate(state["h"]), np.concatenate(state["v"])
-                home = near(mv)[:, 0]
-                names = np.unique(home)
-                state.update(lists=[OneBitList(mv[home == j], cent[j], turn) for j in names], ids=[mh[home == j] for j in names], names=names, h=[], v=[])
-            number = np.full(len(cent), -1, np.int64)
-            number[state["names"]] = np.arange(len(state["names"]))
-            order = number[near(v)]
-            order = np.take_along_axis(order, np.argsort(order < 0, axis=1, kind="stable"), 1)[:, : len(state["names"])]
-            who, best = search(state["lists"], state["ids"], v, h, order, k)
-            packed = np.zeros((len(h), k), np.dtype([("c", "<f4"), ("h", "<i8")]))
+        index, _, turn = shared.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            kind, h, v = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            m, a = np.flatnonzero(kind < 2), np.flatnonzero(kind != 1)
+            m, a = m[np.unique(h[m], return_index=True)[1]], a[np.unique(h[a], return_index=True)[1]]
+            if not len(m) or not len(a):
+                return
+            home = index.home(v[m])
+            by = np.argsort(home, kind="stable")
+            names, at = np.unique(home[by], return_index=True)
+            groups = np.split(m[by], at[1:])
+            codes = [OneBitList(v[g], index.centre(int(x)), turn) for x, g in zip(names, groups)]
+            near = index.near(v[a], probes)
+            order = np.minimum(np.searchsorted(names, near), len(names) - 1)
+            order = np.where(names[order] == near, order, -1)
+            order = np.take_along_axis(order, np.argsort(order < 0, axis=1, kind="stable"), 1)[:, : len(names)]
+            who, best = search(codes, [h[g] for g in groups], v[a], h[a], order, k)
+            packed = np.zeros((len(a), k), NEAR)
             packed["c"], packed["h"] = best, who
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array([r.tobytes() for r in packed], pa.binary())], ["h", "near"])
+            some = np.flatnonzero(best[:, 0] > -2)
+            for z in range(0, len(some), 10_000):
+                c = some[z : z + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(h[a[c]]), pa.array([packed[r, : np.count_nonzero(best[r] > -2)].tobytes() for r in c], pa.binary())], ["h", "near"])
 
+        now = -1
         for b in batches:
-            blk, kind, h = (b.column(c).to_numpy() for c in range(3))
-            if not len(h):
+            if not b.num_rows:
                 continue
-            v = arrays(b, 3, np.float16)
-            cut = np.flatnonzero((np.diff(blk, prepend=blk[:1]) != 0) | (np.diff(kind, prepend=kind[:1]) != 0))
-            for i in np.split(np.arange(len(h)), cut):
-                if not len(i):
-                    continue
-                if kind[i[0]] == 0:
-                    members(blk[i[0]], h[i], v[i])
-                elif (out := answer(blk[i[0]], h[i], v[i])) is not None and out.num_rows:
-                    yield out
-
-    moved = classes.select("h", "v").mapInArrow(send, "block int, kind tinyint, h bigint, v binary")
-    met = moved.repartition(max(partitions, int(parts.sum())), "block").sortWithinPartitions("block", "kind").mapInArrow(walk, "h bigint, near binary")
+            cell, kind, h = (b.column(c).to_numpy() for c in range(3))
+            v = _vectors_of(b, 3, dim)
+            for i in np.split(np.arange(len(h)), np.flatnonzero(np.diff(cell)) + 1):
+                if cell[i[0]] != now and held:
+                    yield from answer()
+                now = cell[i[0]]
+                held.append((kind[i], h[i], v[i]))
+        if held:
+            yield from answer()
+
+    moved = classes.select("h", "v").mapInArrow(send, "cell int, kind tinyint, h bigint, v binary")
+    met = moved.repartitionById(int((parts * slices).sum()), "cell").mapInArrow(walk, "h bigint, near binary")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for z in range(0, b.num_rows, 2_000):
                 c = b.slice(z, 2_000)
-                parts = [np.frombuffer(b"".join(x), np.dtype([("c", "<f4"), ("h", "<i8")])) for x in c.column(1).to_pylist()]
-                row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-                every = np.concatenate(parts)
-                ok = every["c"] > -2
-                row, every = row[ok], every[ok]
+                found = [np.frombuffer(b"".join(x), NEAR) for x in c.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                every = np.concatenate(found)
                 by = np.lexsort((every["h"], -every["c"], row))
                 row, every = row[by], every[by]
-                keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(parts)))[row] < k
+                again = (np.diff(row, prepend=-1) == 0) & (np.diff(every["h"], prepend=every["h"][:1]) == 0)
+                again[:1] = False
+                row, every = row[~again], every[~again]
+                keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(found)))[row] < k
                 row, every = row[keep], every[keep]
                 yield pa.RecordBatch.from_pydict({"h": pa.array(c.column(0).to_numpy()[row]), "nh": pa.array(np.ascontiguousarray(every["h"])), "cosine": pa.array(np.ascontiguousarray(every["c"]))})
 
-    # at most one entry a block that a vector asks
+    # at most one entry a cell that a vector asks
     return met.groupBy("h").agg(F.collect_list("near").alias("near")).mapInArrow(merge, "h bigint, nh bigint, cosine float")
 
 
-def nearest(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int = 10, min_cosine: float | None = None, list_size: int = 700, probes: int = 16, block_rows: int = 16_000, dims: dict[str, int] | None = None, groups: list[str] | None = None) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int = 10, min_cosine: float | None = None, list_size: int = 700, probes: int | None = None, reach: float = 1.8, block_rows: int = 32_000, slice_rows: int = 24_000, most_first: int = 4_096, dims: dict[str, int] | None = None, groups: list[str] | None = None) -> DataFrame:
     """(grp, id, neighbour, cosine, rank): the k most similar other ids of the same group, ranks 1..k; ties in the order of the neighbour's id. With
     `min_cosine`, only neighbours at least so similar.
 
     Null, empty, zero, NaN and infinite vectors and those of another length than their group's take no part; repeated rows count once; a group with a
     single usable id has no rows; extra columns are ignored. `groups` names the groups to search (all by default; they are few and of any size).
     """
-    spark = df.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = written(usable(df, id_col, group_col, vector_col, dims).dropDuplicates(["grp", "id", "h"]))
+    rows = usable(df, id_col, group_col, vector_col, dims)
+    rows = written(rows if groups is None else rows.where(F.col("grp").isin(groups)))
     # of several vectors of one id, one is kept
-    all_ = rows.groupBy("grp", "id").agg(F.min("h").alias("h"))
-    vectors = rows.select("grp", "h", "v").dropDuplicates(["grp", "h"])
-    known = [(r.grp, r.n, r.d) for r in rows.groupBy("grp").agg(F.count("*").alias("n"), F.max("d").alias("d")).orderBy("grp").collect()]  # a row a collection
+    all_ = written(rows.groupBy("grp", "id").agg(F.min("h").alias("h"), F.max("d").alias("d")))
+    known = [(r.grp, r.n, r.d) for r in all_.groupBy("grp").agg(F.count("*").alias("n"), F.max("d").alias("d")).orderBy("grp").collect()]  # a row a collection
     links = None
     for grp, n, dim in known:
-        if groups is not None and grp not in groups:
-            continue
-        one = _of_group(vectors.where(F.col("grp") == grp).select("h", "v"), k, n, dim, list_size, probes, block_rows, partitions).withColumn("grp", F.lit(grp))
+        one = _of_group(rows.where(F.col("grp") == grp).select("h", "v"), k, n, dim, list_size, probes, reach, block_rows, slice_rows, most_first).withColumn("grp", F.lit(grp))
         links = one if links is None else links.unionByName(one)
     if links is None:
         return all_.select("grp", "id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
-    if min_cosine is not None:  # of the whole neighbourhoods; few enough to be measured again on the whole vectors
-        links = written(links.where(F.col("cosine") >= min_cosine - 2e-3))
-        wanted = links.select("grp", F.explode(F.array("h", "nh")).alias("h")).distinct()
-        v = vectors.join(wanted, ["grp", "h"], "left_semi")
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                c = [float(np.frombuffer(x, np.float32).astype(np.float64) @ np.frombuffer(y, np.float32).astype(np.float64)) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-                yield pa.RecordBatch.from_pydict({"grp": b.column(0), "h": b.column(1), "nh": b.column(2), "cosine": pa.array(c, pa.float64())})
-
-        both = links.drop("cosine").join(v, ["grp", "h"]).join(v.select("grp", F.col("h").alias("nh"), F.col("v").alias("w")), ["grp", "nh"]).select("grp", "h", "nh", "v", "w")
-        links = both.mapInArrow(measure, "grp string, h bigint, nh bigint, cosine double").where(F.col("cosine") >= min_cosine)
+    links = links.select("grp", "h", "nh", F.col("cosine").cast("double").alias("cosine"))
+    if min_cosine is not None:  # of the whole neighbourhoods
+        links = written(links.where(F.col("cosine") >= min_cosine))
     in_class = Window.partitionBy("grp", "h").orderBy("id")
     firsts = all_.select("grp", "h", "id").withColumn("r", F.row_number().over(in_class)).where(F.col("r") <= k + 1)
     copies = all_.groupBy("grp", "h").count().where("count > 1").select("grp", "h", F.col("h").alias("nh"), F.lit(1.0).alias("cosine"))
-    links = links.select("grp", "h", "nh", F.col("cosine").cast("double")).unionByName(copies)
+    links = links.unionByName(copies)
     named = links.join(firsts.select("grp", F.col("h").alias("nh"), F.col("id").alias("neighbour")), ["grp", "nh"])
     short = named.withColumn("r", F.row_number().over(Window.partitionBy("grp", "h").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("r") <= k + 1)
     out = all_.select("grp", "h", "id").join(short.select("grp", "h", "neighbour", "cosine"), ["grp", "h"]).where("id != neighbour")

@@ -216,6 +216,39 @@ def test_vectors(spark):
     assert vectors.nearest(d.limit(0), "id", "grp", "v").count() == 0
 
 
+@pytest.mark.parametrize("settings", [{"list_size": 25}, {"list_size": 25, "most_first": 30}, {"list_size": 60, "block_rows": 300, "slice_rows": 200}], ids=["many lists", "two levels", "divided blocks"])
+def test_recall_on_project_vectors(spark, sf, settings):
+    """Against brute force over the project's own vectors, with far more lists than are asked."""
+    base = spark.read.parquet(f"{sf}/../sf0.01/langchain_pg_embedding.parquet")
+    rows = {(r.collection_id, r.id): np.array(r.embedding, np.float64) for r in base.where("size(embedding) = 64").collect() if np.isfinite(r.embedding).all() and np.any(r.embedding)}
+    grp = max({g for g, _ in rows}, key=lambda g: sum(x == g for x, _ in rows))
+    names = [i for g, i in rows if g == grp]
+    x = np.stack([rows[grp, i] for i in names])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(x @ x.T, 5)
+    np.fill_diagonal(s, -2)
+    got = {}
+    for r in vectors.nearest(base, "id", "collection_id", "embedding", 10, groups=[grp], **settings).collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    at = {i: k for k, i in enumerate(names)}
+    hits = sum(sum(s[k, at[n]] >= np.sort(s[k])[-10] - 1e-4 for n in got.get(i, [])) for i, k in at.items())
+    assert len(got) == len(names) and hits / (10 * len(names)) >= 0.95
+
+
+def test_lists_on_two_levels():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = vectors.Lists.fit(x, 60, 8)
+    assert len(index.first) == 8 and index.n >= 60
+    near = index.near(x, 60)
+    centres = np.stack([index.centre(k) for k in range(index.n)])
+    far = ((x[:, None] - centres) ** 2).sum(axis=2)
+    assert np.allclose(np.take_along_axis(far, near, 1), np.sort(far, axis=1)[:, :60], atol=1e-4)
+    blocks = vectors.balanced_blocks(index.first, np.bincount(index.home(x) // len(index.second), minlength=8), 300)
+    assert blocks.max() >= 2
+
+
 def test_one_bit_bounds():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 64)).astype(np.float32)
