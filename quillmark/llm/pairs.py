@@ -34,6 +34,9 @@ REFUSAL = re.compile(
     + r"|(?i:[\s\"'“”«»*>-]*(?:(?:leider|entschuldigung|es tut mir leid|tut mir leid)[, ]|ich (?:kann|konnte|weiß|darf|bin nicht in der lage)\b[^.]{0,60}\b(?:nicht|keine|nicht beantworten)|(?:das|dies|diese frage) (?:kann|lässt sich)[^.]{0,40} nicht|als (?:ki|sprachmodell|assistent)\b|der (?:text|abschnitt|kontext) enthält (?:die antwort nicht|keine)))"
     + r"|(?i:[\s\"'“”«»*>-]*(?:(?:désolée?|malheureusement|je regrette|je suis désolée?|je m'excuse)[, ]|je (?:ne (?:peux|puis|sais|suis)|n'ai)\b|en tant qu[e'’]|(?:le (?:passage|texte|contexte)|ce passage) ne (?:contient|dit|donne|permet)|il n'y a pas assez|aucune réponse ne))"
     + r"|(?i:[\s\"'“”«»*>-]*(?:(?:lo siento|lamentablemente|desafortunadamente|lo lamento|disculpe|disculpas)[, ]|no (?:puedo|sé|tengo|me es posible|es posible responder|hay suficiente)\b|como (?:asistente|modelo)\b|(?:el (?:pasaje|texto|contexto)) no (?:contiene|dice|menciona)))"
+    + r"|(?i:[\s\"'“”«»*>-]*(?:(?:mi dispiace|purtroppo|sono spiacente)[, ]|non (?:posso|so|sono in grado|è possibile|ho abbastanza)\b|in quanto (?:assistente|modello)\b|il (?:testo|contesto) non (?:contiene|dice)))"
+    + r"|(?i:[\s\"'“”«»*>-]*(?:(?:helaas|het spijt me)[, ]|ik (?:kan|weet|mag|ben niet in staat)\b[^.]{0,60}\b(?:niet|geen)|de (?:tekst|context) bevat (?:het antwoord niet|geen)))"
+    + r"|(?i:[\s\"'“”«»*>-]*(?:(?:lamento|infelizmente|desculpe)[, ]|não (?:posso|sei|consigo|é possível|tenho informaç)|o (?:texto|contexto) não (?:contém|diz)))"
 )
 WORDS = {
     "en": "the of and to is was by that with as at this which be not from it for its are were has had in on an or into each no if when under who did does what why how name report",
