@@ -1,13 +1,15 @@
-"""Broken prompt and response pairs: ordered rules; `empty`, `refusal` and `copy` exclude the others, which may hold together.
-
-Order: `empty` (nothing, or only filler) ends the rules; then `refusal` (a multilingual refusal phrase opens the answer, whatever follows) and `copy` (the
-answer is the question again, whole or a cut prefix of it, with or without a label, quotes or an ellipsis) end them too; else `truncated` (unclosed
-delimiter, ellipsis, or an ending that is no sentence end) and `other_language` (script mismatch, or the function words of another language) may both hold.
-
-Whether an answer without closing mark stops inside its sentence is decided by its last word (an article, conjunction or preposition leaves it open), then from
-the corpus: of the finished sentences of all answers that begin with the sentence's frame (function words kept, other words, names and numbers blanked), more
-have to end with it than go on. The share does not move with the number of rows; a frame that no finished sentence begins with is unfinished. Numbers, names
-and lists are complete.
+"""Broken prompt and response pairs: ordered rules, every defect that holds is given.
+
+Order: `empty` (nothing, or only filler; nothing else can be said of it), `refusal` (a multilingual refusal phrase opens the answer, whatever follows), `copy`
+(the answer is the question again, whole or a cut prefix of it, with or without a label, quotes or an ellipsis), `truncated` (unclosed delimiter, ellipsis, or an
+ending that is no sentence end; a refusal or copy also by the word it breaks off at) and `other_language` (script mismatch, or the function words of another
+language). An expected answer to a `negative` (empty or refusing) has no defect at all.
+
+Whether an answer without closing mark stops inside its sentence is decided by its last word (an article, conjunction or preposition leaves it open), by its
+other sentences (where they have their marks, the last one lost its own), and for a single sentence from the corpus: of the finished sentences of all answers
+that begin with the sentence's frame (function words kept, other words, names and numbers blanked), more have to end with it than go on. The share does not move
+with the number of rows; a frame that no finished sentence begins with is unfinished. Numbers, names and lists are complete. Answers are judged in one pass,
+whose findings are a written table.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.languages import RANKED, script, word_weights
+from quillmark.session import written
+
 # Fillers, refusal phrases and function words.
 FILLER = re.compile(r"(?i)[\W_]*(?:n\s*/?\s*a|none|null|nil|nan|tbd|todo|tba|unknown|undefined|empty|no answer|no response|not available|not applicable|keine antwort|k\.?\s*a|sans réponse|sin respuesta|lorem ipsum)?[\W_]*\Z")
 OPENING = r"(?:i'?m (?:very |so |really )?sorry|i am (?:very |so |really )?sorry|sorry|i(?:'m| am) afraid|apologies|my apologies|i apologi[sz]e|unfortunately|regrettably|as an? (?:ai|artificial intelligence|assistant|language model|ai assistant|ai language model))[,;:.]?\s*(?:but\s+|that\s+)?"
 CORE = (
-    r"(?:i(?:'m| am) (?:not able|unable|not allowed|not in a position)|i (?:cannot|can ?not|can'?t|could not|couldn'?t|won'?t|will not|do not|don'?t|must decline|have to decline|decline)\b(?! (?:predict|hedge))"
+    r"(?:i(?:'m| am) (?:not able|unable|not allowed|not in a position)|i (?:cannot|can ?not|can'?t|could not|couldn'?t|won'?t|will not|do not|don'?t|must decline|have to decline|decline)\b"
     r"|(?:this|that|it) (?:cannot|can ?not|can'?t) be (?:answered|determined|given)|no answer can be|there (?:is|was)(?: not|n'?t) enough|there is no (?:information|answer)|(?:that|this) is outside what i"
     r"|the (?:passage|context|text|document|documents|information|provided \w+) (?:does|do)(?: not|n'?t) (?:contain|say|state|mention|provide|answer|give)|not in the corpus|not enough (?:context|information))"
 )
@@ -44,7 +49,8 @@ WORDS = {
     "fr": "le la les du et est dans pour par sur une que qui il au aux se ne pas ce cette quel quelle pourquoi depuis des l'on n'y sans entre plus été sont reste selon",
     "es": "el la los las del y es en para por con una que se al lo su según sin desde qué cuál cómo fue entre hay más no está son por",
 }
-LANG = {k: frozenset(v.split()) - frozenset(x for j, w in WORDS.items() if j != k for x in w.split()) for k, v in WORDS.items()}
+#: Weights of the words that tell languages apart: those above and the frequent ones of more languages.
+LANG = word_weights({k: [*dict.fromkeys([*WORDS.get(k, "").split(), *RANKED[k]])] for k in RANKED})
 FUNCTION = frozenset(" ".join(WORDS.values()).split()) | frozenset("a near more than after before during until while some all none so such only rather but then over up out there stood he she they we you my our his her their these those most be can must may should could have been".split())
 #: Words after which a sentence goes on.
 LEFT_OPEN = frozenset("the a an of and or from for with into its each if than und ein eine einen einem einer eines dem des für von mit zu le la les du et une pour dans par sur aux el los las del y en para por una al".split())
@@ -78,9 +84,8 @@ def unclosed(text: str) -> bool:
     return bool(stack) or text.count("```") % 2 == 1
 
 
-def fragment(answer: str) -> str:
-    """The last sentence."""
-    return re.split(r"(?<=[.!?])[\"'”»)]*\s+(?=[\"'“«(„¿¡]?[A-ZÀ-Þ0-9$])", answer.strip())[-1]
+def sentences(answer: str) -> list[str]:
+    return re.split(r"(?<=[.!?])[\"'”»)]*\s+(?=[\"'“«(„¿¡]?[A-ZÀ-Þ0-9$])", answer.strip())
 
 
 def frame(sentence: str) -> str:
@@ -108,18 +113,15 @@ def listing(answer: str) -> bool:
         return True
     if answer.rstrip()[-1:] in ",;:" or words[-1].lower() in FUNCTION:
         return False
+    lines = [x for x in answer.split("\n") if x.strip()]
+    if len(lines) > 1 and all(re.match(r"\s*(?:[-*•·–]|\(?(?:\d{1,3}|[a-z])[.)])\s", x) for x in lines):
+        return True
     return len(parts) >= 2 and all(len(p.split()) <= 3 for p in parts) and not inner or len(words) <= 4 and not inner
 
 
-def language(text: str) -> dict[str, int]:
+def language(text: str) -> dict[str, float]:
     words = [w.lower() for w in WORD.findall(QUOTED.sub(" ", text))]
-    return {k: sum(w in v for w in words) for k, v in LANG.items()}
-
-
-def script(text: str) -> str:
-    n = {"latin": len(re.findall(r"[A-Za-zÀ-ɏ]", text)), "cyrillic": len(re.findall(r"[Ѐ-ӿ]", text)), "cjk": len(re.findall(r"[぀-ヿ㐀-鿿가-힯]", text)), "arabic": len(re.findall(r"[֐-ۿ]", text)), "greek": len(re.findall(r"[Ͱ-Ͽ]", text)), "indic": len(re.findall(r"[ऀ-෿]", text))}
-    best = max(n, key=lambda k: n[k])
-    return best if n[best] >= 3 else ""
+    return {k: sum(v.get(w, 0.0) for w in words) for k, v in LANG.items()}
 
 
 def other_language(query: str, answer: str) -> bool:
@@ -133,23 +135,28 @@ def other_language(query: str, answer: str) -> bool:
 
 
 def judge(kind: str | None, query: str | None, answer: str | None) -> tuple[list[str], str | None]:
-    """The defects, and the frame of a last sentence that may be unfinished."""
+    """The defects, and the frame of a single sentence that may be unfinished."""
     query = query or ""
     if answer is None or FILLER.match(answer):
         return ([] if kind == "negative" or (answer is None and kind == "paraphrase") else ["empty"]), None
+    out, open_frame = [], None
     if REFUSAL.match(answer):
-        return ([] if kind == "negative" else ["refusal"]), None
+        if kind == "negative":
+            return [], None
+        out.append("refusal")
     if is_copy(query, answer):
-        return ["copy"], None
-    out, open_frame = [], None
+        out.append("copy")
     text = answer.strip().rstrip("​⁠﻿")
-    if unclosed(text) or re.search(r"(?:\.\.\.|…)[\"'”»)]*\Z", text):
+    if unclosed(text) or re.search(r"(?:\.\.\.|…)[\"'”»)]*\Z", text) and "copy" not in out:
+        out.append("truncated")
+    elif re.search(r"[^\W\d_]\Z", text) and WORD.findall(text)[-1].lower() in LEFT_OPEN and not listing(text):
         out.append("truncated")
-    elif not ENDED.search(text) and not (listing(text)):
-        if re.search(r"[^\W\d_]\Z", text) and WORD.findall(text)[-1].lower() in LEFT_OPEN:
+    elif not out and not ENDED.search(text) and not listing(text):
+        *earlier, last = sentences(text)
+        if any(ENDED.search(x) and len(WORD.findall(x)) > 2 for x in earlier):
             out.append("truncated")
         else:
-            open_frame = frame(fragment(text))
+            open_frame = frame(last)
     if other_language(query, answer):
         out.append("other_language")
     return out, open_frame
@@ -173,14 +180,13 @@ def defects(df: DataFrame, id_col: str = "id", type_col: str = "type", query_col
                 if open_frame is not None:
                     out.append((i, None, open_frame, None, None))
                 if a:  # frames of the finished sentences
-                    s = re.split(r"(?<=[.!?])[\"'”»)]*\s+(?=[\"'“«(„¿¡]?[A-ZÀ-Þ0-9$])", a.strip())
-                    for f in {frame(x) for x in s if ENDED.search(x)}:
+                    for f in {frame(x) for x in sentences(a) if ENDED.search(x)}:
                         ends[f] += 1
                         goes_on.update(f[: m.start()] for m in re.finditer(" ", f))
             out += [(None, None, f, ends[f], goes_on[f]) for f in ends.keys() | goes_on.keys()]
             yield pd.DataFrame(out, columns=["id", "defect", "open", "ends", "goes_on"], dtype=object)
 
-    ran = d.mapInPandas(run, "id string, defect string, open string, ends bigint, goes_on bigint")
+    ran = written(d.mapInPandas(run, "id string, defect string, open string, ends bigint, goes_on bigint"))
     frames = ran.where("ends is not null").groupBy("open").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")).where("ends > goes_on").select("open")
     cut = ran.where("id is not null and open is not null").join(frames, "open", "left_anti").select("id", F.lit("truncated").alias("defect"))
     return ran.where("defect is not null").select("id", "defect").unionByName(cut).distinct()

@@ -17,14 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Frequent function words of each language by rank.
-RANKED = {
-    "en": "the of and to in a is that for it as was with on by be at from this which or an are not have has were but had they his her its no if when their there one all been who will than until each more into over under during between beside beyond".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis seit zwischen wer weil ohne kein keinen".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son aux ont mais comme ou été si leur dont même entre depuis sans cette ces l'on y deux sa".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos según durante ha fue".split(),
-}
-FUNCTION = frozenset(w for v in RANKED.values() for w in v)
+from quillmark.llm.languages import FUNCTION, RANKED
+
 PROFILES_LANG = {k: {w: 1 / (i + 2) for i, w in enumerate(v)} for k, v in RANKED.items()}
 CLASSES = ("function", "word", "name", "number", "cell", "leader", "marker", "noise")
 # Shares of the classes (in the order of CLASSES) in typical texts of each kind.

@@ -273,6 +273,16 @@ def test_judge(kind, query, answer, want):
     assert pairs.judge(kind, query, answer)[0] == want
 
 
+@pytest.mark.parametrize(("query", "answer", "want"), [
+    (Q, "Il margine del comune è stato ridotto nel 1990 e la riserva non era più alta.", ["other_language"]), (Q, "De reserve van de stad is in 1993 niet gestegen, maar het bedrag werd lager.", ["other_language"]),
+    (Q, "Резерв города в тысяча девятьсот девяносто третьем году снизился.", ["other_language"]), (Q, "No puedo responder a esta pregunta porque el texto no dice nada de la", ["other_language", "refusal", "truncated"]),
+    (Q, "I cannot predict the weather for you.", ["refusal"]), (Q, "Non posso rispondere, non è nel testo che ho.", ["other_language", "refusal"]), ("Quale era la riserva di Halle nel 1993?", "La riserva di Halle nel 1993 era di 45 milioni.", []),
+    (Q, "The reserve fell in 1990. It rose again in the summer", ["truncated"]), (Q, "1. Reserve of Halle\n2. Income of the town", []),
+])
+def test_every_defect_that_holds(query, answer, want):
+    assert sorted(pairs.judge("factual", query, answer)[0]) == want
+
+
 def test_defects(spark):
     done = "The board of Halle approved a change of 5 percent."
     d = spark.createDataFrame([("1", "factual", Q, done, 0), ("2", "factual", Q, "The board of Berne approved a loss of 7 percent.", 0), ("3", "factual", Q, "The board of Rome approved a gain of 9 percent", 0), ("4", "factual", Q, "The board of Rome approved a", 0), ("4", "factual", Q, "The board of Rome approved a", 0), (None, "factual", Q, None, 0)], "id string, type string, query string, _answer string, defect int")
