@@ -8,10 +8,10 @@ at least L - q + 1 - q e of the passage's q-grams on diagonals at most e apart.
    fill holds enough hits;
 2. the surviving hits are counted by item and by overlapping diagonal band; bands below the item's bound are dropped;
 3. each remaining band is aligned within the band: exactly (e = 0) by the runs of equal characters on its diagonal, which have to hold `tokens` whole
-   tokens; else by the edit distance of each passage to the band's text.
+   tokens; else by the edit distance of each passage to the band's text, of all passages of all bands at once.
 
-All documents are read whole; the items are the smaller, fixed side: they are collected in groups of bounded size (`most_bytes` each, a scan of the
-documents a group), so nothing depends on their number.
+All documents are read whole and once. Items of at most `most_bytes` are one index in every task. More of them are a filter of their q-grams first, which one
+scan of the documents asks; only documents with a window dense enough in it are kept, and those meet the items in groups of `most_bytes`.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.shingles import BASE, INVERSE, TOKEN_CLASS, _power, mix  # noqa: F401
+from quillmark.llm.filters import Filter, bloom
+from quillmark.llm.shingles import TOKEN_CLASS, _power, mix
+from quillmark.session import written
 
 FILTER_BITS = 22
 
@@ -58,23 +60,43 @@ def gram_hashes(buf: np.ndarray, q: int) -> np.ndarray:
     return mix((total[q:] - total[:-q]) * down[:n])
 
 
+def gram_length(shortest: int, edits: int, q: int) -> int:
+    """The longest q of which a passage of `shortest` characters keeps one after that many edits."""
+    return max(1, min(q, (shortest - 1) // (edits + 1) if edits else shortest))
+
+
+def shortest_passages(texts: pa.Array, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The normal text of all, where each begins and ends in it, and the length of its shortest passage (0: it has none)."""
+    buf, lo, hi = normal(texts)
+    least = np.zeros(len(lo), np.int64)
+    for k, (a, z) in enumerate(zip(lo, hi)):
+        space = np.flatnonzero(buf[a:z] == 32)
+        if len(space) > tokens:
+            least[k] = int((space[tokens:] - space[:-tokens]).min()) + 1
+    return buf, lo, hi, least
+
+
+def dense(at: np.ndarray, need: int, window: int) -> np.ndarray:
+    """Which of the sorted places stand in a window with `need` of them."""
+    keep = np.zeros(len(at), bool)
+    if len(at) >= need:
+        close = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < window)
+        edge = np.zeros(len(at) + 1, np.int64)
+        np.add.at(edge, close, 1)
+        np.add.at(edge, close + need, -1)
+        keep = np.cumsum(edge)[:-1] > 0
+    return keep
+
+
 class Items:
     """The index of a group of items."""
 
     def __init__(self, ids: list[int], texts: list[str], tokens: int, edits: int, q: int):
         self.tokens, self.edits = tokens, edits
-        buf, lo, hi = normal(pa.array(texts, pa.large_string()))
-        self.ids, self.text, least = [], [], []
-        for i, a, z in zip(ids, lo, hi):
-            t = buf[a:z]
-            space = np.flatnonzero(t == 32)
-            if len(space) > tokens:
-                self.ids.append(i)
-                self.text.append(t)
-                least.append(int((space[tokens:] - space[:-tokens]).min()) + 1)
-        self.least = np.array(least, np.int64)
-        shortest = int(self.least.min()) if least else q
-        self.q = max(1, min(q, (shortest - 1) // (edits + 1) if edits else shortest))
+        buf, lo, hi, least = shortest_passages(pa.array(texts, pa.large_string()), tokens)
+        has = np.flatnonzero(least)
+        self.ids, self.text, self.least = [ids[k] for k in has], [buf[lo[k] : hi[k]] for k in has], least[has]
+        self.q = gram_length(int(self.least.min()) if len(has) else q, edits, q)
         self.need = self.least - self.q + 1 - self.q * edits
         grams = [gram_hashes(t, self.q) for t in self.text]
         h = np.concatenate(grams) if grams else np.empty(0, np.uint64)
@@ -97,13 +119,7 @@ class Items:
         need = int(self.need.min())
         # a window of one passage's grams with room for e more holds `need` hits
         window = int(self.least.max()) - self.q + 1 + self.edits if self.edits else need
-        keep = np.zeros(len(at), bool)
-        if len(at) >= need:
-            close = at[need - 1 :] - at[: len(at) - need + 1] < window
-            edge = np.zeros(len(at) + 1, np.int64)
-            np.add.at(edge, np.flatnonzero(close), 1)
-            np.add.at(edge, np.flatnonzero(close) + need, -1)
-            keep = np.cumsum(edge)[:-1] > 0
+        keep = dense(at, need, window)
         at, left, n = at[keep], left[keep], n[keep]
         if not len(at):
             return
@@ -134,14 +150,16 @@ class Items:
             counts = counts + nxt
         owner = (keys // span) % len(self.ids)
         good = counts >= self.need[owner]
+        pair, d = keys[good] // span, keys[good] % span * step + base
+        rows, items = pair // len(self.ids), pair % len(self.ids)
+        if self.edits:
+            yield from self._aligned(buf, lo, hi, rows, items, d, d + 2 * step - 1)
+            return
         seen = set()
-        for x in keys[good]:
-            b, pair = int(x % span), int(x // span)
-            i, r0 = pair % len(self.ids), pair // len(self.ids)
+        for r0, i, d0 in zip(rows.tolist(), items.tolist(), d.tolist()):
             if (r0, i) in seen:
                 continue
-            d = int(b * step + base)
-            hit = self._exact(buf, lo[r0], hi[r0], i, d) if not self.edits else self._within(buf, lo[r0], hi[r0], i, d, d + 2 * step - 1)
+            hit = self._exact(buf, lo[r0], hi[r0], i, d0)
             if hit is not None:
                 seen.add((r0, i))
                 yield r0, i, int(hit[0] - lo[r0]), int(hit[1] - lo[r0]), hit[2]
@@ -159,39 +177,61 @@ class Items:
                 return first + d + s, first + d + e, 0
         return None
 
-    def _within(self, buf, a: int, z: int, i: int, d0: int, d1: int) -> tuple[int, int, int] | None:
-        """The first passage of the item whose edit distance to the band's text is at most e."""
-        t = self.text[i]
-        space = np.flatnonzero(t == 32)
-        for s, e in zip(space[: -self.tokens], space[self.tokens :]):
-            lo, hi = max(a, s + d0 - self.edits), min(z, e + 1 + d1 + self.edits)
-            got = banded(t[s : e + 1].tobytes(), buf[lo:hi].tobytes(), self.edits)
-            if got is not None:
-                return lo + got[0], lo + got[1], got[2]
-        return None
+    def _passages(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the passages of an item begin, and their lengths."""
+        space = np.flatnonzero(self.text[i] == 32)
+        return space[: -self.tokens], space[self.tokens :] + 1 - space[: -self.tokens]
 
+    def _aligned(self, buf, lo, hi, rows, items, d0, d1) -> Iterator[tuple[int, int, int, int, int]]:
+        """Of each (row, item) the passage of fewest edits within its bands, if they are at most e."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for k in range(0, len(rows), 256):
+            part = slice(k, k + 256)
+            where = [self._passages(i) for i in items[part]]
+            many = np.array([len(x) for x, _ in where])
+            owner = np.repeat(np.arange(many.size), many) + k
+            begin, length = np.concatenate([x for x, _ in where]), np.concatenate([x for _, x in where])
+            flat = np.concatenate([self.text[i] for i in items[part]])
+            at = np.repeat(np.cumsum([len(self.text[i]) for i in items[part]]) - [len(self.text[i]) for i in items[part]], many) + begin
+            for z in range(0, len(at), 1 << 13):
+                c = slice(z, z + (1 << 13))
+                r = rows[owner[c]]
+                ends, cost = banded(flat, at[c], length[c], buf, begin[c] + d0[owner[c]] - self.edits, int((d1 - d0).max()) + 2 * self.edits + 1, lo[r], hi[r], self.edits)
+                for x in np.flatnonzero(cost <= self.edits):
+                    pair = (int(r[x]), int(items[owner[c][x]]))
+                    if pair not in best or cost[x] < best[pair][2]:
+                        best[pair] = (max(int(lo[r[x]]), int(ends[x] - length[c][x])), int(ends[x]), int(cost[x]))
+        for (r0, i), (s, e, n) in best.items():
+            yield r0, i, int(s - lo[r0]), int(e - lo[r0]), n
 
-def banded(pattern: bytes, text: bytes, e: int) -> tuple[int, int, int] | None:
-    """Where pattern ends in text with at most e edits (first best end): start (approximate: end minus the pattern's length), end and distance. Cells above e
-    are cut off, so the work follows the live band."""
-    m = len(pattern)
-    col = list(range(min(m, e) + 1))  # distances of pattern prefixes at the current end; free start
-    best = None
-    for j, c in enumerate(text, 1):
-        prev, col2 = 0, [0]
-        for i in range(1, min(m, len(col)) + 1):
-            up = col[i] if i < len(col) else e + 1
-            v = min(prev + (pattern[i - 1] != c), up + 1, col2[i - 1] + 1)
-            prev = up
-            col2.append(v)
-        while len(col2) > 1 and col2[-1] > e:
-            col2.pop()
-        col = col2
-        if len(col) == m + 1 and (best is None or col[m] < best[2]):
-            best = (max(0, j - m), j, col[m])
-            if col[m] == 0:
-                break
-    return best
+
+def banded(patterns: np.ndarray, at: np.ndarray, length: np.ndarray, text: np.ndarray, start: np.ndarray, width: int, low: np.ndarray, high: np.ndarray, e: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pattern (patterns[at : at + length]) the fewest edits with which it stands in text, on the `width` diagonals from `start` on and between low and
+    high, and where it ends there. All patterns go on together, a character a step; those beyond `e` edits on every diagonal drop out."""
+    n = len(at)
+    ends, cost = np.zeros(n, np.int64), np.full(n, e + 1, np.int64)
+    live = np.arange(n)
+    step = np.arange(width, dtype=np.int32)
+    far = np.zeros((n, width), np.int32)
+    for i in range(int(length.max()) if n else 0):
+        p = patterns[at[live] + i]
+        j = start[live][:, None] + i + step
+        inside = (j >= low[live][:, None]) & (j < high[live][:, None])
+        same = inside & (text[np.clip(j, 0, len(text) - 1)] == p[:, None])
+        now = far + ~same  # a step along the diagonal
+        now[:, :-1] = np.minimum(now[:, :-1], far[:, 1:] + 1)  # the pattern's character has none in the text
+        now[~inside] = np.minimum(now[~inside], e + 1)
+        far = np.minimum.accumulate(now - step, axis=1) + step  # the text has one more
+        done = length[live] == i + 1
+        if done.any():
+            k = np.argmin(far[done], axis=1)
+            ends[live[done]] = start[live[done]] + i + 1 + k
+            cost[live[done]] = far[done][np.arange(len(k)), k]
+        stay = ~done & (far.min(axis=1) <= e)
+        live, far = live[stay], far[stay]
+        if not len(live):
+            break
+    return ends, cost
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", tokens: int = 12, edits: int = 0, q: int = 20, most_bytes: int = 4 << 20) -> DataFrame:
@@ -205,6 +245,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     i = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and length(text) > 0").distinct()
     total = i.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     groups = max(1, -(-total // most_bytes))
+    if groups > 1:
+        d = _suspects(d, i, tokens, edits, q)
     schema = "item_id bigint, doc_id bigint, edits int"
     out = None
     for g in range(groups):
@@ -225,3 +267,43 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
         one = d.mapInArrow(scan, schema)
         out = one if out is None else out.unionByName(one)
     return out.groupBy("item_id", "doc_id").agg(F.min("edits").alias("edits"))
+
+
+def _suspects(d: DataFrame, items: DataFrame, tokens: int, edits: int, q: int) -> DataFrame:
+    """The documents (doc_id, text) that have a window dense enough in q-grams of any item, as a written table; one scan, whatever the number of items."""
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = shortest_passages(b.column(0), tokens)[3]
+            least = least[least > 0]
+            if len(least):
+                yield pa.RecordBatch.from_pydict({"least": pa.array([int(least.min())], pa.int64()), "most": pa.array([int(least.max())], pa.int64())})
+
+    one = items.select("text").mapInArrow(passages, "least bigint, most bigint").agg(F.min("least").alias("least"), F.max("most").alias("most")).first()
+    if one.least is None:
+        return d.limit(0)
+    size = gram_length(one.least, edits, q)
+    need = one.least - size + 1 - size * edits
+    window = one.most - size + 1 + edits if edits else need
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, lo, hi, least = shortest_passages(b.column(0), tokens)
+            for a, z in zip(lo[least > 0], hi[least > 0]):
+                yield pa.RecordBatch.from_pydict({"h": pa.array(np.unique(gram_hashes(buf[a:z], size)).view(np.int64))})
+
+    h = written(items.select("text").mapInArrow(grams, "h bigint").distinct())
+    near = bloom(h, h.count())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(near.value)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                b = whole.slice(k, 512)
+                buf, lo, _ = normal(b.column(1))
+                at = np.flatnonzero(known.maybe(gram_hashes(buf, size)))
+                rows = np.unique(np.searchsorted(lo, at[dense(at, need, window)], side="right") - 1)
+                if len(rows):
+                    yield b.take(pa.array(rows))
+
+    return written(d.mapInArrow(ask, d.schema))

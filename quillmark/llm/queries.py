@@ -100,6 +100,11 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), tokens=12, edits=0).select("item_id", "doc_id")
 
 
+def p9_edited(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a passage of twelve tokens of an item with at most three character edits, and how many."""
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), tokens=12, edits=3)
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.defects(table(spark, sf, "qa_slice_bm25"))
 
@@ -112,7 +117,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_list"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p3_found": p3_found, "p3_repaired": p3_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p10_found": p10_found, "p10_redacted": p10_redacted, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_report": p9_report, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p3_found": p3_found, "p3_repaired": p3_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p10_found": p10_found, "p10_redacted": p10_redacted, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_report": p9_report, "p9_edited": p9_edited, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL: dict[str, str] = {
     "p1_found": """
 SELECT DISTINCT 'sections' AS tbl, source || '#' || section_idx AS item_id FROM sections WHERE length(text) > 2000 AND source || '#' || section_idx IS NOT NULL

@@ -315,6 +315,26 @@ def test_packing(spark):
     assert packing.pack(d.limit(0), "k", "n").count() == 0
 
 
+def test_batches_inside_buckets(spark):
+    """Containers with a bucket hold its lengths alone; a hot length is numbered in parts; oversized items say where their parts begin."""
+    rng = np.random.default_rng(5)
+    sizes = [int(min(100, 1 + x)) for x in rng.lognormal(2.2, 0.8, 3000)] + [230]
+    d = spark.createDataFrame(list(enumerate(sizes)), "k bigint, n bigint")
+    bounds = [0, *packing.optimal_bounds(dict(zip(*(x.tolist() for x in np.unique([x for x in sizes if x <= 100] + [30, 100, 100], return_counts=True)))), 100, 8)]
+    got = packing.pack(d, "k", "n", 100, 8).collect()
+    of = {b: a for a, b in zip(bounds, bounds[1:])}
+    assert all(of[r.bucket] < r.tokens <= r.bucket for r in got if r.bucket is not None)
+    assert sum(r.bucket is not None for r in got) > 0.5 * len(got)
+    assert [(r.part, r.first_token, r.tokens) for r in sorted(got) if r.k == 3000] == [(0, 0, 100), (1, 100, 100), (2, 200, 30)]
+
+
+def test_numbering_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_ROWS", 50)
+    got = packing.pack(spark.range(1000).selectExpr("id as k", "7L as n"), "k", "n", 100, 8)
+    per = got.groupBy("container_id").agg(F.count("*").alias("c")).collect()
+    assert len(per) == 72 and max(r.c for r in per) == 14
+
+
 def test_optimal_bounds():
     import itertools
 
@@ -360,6 +380,42 @@ def test_edited_passage(spark):
     assert rows(leaks.leaks(d, i, tokens=12, edits=2), "item_id", "doc_id") == [(7, 1)] and leaks.leaks(d, i, tokens=12).count() == 0
 
 
+def test_edits_against_brute_force(spark):
+    """Documents within the budget of a passage, by plain dynamic programming over every passage and document; also with an index of many groups."""
+    rng = np.random.default_rng(9)
+    items = {i: " ".join(rng.choice(WORDS, 14)) for i in range(8)}
+    docs = {}
+    for d in range(40):
+        w = tok(items[d % 8])[1:]
+        text = list(" ".join(w))
+        for _ in range(d % 6):
+            k = int(rng.integers(1, len(text) - 1))
+            text[k : k + int(rng.integers(0, 2))] = rng.choice(list("abcdef"), int(rng.integers(0, 2)))
+        docs[d] = " ".join([*rng.choice(WORDS, d % 9), "".join(text), *rng.choice(WORDS, 5)])
+
+    def fewest(p: str, t: str) -> int:
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p, 1):
+            now = [i]
+            for j, x in enumerate(t, 1):
+                now.append(min(row[j - 1] + (c != x), row[j] + 1, now[-1] + 1))
+            row = now
+        return min(row)
+
+    want = {}
+    for i, x in items.items():
+        w = tok(x)
+        for d, y in docs.items():
+            n = min(fewest(f" {' '.join(w[k : k + 12])} ", f" {' '.join(tok(y))} ") for k in range(len(w) - 11))
+            if n <= 3:
+                want[i, d] = n
+    dd = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    ii = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    for most in (4 << 20, 200):
+        assert {(r.item_id, r.doc_id): r.edits for r in leaks.leaks(dd, ii, tokens=12, edits=3, most_bytes=most).collect()} == want
+    assert len(set(want.values())) == 4
+
+
 # ---- 10 personal information
 NAMES = pii.Names([("Tadran", "given"), ("Malia", "given"), ("Haskvitz", "family"), ("Branwen", "family"), ("Dunholm", "family")])
 
