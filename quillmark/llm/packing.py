@@ -89,7 +89,7 @@ def optimal_bounds(histogram: dict[int, int], capacity: int, buckets: int) -> li
     return sorted(out)
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, buckets: int = 24, full: float = 0.95) -> DataFrame:
+def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, buckets: int = 24, full: float = 0.98) -> DataFrame:
     """(key, part, first_token, tokens, container_id, bucket): every item in a container, whole unless it is larger than the capacity: then parts 0, 1, ... of at
     most `capacity`, which begin at `first_token` of the item. bucket is the upper bound of the bucket whose batch the container is, null where it was filled
     from what the buckets left over.
@@ -156,7 +156,7 @@ class _Stock:
         self.base += times
 
 
-def patterns(hist: dict[int, int], capacity: int, buckets: int, full: float = 0.95) -> list[tuple]:
+def patterns(hist: dict[int, int], capacity: int, buckets: int, full: float = 0.98) -> list[tuple]:
     """(length, first position, times, each, container base, bucket): positions first, first + 1, ... of that length go, `each` a container, into the containers
     base, base + 1, ..., base + times - 1."""
     stock = _Stock(hist, capacity)
