@@ -28,6 +28,7 @@ from quillmark.llm.shingles import TOKEN_CLASS, _power, mix
 from quillmark.session import written
 
 FILTER_BITS = 22
+PLACES = 1 << 36  # more than an item has characters
 
 
 def normal(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,6 +97,8 @@ class Items:
         buf, lo, hi, least = shortest_passages(pa.array(texts, pa.large_string()), tokens)
         has = np.flatnonzero(least)
         self.ids, self.text, self.least = [ids[k] for k in has], [buf[lo[k] : hi[k]] for k in has], least[has]
+        cuts = [np.flatnonzero(t == 32) for t in self.text]
+        self.passages = [(x[:-tokens], x[tokens:] + 1 - x[:-tokens]) for x in cuts] if edits else []  # where each begins, and its length
         self.q = gram_length(int(self.least.min()) if len(has) else q, edits, q)
         self.need = self.least - self.q + 1 - self.q * edits
         grams = [gram_hashes(t, self.q) for t in self.text]
@@ -142,7 +145,7 @@ class Items:
         span = int(diagonal.max() - base) // step + 3
         band = (diagonal - base) // step
         key = (r.astype(np.int64) * len(self.ids) + item) * span + band
-        keys, counts = np.unique(key, return_counts=True)
+        keys, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
         if self.edits:  # overlapping bands: this one and the next
             nxt = np.zeros(len(keys), np.int64)
             follow = np.flatnonzero(np.diff(keys) == 1)
@@ -153,7 +156,8 @@ class Items:
         pair, d = keys[good] // span, keys[good] % span * step + base
         rows, items = pair // len(self.ids), pair % len(self.ids)
         if self.edits:
-            yield from self._aligned(buf, lo, hi, rows, items, d, d + 2 * step - 1)
+            bands = np.stack([np.flatnonzero(good), np.where(nxt[good] > 0, np.flatnonzero(good) + 1, len(keys))])
+            yield from self._aligned(buf, lo, hi, rows, items, d, d + 2 * step - 1, bands, np.sort(inverse * PLACES + self.at[k]))
             return
         seen = set()
         for r0, i, d0 in zip(rows.tolist(), items.tolist(), d.tolist()):
@@ -177,22 +181,24 @@ class Items:
                 return first + d + s, first + d + e, 0
         return None
 
-    def _passages(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the passages of an item begin, and their lengths."""
-        space = np.flatnonzero(self.text[i] == 32)
-        return space[: -self.tokens], space[self.tokens :] + 1 - space[: -self.tokens]
-
-    def _aligned(self, buf, lo, hi, rows, items, d0, d1) -> Iterator[tuple[int, int, int, int, int]]:
-        """Of each (row, item) the passage of fewest edits within its bands, if they are at most e."""
+    def _aligned(self, buf, lo, hi, rows, items, d0, d1, bands, places) -> Iterator[tuple[int, int, int, int, int]]:
+        """Of each (row, item) the passage of fewest edits within its bands, if they are at most e. Only passages with q-grams enough of their own in the band
+        are aligned."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for k in range(0, len(rows), 256):
             part = slice(k, k + 256)
-            where = [self._passages(i) for i in items[part]]
+            where = [self.passages[i] for i in items[part]]
             many = np.array([len(x) for x, _ in where])
             owner = np.repeat(np.arange(many.size), many) + k
             begin, length = np.concatenate([x for x, _ in where]), np.concatenate([x for _, x in where])
+            own = np.zeros(len(begin), np.int64)
+            for band in bands:
+                first = band[owner] * PLACES + begin
+                own += np.searchsorted(places, first + length - self.q, "right") - np.searchsorted(places, first, "left")
             flat = np.concatenate([self.text[i] for i in items[part]])
             at = np.repeat(np.cumsum([len(self.text[i]) for i in items[part]]) - [len(self.text[i]) for i in items[part]], many) + begin
+            some = np.flatnonzero(own >= length - self.q + 1 - self.q * self.edits)
+            owner, begin, length, at = owner[some], begin[some], length[some], at[some]
             for z in range(0, len(at), 1 << 13):
                 c = slice(z, z + (1 << 13))
                 r = rows[owner[c]]

@@ -2,10 +2,10 @@
 fixed-size subsets, heavy sets scan inverted lists).
 
 Every text becomes the set of its runs of `width` consecutive tokens. Shingles get one global
-order, rarest first, by a counting sketch of fixed size over *all* texts (any order gives the same
-result; the sketch only makes the lists short). If two sets a, b reach similarity t, their overlap
-is at least o = ceil(t * max(|a|, |b|)), and the first |s| - ceil(t |s|) + c shingles of each
-share at least min(c, o): an overlap join with the fixed threshold c (2; up to 12 for
+order, rarest first, by a counting sketch over *all* texts, sized from their number (any order
+gives the same result; the sketch only makes the lists short). If two sets a, b reach similarity t,
+their overlap is at least o = ceil(t * max(|a|, |b|)), and the first |s| - ceil(t |s|) + c shingles
+of each share at least min(c, o): an overlap join with the fixed threshold c (2; up to 12 for
 large sets). For it
 
 * light sets (short prefix) emit every c-subset of the prefix: sharing one is enough;
@@ -14,6 +14,10 @@ large sets). For it
 * the boundary is the prefix length at which C(p, c) passes the expected cost of list scans, taken
   from the histogram of prefix lengths and from the sketch.
 
+A list that the sketch says is longer than `HOT` is divided by hash into blocks, and every pair of
+blocks is a list of its own, so that it spreads over the tasks; each pair of its sets meets in one.
+Long lists are compared block against block, short ones all at once by distance.
+
 Postings carry an exclusive-or bitmap of the whole set; its Hamming distance is a lower bound of
 the sets' difference, so pairs that cannot reach t are dropped where they are met, exactly.
 Copies of one set are one class, so a hot group of copies costs one representative. Candidates
@@ -30,10 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.filters import Filter, bloom
 from quillmark.llm.shingles import HASH_BITS, M1, blocks, mix, shingle_sets
 from quillmark.session import small, written
 
-SKETCH_BITS = 20
+LEAST_SKETCH, MOST_SKETCH = 16, 24  # bits; at most 16 MB are broadcast
+HOT = 1 << 15  # sets in a block of a divided list
+LONG = 48  # a list longer than this is compared block against block
 SUBSET, MOST_MEETINGS = 2, 12
 LOW = np.uint64((1 << HASH_BITS) - 1)
 LEVEL_SHIFT = np.uint64(HASH_BITS - 8)
@@ -49,27 +56,30 @@ def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
     return np.minimum(n, n - np.ceil(t * n - 1e-9).astype(np.int64) + required(n))
 
 
-def _merged(parts: DataFrame, dtype: type, bits: int, block: int) -> np.ndarray:
-    """Adds up arrays that tasks sent in blocks, block by block; 2^bits numbers reach the driver, however many tasks there were."""
+def _merged(parts: DataFrame, bits: int, block: int) -> tuple[np.ndarray, int]:
+    """Adds up arrays that tasks sent in blocks, block by block, and the sum of all; 2^bits bytes reach the driver, however many tasks there were."""
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(1 << block, np.int64)
         for b in batches:
-            for x in b.column("part"):
-                a = np.frombuffer(x.as_buffer(), dtype).astype(np.int64)
-                total = a if total is None else total + a
+            for at, n in zip(b.column("at"), b.column("part")):
+                n = np.frombuffer(n.as_buffer(), np.int32)
+                total[np.frombuffer(at.as_buffer(), np.uint16) if at.is_valid else slice(None)] += n
         level = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
-        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([level.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([level.tobytes()], pa.binary()), "n": pa.array([int(total.sum())])})
 
-    out = np.zeros(1 << bits, np.uint8)
-    for r in parts.groupBy("k").applyInArrow(add, "k int, part binary").collect():
+    out, n = np.zeros(1 << bits, np.uint8), 0
+    for r in parts.groupBy("k").applyInArrow(add, "k int, part binary, n bigint").collect():
         out[r.k << block : (r.k << block) + len(r.part)] = np.frombuffer(r.part, np.uint8)
-    return out
+        n += r.n if r.k < 1 << (bits - block - 1) else 0
+    return out, n
 
 
-def sketch(df: DataFrame, width: int, least: int, t: float, bits: int = SKETCH_BITS, block: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms (a byte each, 8 a doubling) of how many shingles fall into each of 2^bits buckets, over all rows of df (text), and of
-    how many sets have which prefix length (65,536 of them, longer ones in the last). Fixed size, whatever the input."""
+def sketch(df: DataFrame, width: int, least: int, t: float, bits: int | None = None, block: int = 16) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logarithms (a byte each, 8 a doubling) of how many shingles fall into each of 2^bits buckets, over all rows of df (text), of how many sets have which
+    prefix length (65,536 of them, longer ones in the last), and the mean of the buckets. By default about two buckets a row."""
+    if bits is None:
+        bits = int(min(MOST_SKETCH, max(LEAST_SKETCH, math.ceil(math.log2(1 + df.count())) + 1)))
     size, step = 1 << bits, 1 << block
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +91,42 @@ def sketch(df: DataFrame, width: int, least: int, t: float, bits: int = SKETCH_B
                 lengths += np.bincount(np.minimum(prefix_length(n[n > 0], t), step - 1), minlength=step).astype(np.int32)
         for k in range(size // step + 1):
             part = total[k * step : (k + 1) * step] if k < size // step else lengths
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
+            some = np.flatnonzero(part)
+            if len(some):  # whole, or only what is not 0
+                sparse = 6 * len(some) < 4 * step
+                yield pa.RecordBatch.from_pydict({
+                    "k": pa.array([k], pa.int32()), "at": pa.array([some.astype(np.uint16).tobytes() if sparse else None], pa.binary()),
+                    "part": pa.array([(part[some] if sparse else part).tobytes()], pa.binary()),
+                })
+
+    both, n = _merged(df.mapInArrow(count, "k int, at binary, part binary"), bits + 1, block)
+    return both[:size], both[size : size + step], n / size
+
+
+def divisions(levels: np.ndarray, mean: float, hot: int) -> np.ndarray:
+    """Of each bucket the binary logarithm of the number of blocks that its lists are divided into: what it holds beyond the mean may be one list."""
+    n = np.exp2(np.arange(256) / 8.0) - 1 - mean
+    return np.where(n > max(hot, mean), np.ceil(np.log2(np.maximum(n, 1) / hot)), 0).astype(np.uint8)[levels]
+
+
+def list_names(hash_: np.ndarray, subset: bool, log_blocks: np.ndarray | None, block: int) -> np.ndarray:
+    """Names of the lists that a set's postings go to: 54 bits of hash and whether it is a subset's. Those of a divided list name a pair of blocks and say into how
+    many it is divided and whether the two are the same one."""
+    name = (hash_ << np.uint64(1)) | np.uint64(subset)
+    if log_blocks is None or not log_blocks.any():
+        return name
+    out = [name[log_blocks == 0]]
+    for k in np.flatnonzero(log_blocks).tolist():
+        n = 1 << int(log_blocks[k])
+        own, other = np.uint64(block % n), np.arange(n, dtype=np.uint64)
+        pair = mix(hash_[k] * M1 + (np.minimum(own, other) << np.uint64(32)) + np.maximum(own, other)) >> np.uint64(64 - HASH_BITS)
+        out.append((pair << np.uint64(1)) | np.uint64(subset) | (log_blocks[k].astype(np.uint64) << np.uint64(55)) | ((own == other).astype(np.uint64) << np.uint64(60)))
+    return np.concatenate(out)
+
 
-    both = _merged(df.mapInArrow(count, "k int, part binary"), np.int32, bits + 1, block)
-    return both[:size], both[size : size + step]
+def set_block(h: np.ndarray) -> np.ndarray:
+    """The number by which the set named h belongs to a block of a divided list."""
+    return (mix(h.view(np.uint64) ^ M1) >> np.uint64(40)).astype(np.int64)
 
 
 def boundary(lengths: np.ndarray, levels: np.ndarray, c: int = SUBSET) -> int:
@@ -123,12 +164,14 @@ def _xor_bitmaps(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> list[bytes
     return out
 
 
-def signatures(df: DataFrame, width: int, least: int, t: float, levels, limit: int) -> DataFrame:
+def signatures(df: DataFrame, width: int, least: int, t: float, levels, limit: int, mean: float = 0.0, hot: int = HOT) -> DataFrame:
     """df (key, text) -> (key, h, n, sigs, bits): h names the set, sigs are its postings. One pass, no shuffle."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels.value, np.uint8)
         shift = np.uint64(HASH_BITS - int(math.log2(len(table))))
+        logs = divisions(table, mean, hot)
+        divided = bool(logs.any())
         seen: set[int] = set()  # sets this task has sent already: a hot group of copies sends its postings about once a task
         for whole in batches:
             if len(seen) > 500_000:
@@ -143,9 +186,11 @@ def signatures(df: DataFrame, width: int, least: int, t: float, levels, limit: i
                 starts = np.cumsum(n) - n
                 name = mix(np.add.reduceat(mix(s), starts)) ^ np.add.reduceat(mix(s ^ M1), starts)
                 bits = _xor_bitmaps(s, starts, n)
-                ordered = np.sort((key & ~LOW) | (table[(s >> shift).astype(np.int64)].astype(np.uint64) << LEVEL_SHIFT) | (s & REST)) & LOW
+                by = np.argsort((key & ~LOW) | (table[(s >> shift).astype(np.int64)].astype(np.uint64) << LEVEL_SHIFT) | (s & REST))
+                ordered = s[by]
                 p = prefix_length(n, t)
                 single = (p > limit) | (prefix_length(np.floor(n / t + 1e-9).astype(np.int64), t) > limit)
+                block = set_block(name)
                 sigs = []
                 for i, h in enumerate(name.tolist()):
                     if h in seen:
@@ -153,10 +198,12 @@ def signatures(df: DataFrame, width: int, least: int, t: float, levels, limit: i
                         continue
                     seen.add(h)
                     x = ordered[starts[i] : starts[i] + p[i]]
-                    out = [x << np.uint64(1)] if single[i] else []
+                    lb = logs[(x >> shift).astype(np.int64)] if divided else None
+                    out = [list_names(x, False, lb, int(block[i]))] if single[i] else []
                     if 1 < p[i] <= limit:
                         a, z = np.triu_indices(int(p[i]), 1)
-                        out.append(mix(x[a] * M1 + x[z]) | np.uint64(1))
+                        both = mix(x[a] * M1 + x[z]) >> np.uint64(64 - HASH_BITS)
+                        out.append(list_names(both, True, np.minimum(lb[a], lb[z]) if divided else None, int(block[i])))
                     sigs.append(np.concatenate(out) if out else x[:0])
                 flat = np.concatenate(sigs).view(np.int64)
                 offsets = np.zeros(len(n) + 1, np.int32)
@@ -169,13 +216,107 @@ def signatures(df: DataFrame, width: int, least: int, t: float, levels, limit: i
     return df.mapInArrow(make, f"key {df.schema['key'].dataType.simpleString()}, h bigint, n int, sigs array<bigint>, bits binary")
 
 
-_ones = np.array([bin(k).count("1") for k in range(256)], np.uint8)
-
-
-def _fold(x: np.ndarray, w: int) -> np.ndarray:
-    while x.shape[1] > w:
-        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-    return x
+class Postings:
+    """Rows of lists, in the order of list, size and set: list name, size, set, and the set's bitmap at its own width and folded to the narrower ones."""
+
+    def __init__(self, sig: np.ndarray, n: np.ndarray, h: np.ndarray, words: np.ndarray, wide: np.ndarray):
+        self.sig, self.n, self.h, self.words, self.wide = sig, n, h, words, wide
+
+    @classmethod
+    def read(cls, b: pa.RecordBatch) -> Postings:
+        sig, n, h = (b.column(k).to_numpy() for k in range(3))
+        raw = b.column(3)
+        wide = np.zeros((len(sig), 64), np.uint8)
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+        data, size = np.frombuffer(raw.buffers()[2], np.uint8), np.diff(offsets)
+        for w in (16, 32, 64):
+            i = np.flatnonzero(size == w)
+            if len(i):
+                wide[i, :w] = data[offsets[i][:, None] + np.arange(w)]
+        once = np.ones(len(sig), bool)  # copies of a set lie side by side
+        once[1:] = (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])
+        return cls(*(x[once] for x in (sig, n, h, size.astype(np.int64) // 8, wide.view(np.uint64))))
+
+    def take(self, i) -> Postings:
+        return Postings(self.sig[i], self.n[i], self.h[i], self.words[i], self.wide[i])
+
+    def after(self, first: Postings) -> Postings:
+        return Postings(*(np.concatenate(x) for x in zip(first.columns(), self.columns())))
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.sig, self.n, self.h, self.words, self.wide
+
+    def folded(self, k: int) -> np.ndarray:
+        """Bitmaps of k words; of use for rows whose own are as wide or wider."""
+        x = self.wide
+        out = x[:, :k].copy()
+        for w in (2, 4, 8):
+            if w > k:
+                i = np.flatnonzero(self.words == w)
+                y = x[i, :w]
+                while y.shape[1] > k:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                out[i] = y
+        return out
+
+
+def _close(p: Postings, fresh: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(z, y): rows of one list, the later one fresh, that size and bitmap allow to be similar."""
+    share = (1 - t) / (1 + t)
+    maps = {k: p.folded(k) for k in (2, 4, 8)}
+    name = p.sig.view(np.uint64)
+    parted = ((name >> np.uint64(55)) & np.uint64(31)).astype(np.int64)  # of a divided list
+    parted[((name >> np.uint64(60)) & np.uint64(1)).astype(bool)] = 0  # a block with itself
+    block = np.where(parted > 0, set_block(p.h) & ((np.int64(1) << parted) - 1), -1) if parted.any() else None
+
+    first = np.flatnonzero(np.diff(p.sig, prepend=p.sig[:1] - 1))
+    length = np.diff(np.r_[first, len(p.sig)])
+    is_long = np.repeat(length > LONG, length)
+    # short lists, all at once: the earlier row is d before the later one
+    live = np.flatnonzero(fresh & ~is_long)
+    for d in range(1, LONG + 1):
+        live = live[live >= d]
+        live = live[(p.sig[live] == p.sig[live - d]) & (p.n[live - d] >= t * p.n[live] - 1e-9)]
+        if not len(live):
+            break
+        z = live[p.h[live] != p.h[live - d]]
+        if block is not None:
+            z = z[(parted[z] == 0) | (block[z] != block[z - d])]
+        y = z - d
+        w = np.minimum(p.words[z], p.words[y])
+        far = np.zeros(len(z), np.int64)
+        for k in (2, 4, 8):
+            i = np.flatnonzero(w == k)
+            if len(i):
+                far[i] = np.bitwise_count(maps[k][z[i]] ^ maps[k][y[i]]).sum(axis=1, dtype=np.int64)
+        good = far <= (p.n[z] + p.n[y]) * share + 1e-9
+        yield z[good], y[good]
+    # long lists, block against block
+    for a, m in zip(first[length > LONG].tolist(), length[length > LONG].tolist()):
+        new = a + np.flatnonzero(fresh[a : a + m])
+        for s in range(0, len(new), 256):
+            z = new[s : s + 256]
+            low = a + int(np.searchsorted(p.n[a : a + m], t * p.n[z[0]] - 1e-9))
+            for y0 in range(low, int(z[-1]), 2048):
+                y = np.arange(y0, min(int(z[-1]), y0 + 2048))
+                far = np.empty((len(z), len(y)), np.int32)
+                for k in (2, 4, 8):
+                    c = np.flatnonzero(p.words[y] == k)
+                    if len(c):  # sizes grow, so the earlier one's bitmap is the narrower
+                        c = slice(int(c[0]), int(c[-1]) + 1)
+                        one, two = maps[k][z], maps[k][y[c]]
+                        total = np.bitwise_count(one[:, :1] ^ two[:, 0]).astype(np.int16)
+                        for x in range(1, k):
+                            total += np.bitwise_count(one[:, x : x + 1] ^ two[:, x])
+                        far[:, c] = total
+                good = far <= (p.n[z][:, None] + p.n[y]) * share + 1e-9
+                good &= (y < z[:, None]) & (p.n[y] >= t * p.n[z][:, None] - 1e-9)
+                i, j = np.nonzero(good)
+                i, j = z[i], y[j]
+                ok = p.h[i] != p.h[j]
+                if block is not None:
+                    ok &= (parted[i] == 0) | (block[i] != block[j])
+                yield i[ok], j[ok]
 
 
 def scan(postings: DataFrame, t: float, partitions: int) -> DataFrame:
@@ -183,54 +324,20 @@ def scan(postings: DataFrame, t: float, partitions: int) -> DataFrame:
     order of size; only the part of the current list that the size bound still reaches is kept."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        kept: Postings | None = None
         for b in batches:
-            sig, n, h = (b.column(k).to_numpy() for k in range(3))
-            raw = b.column(3)
-            wide = np.zeros((len(sig), 64), np.uint8)
-            offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
-            data, size = np.frombuffer(raw.buffers()[2], np.uint8), np.diff(offsets)
-            for w in (16, 32, 64):
-                i = np.flatnonzero(size == w)
-                if len(i):
-                    wide[i, :w] = data[offsets[i][:, None] + np.arange(w)]
-            once = np.ones(len(sig), bool)  # copies of a set lie side by side
-            once[1:] = (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])
-            now = [x[once] for x in (sig, n, h, size.astype(np.int64), wide)]
-            sig = now[0]
-            fresh = np.zeros(len(sig), bool)
-            if kept is not None and len(kept[0]) and kept[0][-1] == sig[0]:
-                fresh = np.r_[np.zeros(len(kept[0]), bool), np.ones(len(sig), bool)]
-                now = [np.concatenate(x) for x in zip(kept, now)]
-            else:
-                fresh = np.ones(len(sig), bool)
-            sig, n, h, size, wide = now
-            live = np.arange(len(sig))  # the later one of each pair; the earlier is d rows before
-            for d in range(1, len(sig)):
-                live = live[live >= d]
-                live = live[(sig[live] == sig[live - d]) & (n[live - d] >= t * n[live] - 1e-9)]
-                if not len(live):
-                    break
-                z = live[fresh[live] & (h[live] != h[live - d])]
-                y = z - d
-                w = np.minimum(size[z], size[y])
-                good = np.zeros(len(z), bool)
-                for k in (16, 32, 64):
-                    i = np.flatnonzero(w == k)
-                    if len(i):
-                        pair = [np.zeros((len(i), k), np.uint8), np.zeros((len(i), k), np.uint8)]
-                        for m, at in enumerate((z[i], y[i])):
-                            for q in (16, 32, 64):
-                                j = np.flatnonzero(size[at] == q)
-                                if q >= k and len(j):
-                                    pair[m][j] = _fold(wide[at[j]][:, :q], k)
-                        far = _ones[pair[0] ^ pair[1]].sum(axis=1, dtype=np.int64)
-                        good[i] = far <= (n[z[i]] + n[y[i]]) * ((1 - t) / (1 + t)) + 1e-9
-                z, y = z[good], y[good]
+            if not b.num_rows:
+                continue
+            now = Postings.read(b)
+            fresh = np.ones(len(now.sig), bool)
+            if kept is not None and len(kept.sig) and kept.sig[-1] == now.sig[0]:
+                fresh = np.r_[np.zeros(len(kept.sig), bool), fresh]
+                now = now.after(kept)
+            for z, y in _close(now, fresh, t):
                 if len(z):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(h[z], h[y])), "b": pa.array(np.maximum(h[z], h[y])), "times": pa.array(np.where(sig[z] & 1, MOST_MEETINGS, 1).astype(np.int32)), "need": pa.array(required(n[y]).astype(np.int32))})
-            last = (sig == sig[-1]) & (n >= t * n[-1] - 1e-9)
-            kept = [x[last] for x in now]
+                    h, other = now.h[z], now.h[y]
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(h, other)), "b": pa.array(np.maximum(h, other)), "times": pa.array(np.where(now.sig[z] & 1, MOST_MEETINGS, 1).astype(np.int32)), "need": pa.array(required(now.n[y]).astype(np.int32))})
+            kept = now.take((now.sig == now.sig[-1]) & (now.n >= t * now.n[-1] - 1e-9))
 
     ordered = postings.repartition(partitions, "sig").sortWithinPartitions("sig", "n", "h")
     return ordered.mapInArrow(walk, "a bigint, b bigint, times int, need int")
@@ -248,10 +355,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     least = width if least_tokens is None else least_tokens
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     src = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    levels, lengths = sketch(src.select("text"), width, least, threshold)
+    levels, lengths, mean = sketch(src.select("text"), width, least, threshold)
     limit = boundary(lengths, levels)
     shared = spark.sparkContext.broadcast(levels.tobytes())
-    sets = signatures(src, width, least, threshold, shared, limit)
+    sets = signatures(src, width, least, threshold, shared, limit, mean, HOT)
     postings = sets.select(F.explode("sigs").alias("sig"), "n", "h", "bits")
     met = scan(postings, threshold, partitions)
     pairs = written(met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b"))
@@ -259,46 +366,17 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     return classes, _verified(src, classes, pairs, width, least, threshold)
 
 
-def _bloom(hashes: DataFrame, bits: int = 23) -> np.ndarray:
-    """A filter of fixed size over a column h."""
-    size, block = 1 << (bits - 3), 16
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.zeros(1 << bits, np.uint8)
-        for b in batches:
-            hit[mix(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)] = 1
-        packed = np.packbits(hit)
-        for k in range(size >> block):
-            part = packed[k << block : (k + 1) << block]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
-
-    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << block, np.uint8)
-        for b in batches:
-            for x in b.column("part"):
-                total |= np.frombuffer(x.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(size, np.uint8)
-    for r in hashes.mapInArrow(put, "k int, part binary").groupBy("k").applyInArrow(join, "k int, part binary").collect():
-        out[r.k << block : (r.k + 1) << block] = np.frombuffer(r.part, np.uint8)
-    return out
-
-
 def _verified(src: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: int, t: float) -> DataFrame:
     """The pairs whose whole sets reach t. Sets travel as the low 32 bits of their hashes (two of a pair's few hundred shingles fall together about once in
-    100,000 pairs, and then count as one). Only texts that are in a candidate (by a filter of fixed size on their keys, then exactly) are read into sets again."""
+    100,000 pairs, and then count as one). Only texts that are in a candidate (by a filter of their keys, sized by their number, then exactly) are read into sets again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     owners = written(classes.groupBy("h").agg(F.min("key").alias("key")).join(wanted, "h").withColumn("kh", F.xxhash64("key")))
-    near = src.sparkSession.sparkContext.broadcast(_bloom(owners.select("kh")).tobytes())
+    near = bloom(owners.select(F.col("kh").alias("h")), owners.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.unpackbits(np.frombuffer(near.value, np.uint8))
-        shift = np.uint64(64 - int(math.log2(len(hit))))
+        known = Filter(near.value)
         for whole in batches:
-            kh = whole.column(1).to_numpy().view(np.uint64)
-            for b in blocks(whole.take(pa.array(np.flatnonzero(hit[mix(kh) >> shift])))):
+            for b in blocks(whole.take(pa.array(np.flatnonzero(known.maybe(whole.column(1).to_numpy()))))):
                 key, n = shingle_sets(b.column(2), width, least)
                 has = np.flatnonzero(n)
                 if not len(has):

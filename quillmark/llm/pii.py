@@ -1,14 +1,16 @@
 """Personal information in free text: patterns propose spans, checksums confirm them, nearby words adjust the score; accepted spans become placeholders.
 
-Every proposal starts with a score for how specific its pattern is. Checksums (Luhn; mod 97 for French numbers; mod 11 for Brazilian ones; the
-letters of Spanish ones) add to it, words in the 40 characters before it add or take away, and spans of `ACCEPT` and more stay. Overlaps go to the
-earlier kind of: email, phone, id_number, address, name. Names come from a given-and-family list that need not be complete: a word outside it counts as
-likely when its beginning and its ending both occur in list words of that kind, and a span needs a listed word or a personal context.
+Every proposal starts with a score for how specific its pattern is. Checksums (Luhn for cards and plain numbers, mod 97 for bank accounts and French numbers,
+mod 11 for Brazilian ones, the letters of Spanish ones, the ranges of American ones) add to it or take away, words in the 40 characters before it add or take
+away, and spans of `ACCEPT` and more stay. Overlaps go to the earlier kind of: email, account, card, phone, id_number, address, name. Names come from a
+given-and-family list that need not be complete: a word outside it counts as likely when its beginning and its ending both occur in list words of that kind,
+and a span needs a listed word or a personal context.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,13 +39,16 @@ PHONE = re.compile(
 )
 ID = re.compile(
     r"(?<![\w+$€£.,\-/])(?:"
-    r"(?P<nine>9\d\d[-\s]\d\d[-\s]\d{4})|(?P<ssn>\d{3}[-\s]\d\d[-\s]\d{4})|(?P<cpf>\d{3}\.\d{3}\.\d{3}-\d\d)|(?P<reg>\d{8}-\d{3}[A-Z])"
+    r"(?P<ssn>\d{3}[-\s]\d\d[-\s]\d{4})|(?P<cpf>\d{3}\.\d{3}\.\d{3}-\d\d)|(?P<reg>\d{8}-\d{3}[A-Z])"
     r"|(?P<nino>[A-Z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-D])|(?P<nie>[XYZ]\d{7}[A-Z])|(?P<pass>[A-Z]\d{8}|[A-Z]{2}\d{7})|(?P<dni>\d{8}[A-Z])"
     r"|(?P<insee>[12]\s?\d\d\s?(?:0[1-9]|1[0-2])\s?\d[\dAB]\s?\d{3}\s?\d{3}(?:\s?\d\d)?)|(?P<long>\d{9,12})"
     r")(?![\w]|[-]\d|[.,]\d)"
 )
-ID_SCORE = {"nine": 0.6, "ssn": 0.3, "cpf": 0.6, "reg": 0.6, "nino": 0.6, "nie": 0.5, "pass": 0.5, "dni": 0.3, "insee": 0.2, "long": 0.05}
-ID_GOOD = re.compile(r"(?i)(?:ssn|social security|passport|taxpayer|tax id|tin|national (?:id|insurance)|identity|id (?:no|number|card)|ausweis\w*|steuer\w*|personal\w*nummer|identité|insee|sécurité sociale|documento|dni|nie|cpf|pasaporte)\W*(?:no|nr|n°|number|nummer|num)?\W*\Z")
+ACCOUNT = re.compile(r"(?<![\w-])[A-Z]{2}\d\d(?:\s?[A-Z\d]{4}){2,7}(?:\s?[A-Z\d]{1,3})?(?![\w-])")
+CARD = re.compile(r"(?<![\w+$€£.,\-/])(?:[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|3\d{3}([ -]?)\d{6}\2\d{5})(?![\w]|[-]\d|[.,]\d)")
+ID_SCORE = {"ssn": 0.4, "cpf": 0.6, "reg": 0.6, "nino": 0.6, "nie": 0.5, "pass": 0.5, "dni": 0.3, "insee": 0.2, "long": 0.05}
+ID_GOOD = re.compile(r"(?i)(?:ssn|social security|passport|taxpayer|tax id|tin|national (?:id|insurance)|identity|id (?:no|number|card)|ausweis\w*|steuer\w*|personal\w*nummer|identité|insee|sécurité sociale|documento|dni|nie|cpf|pasaporte)\W*(?:no|nr|n°|number|nummer|num)?(?:\W{1,3}[a-zà-ÿ]{1,9}){0,2}\W{0,3}\Z")
+CARD_GOOD = re.compile(r"(?i)(?:card|credit|debit|visa|mastercard|amex|karte|kreditkarte|carte|tarjeta)\b\W*(?:no|nr|n°|number|nummer|num)?(?:\W{1,3}\w{1,9}){0,2}\W{0,3}\Z")
 PHONE_GOOD = re.compile(r"(?i)(?:call|phone|fax|tel\w*|mobile|mobil|desk|number|anruf\w*|nummer|répond|appel\w*|atiende|llam\w*|ext|rufen|on|au|en el|unter)\W{0,3}(?:[\w ]{0,12}\W{0,3})?\Z")
 BAD = re.compile(r"(?i)(?:\border|invoice|part no|isbn|issn|doi|accession|grid point|version|figure|table|serial|sku|model|catalogue no|case no|ref)\s*(?:no\.?|number|n[º°.])?\s*[:#.]?[\w.\-/:]{0,14}\s?\Z")
 
@@ -91,6 +96,12 @@ def cpf(digits: str) -> bool:
 
 def confirmed(kind: str, text: str) -> bool:
     digits = re.sub(r"\D", "", text)
+    if kind == "ssn":  # social security and taxpayer numbers: no part is all zeros, and 666 is no area
+        return digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000"
+    if kind == "account":
+        return mod97(text)
+    if kind == "card":
+        return luhn(digits)
     if kind == "cpf":
         return cpf(digits)
     if kind in ("dni", "nie"):
@@ -161,11 +172,12 @@ def windows(text: str, at: list[int], before: int, after: int) -> list[tuple[int
 
 def find(text: str, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind), in order and without overlaps; positions from 0 in code points."""
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order, without overlaps
 
     def add(a: int, z: int, kind: str) -> None:
-        if not any(a < y and x < z for x, y, _ in taken):
-            taken.append((a, z, kind))
+        k = bisect_left(taken, (a,))
+        if (k == len(taken) or taken[k][0] >= z) and (not k or taken[k - 1][1] <= a):
+            insort(taken, (a, z, kind))
 
     at: dict[str, list[int]] = {"email": [], "address": [], "name": []}
     for end, (n, kinds) in names.anchors.iter(SPACE.sub(" ", text)):
@@ -179,7 +191,16 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
     for a, z in windows(text, at["email"], 120, 120):
         for m in EMAIL.finditer(text, a, z):
             add(m.start(), m.end(), "email")
+    for m in ACCOUNT.finditer(text):
+        if confirmed("account", m.group()):
+            add(m.start(), m.end(), "account")
     runs = [(max(0, m.start() - 4), min(len(text), m.end() + 8)) for m in NUMBERS.finditer(text)]
+    for a, z in runs:
+        for m in CARD.finditer(text, a, z):
+            before = text[max(0, m.start() - 40) : m.start()]
+            parted = bool(m.group(1) or m.group(2))
+            if 0.1 + 0.2 * parted + 0.3 * confirmed("card", m.group()) + 0.3 * bool(CARD_GOOD.search(before)) - 0.5 * bool(BAD.search(before)) >= ACCEPT:
+                add(m.start(), m.end(), "card")
     for a, z in runs:
         for m in PHONE.finditer(text, a, z):
             before = text[max(0, m.start() - 40) : m.start()]
@@ -215,7 +236,7 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
                 a = m.end()
             else:  # the next capital word may begin a name
                 a = GAP.search(text, m.start(), m.end()).end()
-    return sorted(taken)
+    return taken
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -235,7 +256,7 @@ def _list(names: DataFrame, word: str, kind: str) -> list[tuple[str, str]]:
 
 
 def spans(documents: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", word: str = "word", kind: str = "word_kind") -> DataFrame:
-    """(key, kind, start_pos, end_pos, placeholder text): one row a span; positions from 1 in code points, the end inclusive.
+    """Of the kinds email, account, card, phone, id_number, address and name: (key, kind, start_pos, end_pos, placeholder text): one row a span; positions from 1 in code points, the end inclusive.
 
     Null keys and null and empty texts have no rows; repeated rows count once; an empty name list leaves the other kinds; extra columns are ignored. Texts of
     any length are read whole. No shuffle but for repeated rows."""

@@ -26,6 +26,7 @@ PROFILES = {
     ("prose", "running"): (0.36, 0.42, 0.13, 0.07, 0.0, 0.0, 0.01, 0.01),
     ("prose", "figures"): (0.30, 0.36, 0.15, 0.17, 0.0, 0.0, 0.01, 0.01),
     ("prose", "unknown tongue"): (0.06, 0.70, 0.16, 0.06, 0.0, 0.0, 0.01, 0.01),
+    ("prose", "other script"): (0.0, 0.86, 0.06, 0.06, 0.0, 0.0, 0.01, 0.01),
     ("prose", "scanned"): (0.33, 0.42, 0.12, 0.05, 0.0, 0.0, 0.01, 0.07),
     ("prose", "with a listing"): (0.24, 0.38, 0.18, 0.06, 0.02, 0.02, 0.09, 0.01),
     ("list", "points"): (0.01, 0.46, 0.16, 0.01, 0.0, 0.0, 0.34, 0.02),
@@ -43,13 +44,29 @@ PROFILES = {
     ("junk", "navigation"): (0.01, 0.03, 0.36, 0.0, 0.10, 0.0, 0.0, 0.50),
     ("junk", "leaders"): (0.0, 0.0, 0.0, 0.45, 0.0, 0.55, 0.0, 0.0),
 }
+# The same for titles, which have a few tokens.
+TITLE_PROFILES = {
+    ("prose", "words"): (0.26, 0.50, 0.20, 0.02, 0.0, 0.0, 0.01, 0.01),
+    ("prose", "names"): (0.08, 0.06, 0.80, 0.04, 0.0, 0.0, 0.01, 0.01),
+    ("prose", "numbered"): (0.10, 0.18, 0.40, 0.22, 0.0, 0.0, 0.10, 0.0),
+    ("prose", "misread"): (0.20, 0.28, 0.25, 0.02, 0.0, 0.0, 0.0, 0.25),
+    ("table", "figures"): (0.0, 0.04, 0.06, 0.88, 0.02, 0.0, 0.0, 0.0),
+    ("table", "cells"): (0.0, 0.08, 0.10, 0.42, 0.40, 0.0, 0.0, 0.0),
+    ("table", "named cells"): (0.02, 0.20, 0.16, 0.34, 0.28, 0.0, 0.0, 0.0),
+    ("junk", "noise"): (0.0, 0.02, 0.02, 0.02, 0.0, 0.0, 0.02, 0.92),
+    ("junk", "noise with words"): (0.03, 0.14, 0.16, 0.06, 0.01, 0.0, 0.0, 0.60),
+    ("junk", "leaders"): (0.0, 0.0, 0.0, 0.15, 0.0, 0.75, 0.10, 0.0),
+    ("junk", "separators"): (0.0, 0.02, 0.0, 0.0, 0.82, 0.0, 0.16, 0.0),
+}
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 NUMBER = re.compile(r"[(\[+\-–−$€£]*\d[\d.,:/\-–]*(?:[%‰°]|bn|m|k|st|nd|rd|th)?[)\],.;:]*|[—–\-](?=$)|%")
 MARKER = re.compile(r"\s*(?:[-*•·‣▪◦○●–]\s+|\(?(?:\d{1,3}|[a-z]|[ivxlc]{1,5}|[A-Z])[.)]\s+)")
 GAPS = re.compile(r"(?<=\S) {2,}(?=\S)")
 MOJIBAKE = re.compile(r"[ÃÂÐÑâï¿½€™œ¤§¦¬�]")
 ALNUM = re.compile(r"[^\W_]+")
-BARE = "()[]{}\"'“”‘’«»„.,;:!?*_`"
+BARE = "()[]{}\"'“”‘’«»„.,;:!?*_`。，、；：！？「」『』（）《》・"
+OTHER_SCRIPT = re.compile(r"[\u0370-\u03ff\u1f00-\u1fff\u0400-\u052f\u0530-\u058f\u0590-\u06ff\u0750-\u077f\u0900-\u0dff\u0e00-\u0eff\u10a0-\u10ff\u1100-\u11ff\u1200-\u137f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")  # scripts that do not part words
 
 
 def token_class(t: str) -> str:
@@ -66,6 +83,8 @@ def token_class(t: str) -> str:
     if low in FUNCTION:
         return "function"
     letters = sum(c.isalpha() for c in w)
+    if letters and len(OTHER_SCRIPT.findall(w)) >= 0.6 * len(w):
+        return "name" if w[0].isupper() else "word"
     if MOJIBAKE.search(w) and len(MOJIBAKE.findall(w)) * 2 >= min(len(w), 6):
         return "noise"
     if re.match(r"cid:\d", w) or re.search(r"[←-⇿─-➿›»«‹¶§]", t):
@@ -117,6 +136,8 @@ def class_counts(text: str, known: Classes) -> Counter:
             line = line.replace(",", " ")
         tokens += line.split()
     n.update(map(known.__getitem__, tokens))
+    if unspaced := UNSPACED.findall(text):
+        n["word"] += len(unspaced) // 2
     return n
 
 
@@ -133,43 +154,42 @@ def divergence(p: dict, q: dict) -> float:
     return total / 2
 
 
-_kinds = [k for k, _ in PROFILES]
-_shares = np.array(list(PROFILES.values()))
-_shares /= _shares.sum(axis=1, keepdims=True)
+class Profiles:
+    """Structural profiles as a matrix of shares."""
+
+    def __init__(self, profiles: dict[tuple[str, str], tuple[float, ...]]):
+        self.kinds = [k for k, _ in profiles]
+        self.shares = np.array(list(profiles.values()))
+        self.shares /= self.shares.sum(axis=1, keepdims=True)
+        # profiles that function words of a known language are part of
+        self.spoken = np.array([k == "prose" and v[0] > 0.2 for (k, _), v in profiles.items()])
+
+    def nearest(self, n: Counter, language_far: float = 0.0) -> tuple[str, float]:
+        """The kind of the nearest profile, and the divergence from it. How far the text's function words are from every known language counts against the
+        profiles of prose in such a language."""
+        p = np.array([n[c] for c in CLASSES], float)
+        p /= p.sum()
+        m = (self.shares + p) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = (np.nansum(p * np.log2(p / m), axis=1) + np.nansum(self.shares * np.log2(self.shares / m), axis=1)) / 2
+        i = int(np.argmin(far + LANGUAGE_WEIGHT * language_far * self.spoken))
+        return self.kinds[i], float(far[i])
 
 
-def nearest(n: Counter) -> tuple[str, float]:
-    """The kind of the nearest structural profile, and the divergence from it."""
-    p = np.array([n[c] for c in CLASSES], float)
-    p /= p.sum()
-    m = (_shares + p) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        far = np.nansum(p * np.log2(p / m), axis=1) + np.nansum(_shares * np.log2(_shares / m), axis=1)
-    i = int(np.argmin(far))
-    return _kinds[i], float(far[i] / 2)
+LANGUAGE_WEIGHT = 0.05
+TEXTS, TITLES = Profiles(PROFILES), Profiles(TITLE_PROFILES)
 
 
-def text_kind(text: str, known: Classes) -> tuple[str, float]:
+def text_kind(text: str, known: Classes, language_far: float = 0.0) -> tuple[str, float]:
     if not text.strip():
         return "junk", 0.0  # without content
-    n = class_counts(text, known)
-    return nearest(n)
+    return TEXTS.nearest(class_counts(text, known), language_far)
 
 
 def title_kind(title: str, known: Classes) -> str:
     """prose (a title), table (a row of cells) or junk."""
     n = class_counts(title, known)
-    total = sum(n.values())
-    if not total:
-        return "junk"
-    words = n["function"] + n["word"] + n["name"]
-    if n["leader"] and not words:
-        return "junk"
-    if n["noise"] * 2 >= total - n["marker"] - n["cell"] and n["noise"] or n["cell"] and not n["number"] and not words:
-        return "junk"
-    if n["cell"] and n["number"] and n["cell"] + n["number"] > words or n["number"] >= 3 and n["number"] > words:
-        return "table"
-    return "prose"
+    return TITLES.nearest(n)[0] if sum(n.values()) else "junk"
 
 
 def statistics(text: str | None, title: str | None, known: Classes) -> dict:
@@ -180,7 +200,7 @@ def statistics(text: str | None, title: str | None, known: Classes) -> dict:
     most = sorted(RANKED, key=lambda k: -sum(c for w, c in common.items() if w in PROFILES_LANG[k]))[:2]
     far_of = {k: divergence(common, PROFILES_LANG[k]) for k in most} if common else {}
     lang = min(far_of, key=far_of.get) if far_of else None
-    kind, far = text_kind(t, known) if text is not None else (None, None)
+    kind, far = text_kind(t, known, far_of[lang] if lang else 1.0) if text is not None else (None, None)
     visible = sum(map(len, t.split()))
     return {
         "n_chars": len(t), "n_words": len(words), "mean_word_len": sum(map(len, words)) / len(words) if words else None,

@@ -9,7 +9,7 @@
 5. Where a word has several candidates, the counts of its bigrams with its neighbours choose.
 
 The lexicon, candidates and bigrams are tables that are joined, never broadcast; occurrences of words without a candidate are dropped in the scan by a filter
-of fixed size (exact after the join).
+sized by their number (exact after the join).
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.neardup import _bloom
+from quillmark.llm.filters import Filter, bloom
 from quillmark.llm.quality import FUNCTION, RANKED
-from quillmark.llm.shingles import mix
 from quillmark.session import written
 
 RATIO, MOST_COST, LEAST_COUNT = 12, 0.8, 4
@@ -277,21 +276,20 @@ def repairs(pages: DataFrame) -> DataFrame:
     words = lex.where(~F.col("w").contains(" "))
     function = list(FUNCTION)
     cand = written(_candidates(words.where(~F.col("w").isin(function) | (F.col("n") >= LEAST_COUNT))).where(~F.col("w").isin(function)))
-    near = pages.sparkSession.sparkContext.broadcast(_bloom(cand.select(F.xxhash64("w").alias("h")).distinct(), 23).tobytes())
+    doubted = cand.select(F.xxhash64("w").alias("h")).distinct()
+    near = bloom(doubted, doubted.count())
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        hit = np.unpackbits(np.frombuffer(near.value, np.uint8))
-        shift = np.uint64(64 - int(math.log2(len(hit))))
+        known = Filter(near.value)
         seen: dict[str, bool] = {}
 
         def maybe(w: str) -> bool:
             if w not in seen:
                 if len(seen) > 300_000:
                     seen.clear()
-                h = np.array([xxhash.xxh64_intdigest(w.encode(), 42)], np.uint64)
-                seen[w] = bool(hit[int((mix(h) >> shift)[0])])
+                seen[w] = bool(known.maybe(np.array([xxhash.xxh64_intdigest(w.encode(), 42)], np.uint64))[0])
             return seen[w]
 
         for b in batches:

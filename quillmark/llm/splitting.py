@@ -39,26 +39,47 @@ def depths(text: str, at: np.ndarray, block: int = BLOCK) -> np.ndarray:
     bags = [Counter(w[:STEM].lower() for w in TOKEN.findall(text[a:z]) if len(w) > 3) for a, z in zip(edges, edges[1:])]
     n = len(at)
     sim = np.zeros(n)
-    for i in range(n):
-        left: Counter = Counter()
-        right: Counter = Counter()
-        for b in bags[max(0, i + 1 - block) : i + 1]:
-            left.update(b)
-        for b in bags[i + 1 : i + 1 + block]:
-            right.update(b)
-        dot = sum(c * right[w] for w, c in left.items() if w in right)
-        norm = (sum(c * c for c in left.values()) * sum(c * c for c in right.values())) ** 0.5
+    left, right = _Block(), _Block()
+    for b in bags[1 : 1 + block]:
+        right.add(b, 1)
+    for i in range(n):  # both blocks slide by a unit
+        left.add(bags[i], 1)
+        if i >= block:
+            left.add(bags[i - block], -1)
+        if i:
+            right.add(bags[i], -1)
+            if i + block < len(bags):
+                right.add(bags[i + block], 1)
+        few, many = sorted((left.count, right.count), key=len)
+        dot = sum(c * many[w] for w, c in few.items() if w in many)
+        norm = (left.squares * right.squares) ** 0.5
         sim[i] = dot / norm if norm else 0.0
-    out = np.zeros(n)
-    for i in range(n):
-        j = i
-        while j and sim[j - 1] >= sim[j]:
-            j -= 1
-        k = i
-        while k + 1 < n and sim[k + 1] >= sim[k]:
-            k += 1
-        out[i] = (sim[j] - sim[i] + sim[k] - sim[i]) / 2
-    return out
+    peak = sim.copy(), sim.copy()  # the height reached by climbing to the left, and to the right
+    for i in range(1, n):
+        if sim[i - 1] >= sim[i]:
+            peak[0][i] = peak[0][i - 1]
+    for i in range(n - 2, -1, -1):
+        if sim[i + 1] >= sim[i]:
+            peak[1][i] = peak[1][i + 1]
+    return (peak[0] + peak[1]) / 2 - sim
+
+
+class _Block:
+    """Words of the units in a block, and the sum of their counts' squares."""
+
+    def __init__(self):
+        self.count: dict[str, int] = {}
+        self.squares = 0
+
+    def add(self, bag: Counter, sign: int) -> None:
+        for w, c in bag.items():
+            old = self.count.get(w, 0)
+            new = old + sign * c
+            self.squares += new * new - old * old
+            if new:
+                self.count[w] = new
+            else:
+                del self.count[w]
 
 
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -117,7 +138,7 @@ def pieces(df: DataFrame, key: str, text: str, limit: int, overlap: int) -> Data
                 yield pd.DataFrame(out, columns=["key", "piece_no", "pieces", "start_pos", "own_pos", "piece"])
 
     one = lambda c: F.lit(c).cast("int")
-    small = d.where(F.length("text") <= limit).select("key", one(0).alias("piece_no"), one(1).alias("pieces"), one(1).alias("start_pos"), one(1).alias("own_pos"), F.col("text").alias("piece"))
+    small = d.where(F.length("text") <= limit).distinct().select("key", one(0).alias("piece_no"), one(1).alias("pieces"), one(1).alias("start_pos"), one(1).alias("own_pos"), F.col("text").alias("piece"))
     large = d.where(F.length("text") > limit).distinct().mapInPandas(run, schema)
     return small.unionByName(large).withColumnRenamed("key", key)
 

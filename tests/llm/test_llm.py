@@ -62,6 +62,35 @@ def test_split_at_topic_change():
     assert abs(parts[0][2] - len(a)) <= 2
 
 
+def test_depths_in_linear_time():
+    """Against the plain definition; and a listing of 100,000 equal lines, every gap of which lies on one plateau."""
+    import time
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    text = " ".join(". ".join(" ".join(rng.choice(["river", "bridge", "ledger", "harbour", "signal"], 6)) for _ in range(3)) + "." for _ in range(40))
+    at, _ = splitting.gaps(text)
+    edges = [0, *at.tolist(), len(text)]
+    bags = [Counter(w[:5] for w in text[a:z].replace(".", " ").split()) for a, z in zip(edges, edges[1:])]
+    sim = []
+    for i in range(len(at)):
+        x, y = sum(bags[max(0, i - 2) : i + 1], Counter()), sum(bags[i + 1 : i + 4], Counter())
+        sim.append(sum(c * y[w] for w, c in x.items()) / (sum(c * c for c in x.values()) * sum(c * c for c in y.values())) ** 0.5)
+    want = []
+    for i in range(len(sim)):
+        j = k = i
+        while j and sim[j - 1] >= sim[j]:
+            j -= 1
+        while k + 1 < len(sim) and sim[k + 1] >= sim[k]:
+            k += 1
+        want.append((sim[j] + sim[k]) / 2 - sim[i])
+    assert np.allclose(splitting.depths(text, at), want)
+    text = "same words again\n" * 100_000
+    began = time.time()
+    splitting.depths(text, splitting.gaps(text)[0])
+    assert time.time() - began < 5
+
+
 def test_split_edges(spark):
     d = spark.createDataFrame([("n", None, "z"), ("e", "", "z"), ("s", "ab", "z"), ("s", "ab", "z"), ("l", "x" * 5000, "z"), (None, "y " * 900, "z")], "k string, t string, piece string")
     got = splitting.pieces(d, "k", "t", 450, 80)
@@ -163,6 +192,52 @@ def test_near_duplicates(spark, monkeypatch, limit):
     assert all(g[a] == g[b] for a, b in got) and len(set(g.values())) > 10
 
 
+@pytest.mark.parametrize("limit", [0, 30])
+def test_divided_lists(spark, monkeypatch, limit):
+    """Texts of one template share lists longer than HOT, which are divided; the pairs are those of brute force, each list pair met once."""
+    monkeypatch.setattr(neardup, "HOT", 16)
+    monkeypatch.setattr(neardup, "LONG", 10)
+    monkeypatch.setattr(neardup, "boundary", lambda *a, **k: limit)
+    rng = np.random.default_rng(6)
+    base = [str(x) for x in rng.choice(WORDS, 40)]
+    texts = {}
+    for i in range(220):
+        w = list(base)
+        for k in rng.integers(0, 40, int(rng.integers(0, 9))):
+            w[k] = str(rng.choice(WORDS))
+        texts[i] = " ".join(w[: 40 - int(rng.integers(0, 12))])
+    sets = {k: set(zip(*[tok(v)[j:] for j in range(3)])) for k, v in texts.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    d = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    classes, found = neardup.near_duplicates(d, "id", "text", 0.6, 3, 4)
+    assert {tuple(r) for r in neardup.linked_keys(classes, found).collect()} == want and len(want) > 1000
+    levels = np.full(4, int(8 * np.log2(1 + 100)), np.uint8)
+    assert (neardup.divisions(levels, 1.0, 16) == 3).all() and not neardup.divisions(levels, 90.0, 16).any()
+
+
+def test_long_list_in_time():
+    """One list of 24,000 different sets of alike sizes, compared block against block; the same pairs as by distance."""
+    import time
+
+    rng = np.random.default_rng(7)
+    n = 24_000
+    wide = np.zeros((n, 8), np.uint64)
+    wide[:, :2] = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+    wide[100:200] = wide[:100]
+    p = neardup.Postings(np.zeros(n, np.int64), np.sort(rng.integers(40, 44, n)).astype(np.int32), rng.permutation(n).astype(np.int64), np.full(n, 2), wide)
+    began = time.time()
+    pairs_ = sum(len(z) for z, _ in neardup._close(p, np.ones(n, bool), 0.6))
+    assert time.time() - began < 5 and pairs_ >= 100
+    few = p.take(np.arange(400))
+    one = {(int(a), int(b)) for z, y in neardup._close(few, np.ones(400, bool), 0.6) for a, b in zip(z, y)}
+    old = neardup.LONG
+    neardup.LONG = 1000
+    try:
+        assert one == {(int(a), int(b)) for z, y in neardup._close(few, np.ones(400, bool), 0.6) for a, b in zip(z, y)}
+    finally:
+        neardup.LONG = old
+
+
 def test_large_classes_give_all_pairs(spark):
     base = " ".join(WORDS[:30])
     texts = {f"k{i:03}": base.upper() if i % 2 else base for i in range(70)} | {f"n{i}": base + f" x{i // 2}" for i in range(4)}
@@ -423,6 +498,9 @@ NAMES = pii.Names([("Tadran", "given"), ("Malia", "given"), ("Haskvitz", "family
 @pytest.mark.parametrize(("text", "want"), [
     ("Reply to a.b+c@dept.mail.example today.", [("email", "a.b+c@dept.mail.example")]), ("write x_9 [at] example [dot] org.", [("email", "x_9 [at] example [dot] org")]), ("see m(at)records.invalid)", [("email", "m(at)records.invalid")]), ("The ratio @ 64.9 and @handle_x", []),
     ("Call (617) 555-0101 now", [("phone", "(617) 555-0101")]), ("He left +16175550157 as", [("phone", "+16175550157")]), ("(+33 1 99 00 45 28)", [("phone", "+33 1 99 00 45 28")]), ("Order 763-1854-763 lists", []), ("ISBN 979-0-6438-6438-0", []), ("Grid point (596) 596 by 6598", []),
+    ("His SSN is 123-45-6789.", [("id_number", "123-45-6789")]), ("His social security number is 123-45-6789.", [("id_number", "123-45-6789")]), ("(123-45-6789)", [("id_number", "123-45-6789")]), ("code 666-45-6789 and 123-00-6789", []),
+    ("Pay to DE89 3704 0044 0532 0130 00 now", [("account", "DE89 3704 0044 0532 0130 00")]), ("GB82WEST12345698765432", [("account", "GB82WEST12345698765432")]), ("DE88 3704 0044 0532 0130 00", []),
+    ("card 4111 1111 1111 1111, ok", [("card", "4111 1111 1111 1111")]), ("visa: 4111111111111111", [("card", "4111111111111111")]), ("4111 1111 1111 1112", []), ("serial 4111111111111111", []),
     ("SSN 943-86-2292 was", [("id_number", "943-86-2292")]), ("(QQ 25 17 67 C)", [("id_number", "QQ 25 17 67 C")]), ("CPF 529.982.247-25.", [("id_number", "529.982.247-25")]), ("Part no. X284 fits", []), ("accession 099987155-26-859087", []),
     ("to 8966 W. Halle Drive, Apt 27B, Fens.", [("address", "8966 W. Halle Drive, Apt 27B, Fens")]), ("P.O. Box 3687, Borlund A", [("address", "P.O. Box 3687, Borlund")]), ("au 151 rue de Halle, 00084 Quens.", [("address", "151 rue de Halle, 00084 Quens")]), ("In 1879 Street lighting replaced it. Figure 87 Avenue of it", []),
     ("Dr. Tadran Q. Haskvitz reviewed", [("name", "Tadran Q. Haskvitz")]), ("Haskvitz, Malia kept", [("name", "Haskvitz, Malia")]), ("by M. Branwen-Dunholm.", [("name", "M. Branwen-Dunholm")]), ("The Haskvitz & Sons Ltd, Lake Branwen, Dunholm County", []), ("TADRAN DUNHOLM", [("name", "TADRAN DUNHOLM")]),
@@ -447,6 +525,12 @@ def test_checksums():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487") and pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33") and pii.cpf("52998224725")
 
 
+def test_many_spans():
+    text = "mail a@b.example, " * 20_000
+    began = __import__("time").time()
+    assert len(pii.find(text, NAMES)) == 20_000 and __import__("time").time() - began < 10
+
+
 def test_pii_tables(spark):
     names = spark.createDataFrame([("Tadran", "given"), ("Haskvitz", "family"), (None, "family")], "word string, word_kind string")
     d = spark.createDataFrame([(1, "é Tadran Haskvitz", "k"), (1, "é Tadran Haskvitz", "k"), (2, None, "k"), (3, "", "k"), (4, "x " * 60_000 + "a@b.example", "k"), (None, "a@b.example", "k")], "doc_id bigint, text string, kind string")
