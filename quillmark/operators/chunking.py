@@ -23,8 +23,8 @@ def word_windows(df: DataFrame, key: str, text: str, size: int, overlap: int, le
     A last window wholly inside its predecessor is kept. Texts without words have none."""
     step = size - overlap
     w = df.select(F.col(key), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    starts = w.select(key, "w", F.posexplode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))).alias("chunk_no", "start"))
-    cut = starts.select(key, "chunk_no", F.slice("w", F.col("start") + 1, size).alias("p"))
+    # the slices are made in the row and exploded, not the row's words repeated for every position
+    cut = w.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)), lambda start: F.slice("w", start + 1, size))).alias("chunk_no", "p"))
     long_enough = F.size("p") >= least
     kept = cut.where(long_enough | (F.col("chunk_no") == 0) if keep_first else long_enough)
     return kept.select(key, F.col("chunk_no").cast("bigint").alias("chunk_no"), F.size("p").cast("bigint").alias("n_words"), F.array_join("p", " ").alias("chunk"))

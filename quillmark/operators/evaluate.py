@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.session import written
+
 KS = (1, 3, 5, 20, 50)
 
 
 def evaluate(ranking: DataFrame, gold: DataFrame, questions: DataFrame, qid: str, key: str, ks: tuple[int, ...] = KS) -> DataFrame:
     """(qid, kind, top1_score, mrr, k, recall, hit), long form. gold: (qid, key); questions: (qid, kind). Questions without gold have null metrics; those
     without a ranking have metrics of 0 and no score."""
+    # of the rankings only the labelled rows and the first ones are needed: one pass
+    marked = ranking.select(qid, key, "rank", "score").join(gold.select(qid, key, F.lit(True).alias("labelled")), [qid, key], "left")
+    ranking = written(marked.where("labelled or rank = 1"))
     got = gold.join(ranking.select(qid, key, "rank"), [qid, key], "left")
     kset = F.array(*[F.lit(k) for k in sorted(set(ks) | {20, 50})])
     per = got.groupBy(qid).agg(F.min("rank").alias("first"), F.count("*").alias("n"), F.collect_list("rank").alias("ranks"))

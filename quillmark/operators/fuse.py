@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.operators.retrieve import ranked
@@ -14,8 +14,8 @@ def reciprocal(a: DataFrame, b: DataFrame, qid: str, key: str, c: int = 60, wa:
     x, y = a.select(qid, key, F.col("rank").alias("ra")), b.select(qid, key, F.col("rank").alias("rb"))
     both = x.join(y, [qid, key], "full_outer")
     if fill:
-        na, nb = a.groupBy(qid).agg(F.max("rank").alias("na")), b.groupBy(qid).agg(F.max("rank").alias("nb"))
-        both = both.join(na, qid, "left").join(nb, qid, "left")
+        w = Window.partitionBy(qid)  # the lists' lengths, read off the joined rows
+        both = both.withColumn("na", F.max("ra").over(w)).withColumn("nb", F.max("rb").over(w))
         ra, rb = F.coalesce("ra", F.coalesce("na", F.lit(0)) + 1), F.coalesce("rb", F.coalesce("nb", F.lit(0)) + 1)
         score = wa / (c + ra) + wb / (c + rb)
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import chunking, golden, loop, retrieve
+from quillmark.operators.scoring import Index
 from quillmark.plans import retrieval as R
 from quillmark.session import table
 from quillmark.sources import manifest as M
@@ -244,10 +245,9 @@ pt AS (SELECT parent_id, unnest(""" + content("text") + """) AS term FROM sec),
 
 @query(sql(SECTIONS + QA + _NEG, "SELECT id, max(o) AS best_overlap, max(o) > 0.6 AS answerable FROM (SELECT id, parent_id, round(count(*) / any_value(n)::DOUBLE, 6) AS o FROM nt JOIN pt USING (term) GROUP BY 1, 2) GROUP BY 1"))
 def negative_answerable(spark, sf):
-    t = questions(spark, sf).where("type = 'negative'").select("id", T.content_terms(F.col("query")).alias("t")).select("id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    p = sections(spark, sf).select("parent_id", F.explode(T.content_terms(F.col("text"))).alias("term"))
-    o = p.join(t, "term").groupBy("id", "parent_id", "n").agg(F.count("*").alias("met")).withColumn("o", F.round(F.col("met") / F.col("n"), 6))
-    return o.groupBy("id").agg(F.max("o").alias("best_overlap"), (F.max("o") > 0.6).alias("answerable"))
+    t = questions(spark, sf).where("type = 'negative'").select(F.col("id").alias("qid"), F.explode(T.content_terms(F.col("query"))).alias("term"), F.lit(1).alias("qtf"))
+    o = Index.build(sections(spark, sf), "parent_id", "parent_id", "text").scores(t, "share", most=1)
+    return o.groupBy(F.col("qid").alias("id")).agg(F.max("score").alias("best_overlap"), (F.max("score") > 0.6).alias("answerable"))
 
 
 @query(sql(SECTIONS + QA + _GOLD, "SELECT lab.id, lab.parent_id FROM lab ANTI JOIN sec ON sec.parent_id = lab.parent_id"))
@@ -330,8 +330,8 @@ def every_nth_parent(spark, sf):
 
 @query(sql(SECTIONS, "SELECT parent_id, list_aggregate(list(coalesce(title, '')) OVER (PARTITION BY source ORDER BY parent_id ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), 'string_agg', '; ') AS titles FROM sec"))
 def title_window(spark, sf):
-    w = Window.partitionBy("source").orderBy("parent_id").rowsBetween(0, 11)
-    return sections(spark, sf).select("parent_id", F.array_join(F.collect_list(F.coalesce("title", F.lit(""))).over(w), "; ").alias("titles"))
+    s = sections(spark, sf).select("parent_id", "source", F.coalesce("title", F.lit("")).alias("title"))
+    return golden.following(s, "source", "parent_id", "title", 12, "t").select("parent_id", F.array_join("t", "; ").alias("titles"))
 
 
 @query("SELECT DISTINCT source, left(regexp_replace(regexp_replace(lower(trim(string_split(source, ' - ')[1], ' ')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 24) AS slug FROM sections")
@@ -436,7 +436,7 @@ kp{s} AS (SELECT qid, count(*) AS kept FROM gr{s} WHERE o >= 0.5 GROUP BY 1),"""
 def _graded(c: R.Corpus, step: int) -> DataFrame:
     t = T.content_terms(F.col("query"))
     terms = c.terms_of if step == 0 else c.questions.select("qid", F.explode(t if step == 1 else F.filter(t, lambda x: F.length(x) > 6)).alias("term")).withColumn("qtf", F.lit(1))
-    top = R.Corpus.parents_of(retrieve.bm25(*c.index(), terms, "qid", "child_id")).where("rank <= 5")
+    top = c.parents_by("bm25", terms).where("rank <= 5")
     j = top.join(c.questions.select("qid", t.alias("a")), "qid").join(c.parents, "doc_id")
     o = F.round(T.overlap(F.col("a"), T.tokens(F.col("text"))), 6)
     return j.select("qid", "doc_id", "rank", o.alias("overlap"), loop.verdicts(o, 0.8, 0.5).alias("verdict")).where("overlap is not null")
@@ -507,7 +507,7 @@ def cache_replay(spark, sf):
 # ---- streams
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
 def stream_hourly(spark, sf):
-    return ingest.run_to_table(ingest.hourly(ingest.event_stream(spark, sf)))
+    return ingest.run_to_table(ingest.hourly(ingest.event_stream(spark, sf)), ["hour", "event_type"])
 
 
 # ---- more sections, samples and fingerprints

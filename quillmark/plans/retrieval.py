@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import chunking, evaluate, fuse, index, retrieve
-from quillmark.session import table
+from quillmark.operators.scoring import Index, hashed
+from quillmark.session import table, written
 
 RUN = 12
 
 
 class Corpus:
-    """The tables that the queries of this module share, lazily."""
+    """The tables that the queries of this module share; the forward index of the windows is built once, when first asked for."""
 
     def __init__(self, spark: SparkSession, sf: str):
         docs = table(spark, sf, "documents").where("text is not null")
@@ -22,6 +23,25 @@ class Corpus:
         self.children = chunking.word_windows(docs, "doc_id", "text", 120, 20, 15, True).withColumn("child_id", F.concat_ws("#", "doc_id", "chunk_no"))
         self.questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")).distinct()
         self.terms_of = index.query_terms(self.questions, "qid", "query")
+        self._built: Index | None = None
+
+    @property
+    def forward(self) -> Index:
+        if self._built is None:
+            self._built = Index.build(self.children, "child_id", "doc_id", "chunk")
+        return self._built
+
+    def content_terms(self) -> DataFrame:
+        """(qid, term, qtf): the questions' distinct content terms."""
+        return self.questions.select("qid", F.explode(T.content_terms(F.col("query"))).alias("term"), F.lit(1).alias("qtf"))
+
+    def children_by(self, mode: str, most: int | None = None, terms: DataFrame | None = None) -> DataFrame:
+        return self.forward.scores(self.terms_of if terms is None else terms, mode, "key", most).withColumnRenamed("key", "child_id")
+
+    def parents_by(self, mode: str, terms: DataFrame | None = None, ix: Index | None = None) -> DataFrame:
+        """The whole ranking of parents, each by its best child."""
+        s = (ix or self.forward).scores(self.terms_of if terms is None else terms, mode, "parent").withColumnRenamed("parent", "doc_id")
+        return retrieve.ranked(s, "qid", [F.desc("score"), F.col("doc_id")])
 
     def index(self, text: str = "chunk", df: DataFrame | None = None, key: str = "child_id"):
         d = self.children if df is None else df
@@ -31,8 +51,8 @@ class Corpus:
     def gold(self) -> DataFrame:
         def runs(df: DataFrame, key: str, text: str) -> DataFrame:
             t = df.select(key, T.tokens(F.col(text)).alias("w")).where(F.size("w") >= RUN)
-            at = t.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - RUN + 1)).alias("i"))
-            return at.select(key, F.xxhash64(F.slice("w", F.col("i"), RUN)).alias("g")).distinct()
+            hashes = F.transform(F.sequence(F.lit(1), F.size("w") - RUN + 1), lambda i: F.xxhash64(F.slice("w", i, RUN)))
+            return t.select(key, F.explode(F.array_distinct(hashes)).alias("g")).distinct()
 
         q = runs(self.questions, "qid", "query")
         return runs(self.parents, "doc_id", "text").join(q, "g").select("qid", "doc_id").distinct()
@@ -40,19 +60,8 @@ class Corpus:
     def kinds(self) -> DataFrame:
         return self.questions.select("qid", F.when(F.length("query") < 200, "short").otherwise("long").alias("kind"))
 
-    def bm25_children(self, mode: str = "positive") -> DataFrame:
-        return retrieve.bm25(*self.index(), self.terms_of, "qid", "child_id", idf_mode=mode)
-
-    def tfidf_children(self) -> DataFrame:
-        return retrieve.tfidf(*self.index(), self.terms_of, "qid", "child_id")
-
-    @staticmethod
-    def parents_of(scores: DataFrame) -> DataFrame:
-        s = retrieve.best_child(scores, "qid", F.substring_index("child_id", "#", 1).cast("bigint"), "doc_id")
-        return retrieve.ranked(s, "qid", [F.desc("score"), F.col("doc_id")])
-
     def hybrid(self) -> DataFrame:
-        both = fuse.reciprocal(self.parents_of(self.tfidf_children()), self.parents_of(self.bm25_children()), "qid", "doc_id", fill=True)
+        both = fuse.reciprocal(self.parents_by("tfidf"), self.parents_by("bm25"), "qid", "doc_id", fill=True)
         return retrieve.ranked(both, "qid", [F.desc("score"), F.col("doc_id")])
 
 
@@ -199,17 +208,17 @@ def vocab(spark, sf):
 
 @query(sql(WINDOWS + TFIDF, "SELECT qid, child_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM ti) WHERE rank <= 3"))
 def tfidf_topk(spark, sf):
-    return child_order(Corpus(spark, sf).tfidf_children(), 3)
+    return child_order(Corpus(spark, sf).children_by("tfidf", 3), 3)
 
 
 @query(sql(WINDOWS + BM25, "SELECT qid, child_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM bm) WHERE rank <= 50"))
 def bm25_child_topk(spark, sf):
-    return child_order(Corpus(spark, sf).bm25_children(), 50)
+    return child_order(Corpus(spark, sf).children_by("bm25", 50), 50)
 
 
 @query(sql(WINDOWS + BM25 + parent_rank("pb", "bm"), "SELECT qid, doc_id, score, rank FROM pb WHERE rank <= 50"))
 def bm25_parent_rank(spark, sf):
-    return Corpus.parents_of(Corpus(spark, sf).bm25_children()).where("rank <= 50")
+    return Corpus(spark, sf).parents_by("bm25").where("rank <= 50")
 
 
 OKAPI = """
@@ -221,19 +230,19 @@ ok AS (SELECT qid, child_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5:
 
 @query(sql(WINDOWS + OKAPI, "SELECT qid, child_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM ok) WHERE rank <= 50"))
 def bm25_okapi_variant(spark, sf):
-    return child_order(Corpus(spark, sf).bm25_children("okapi"), 50)
+    return child_order(Corpus(spark, sf).children_by("okapi", 50), 50)
 
 
 @query(sql(WINDOWS + BM25 + parent_rank("pb", "bm"), "SELECT q.qid, d.doc_id, coalesce(pb.score, 0) AS score, row_number() OVER (PARTITION BY q.qid ORDER BY coalesce(pb.score, 0) DESC, d.doc_id) AS rank FROM questions q CROSS JOIN (SELECT DISTINCT doc_id FROM children) d LEFT JOIN pb ON pb.qid = q.qid AND pb.doc_id = d.doc_id"))
 def bm25_zero_fill_full_rank(spark, sf):
     c = Corpus(spark, sf)
-    return retrieve.zero_filled(Corpus.parents_of(c.bm25_children()).drop("rank"), "qid", "doc_id", c.questions, c.children.select("doc_id").distinct())
+    return retrieve.zero_filled(c.parents_by("bm25").drop("rank"), "qid", "doc_id", c.questions, c.forward.rows.select(F.col("parent").alias("doc_id")).distinct())
 
 
 @query(sql(WINDOWS, "SELECT qid, child_id FROM (SELECT qid, child_id, count(*) AS met FROM qt JOIN post USING (term) GROUP BY 1, 2) JOIN (SELECT qid, count(*) AS need FROM qt GROUP BY 1) USING (qid) WHERE met = need"))
 def fts_plain_and(spark, sf):
     c = Corpus(spark, sf)
-    return retrieve.fulltext_and(c.index()[0], c.terms_of, "qid", "child_id")
+    return c.children_by("all").select("qid", "child_id")
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
@@ -243,14 +252,10 @@ ft AS (SELECT qid, child_id, round(sum(tf) * 0.1::DOUBLE, 6) AS score FROM ct JO
 """
 
 
-def _content(c: Corpus) -> DataFrame:
-    return c.questions.select("qid", F.explode(T.content_terms(F.col("query"))).alias("term"))
-
-
 @query(sql(WINDOWS + FTS, "SELECT qid, child_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM ft) WHERE rank <= 20"))
 def fts_or_rank(spark, sf):
     c = Corpus(spark, sf)
-    return child_order(retrieve.fulltext_or(c.index()[0], _content(c), "qid", "child_id"), 20)
+    return child_order(c.children_by("any", 20, c.content_terms()), 20)
 
 
 @query("SELECT item_id AS qid, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ' | ') AS or_query FROM (SELECT DISTINCT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: NOT list_contains(" + STOP + ", x)) AS x FROM benchmark)")
@@ -271,7 +276,7 @@ cr AS (SELECT qid, child_id, round(sum(s), 10) AS score FROM (SELECT qid, child_
 
 
 def _child_rrf(c: Corpus) -> DataFrame:
-    return fuse.reciprocal(child_order(c.tfidf_children()), child_order(c.bm25_children()), "qid", "child_id")
+    return fuse.reciprocal(child_order(c.children_by("tfidf")), child_order(c.children_by("bm25")), "qid", "child_id")
 
 
 @query(sql(WINDOWS + BM25 + TFIDF + CHILD_RRF, "SELECT qid, child_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM cr) WHERE rank <= 20"))
@@ -286,7 +291,7 @@ wr AS (SELECT qid, child_id, row_number() OVER (PARTITION BY qid ORDER BY score
 
 
 def _weighted(c: Corpus) -> DataFrame:
-    both = fuse.reciprocal(child_order(c.tfidf_children(), 200), child_order(c.bm25_children(), 200), "qid", "child_id", wa=0.7, wb=0.3)
+    both = fuse.reciprocal(child_order(c.children_by("tfidf", 200), 200), child_order(c.children_by("bm25", 200), 200), "qid", "child_id", wa=0.7, wb=0.3)
     first = fuse.first_seen(child_order(both), "qid", F.substring_index("child_id", "#", 1).cast("bigint"), "doc_id")
     return retrieve.ranked(first, "qid", [F.col("best_rank"), F.col("doc_id")]).select("qid", "doc_id", "best_rank", "score", "rank")
 
@@ -315,19 +320,16 @@ ht AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY s
 
 def _rescored(c: Corpus, head: DataFrame) -> DataFrame:
     """Parents of the head's children by the share of the question's content terms that the child holds."""
-    terms = _content(c)
-    n = terms.groupBy("qid").agg(F.count("*").alias("nq"))
-    met = c.index()[0].join(terms, "term").groupBy("qid", "child_id").agg(F.count("*").alias("met"))
-    s = head.select("qid", "child_id").join(met, ["qid", "child_id"], "left").join(n, "qid", "left")
-    s = s.withColumn("score", F.round(F.coalesce("met", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("nq", F.lit(1))), 6))
-    return retrieve.best_child(s, "qid", F.substring_index("child_id", "#", 1).cast("bigint"), "doc_id")
+    wanted = c.questions.select("qid", hashed(T.content_terms(F.col("query"))).alias("q"))
+    s = head.select("qid", "child_id").join(wanted, "qid").join(c.forward.rows.select(F.col("key").alias("child_id"), "terms"), "child_id")
+    s = s.withColumn("score", F.round(F.size(F.array_intersect("q", "terms")) / F.greatest(F.lit(1), F.size("q")), 6))
+    return written(retrieve.best_child(s, "qid", F.substring_index("child_id", "#", 1).cast("bigint"), "doc_id"))  # a head is short
 
 
 @query(sql(WINDOWS + TFIDF + FTS + parent_rank("pt", "ti") + "ct1 AS (SELECT qid, child_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM ti)," + RERANK + _tail("pt"), "SELECT qid, doc_id, score, rank FROM ht WHERE rank <= 50"))
 def rerank_head_tail(spark, sf):
     c = Corpus(spark, sf)
-    ti = c.tfidf_children()
-    return fuse.head_tail(Corpus.parents_of(ti), _rescored(c, child_order(ti, 20)), "qid", "doc_id").where("rank <= 50")
+    return fuse.head_tail(c.parents_by("tfidf"), _rescored(c, child_order(c.children_by("tfidf", 20), 20)), "qid", "doc_id").where("rank <= 50")
 
 
 @query(sql(WINDOWS + BM25 + TFIDF + FTS + HYBRID + CHILD_RRF.replace("ct1", "cx1") + "ct1 AS (SELECT qid, child_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM cr)," + RERANK + _tail("hy"), "SELECT qid, doc_id, score, rank FROM ht WHERE rank <= 50"))
@@ -339,16 +341,15 @@ def hybrid_rerank(spark, sf):
 @query(sql(WINDOWS + TFIDF + FTS + GOLD + parent_rank("pt", "ti") + "ct1 AS (SELECT qid, child_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM ti)," + RERANK + _tail("pt"), "SELECT g.qid, g.doc_id, coalesce(pt.rank, -1) AS before, coalesce(ht.rank, -1) AS after FROM gold g LEFT JOIN pt ON pt.qid = g.qid AND pt.doc_id = g.doc_id LEFT JOIN ht ON ht.qid = g.qid AND ht.doc_id = g.doc_id"))
 def rerank_demotions(spark, sf):
     c = Corpus(spark, sf)
-    ti = c.tfidf_children()
-    old = Corpus.parents_of(ti)
-    new = fuse.head_tail(old, _rescored(c, child_order(ti, 20)), "qid", "doc_id")
+    old = written(c.parents_by("tfidf"))
+    new = fuse.head_tail(old, _rescored(c, child_order(c.children_by("tfidf", 20), 20)), "qid", "doc_id")
     g = c.gold().join(old.select("qid", "doc_id", F.col("rank").alias("before")), ["qid", "doc_id"], "left").join(new.select("qid", "doc_id", F.col("rank").alias("after")), ["qid", "doc_id"], "left")
     return g.na.fill({"before": -1, "after": -1})
 
 
 @query(sql(WINDOWS + TFIDF, "SELECT qid, doc_id, best_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY best_rank) AS rank FROM (SELECT qid, CAST(split_part(child_id, '#', 1) AS BIGINT) AS doc_id, min(rank) AS best_rank FROM (SELECT qid, child_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM ti) WHERE rank <= 8 GROUP BY 1, 2)) WHERE rank <= 3"))
 def top8_children_top3_parents(spark, sf):
-    first = fuse.first_seen(child_order(Corpus(spark, sf).tfidf_children(), 8), "qid", F.substring_index("child_id", "#", 1).cast("bigint"), "doc_id").drop("score")
+    first = fuse.first_seen(child_order(Corpus(spark, sf).children_by("tfidf", 8), 8), "qid", F.substring_index("child_id", "#", 1).cast("bigint"), "doc_id").drop("score")
     return retrieve.ranked(first, "qid", [F.col("best_rank")], most=3)
 
 
@@ -386,9 +387,8 @@ rterms AS (SELECT term, count(*) AS df FROM rpost GROUP BY 1), rstats AS (SELECT
 def _rrf_blurb(spark, sf, lexical: str) -> DataFrame:
     c = Corpus(spark, sf)
     b = _blurbed(spark, sf, c)
-    dense = retrieve.tfidf(*c.index("text", b), c.terms_of, "qid", "child_id")
-    bm = retrieve.bm25(*(c.index("text", b) if lexical == "blurbed" else c.index()), c.terms_of, "qid", "child_id")
-    both = fuse.reciprocal(Corpus.parents_of(dense), Corpus.parents_of(bm), "qid", "doc_id", fill=True)
+    blurbed = Index.build(b, "child_id", "doc_id", "text")
+    both = fuse.reciprocal(c.parents_by("tfidf", ix=blurbed), c.parents_by("bm25", ix=blurbed if lexical == "blurbed" else c.forward), "qid", "doc_id", fill=True)
     return retrieve.ranked(both, "qid", [F.desc("score"), F.col("doc_id")], most=50)
 
 
@@ -406,7 +406,7 @@ FULL = WINDOWS + BM25 + TFIDF + GOLD + HYBRID + evaluated("er", "hy")
 
 
 def _rows(c: Corpus, ranking: DataFrame) -> DataFrame:
-    return evaluate.evaluate(ranking, c.gold(), c.kinds(), "qid", "doc_id")
+    return evaluate.evaluate(ranking, written(c.gold()), c.kinds(), "qid", "doc_id")
 
 
 @query(sql(FULL, "SELECT * FROM er"))
@@ -430,7 +430,7 @@ def negative_gap(spark, sf):
 @query(sql(FULL + summarised("su", "er") + evaluated("eb", "pb") + summarised("sb", "eb"), "SELECT grp, k, c.recall AS control, c.mrr AS control_mrr, t.recall AS treatment, t.mrr AS treatment_mrr, round(t.recall - c.recall, 6) AS recall_change, round(t.mrr - c.mrr, 6) AS mrr_change FROM sb c FULL JOIN su t USING (grp, k)"))
 def ab_diff(spark, sf):
     c = Corpus(spark, sf)
-    return evaluate.difference(evaluate.summary(_rows(c, Corpus.parents_of(c.bm25_children()))), evaluate.summary(_rows(c, c.hybrid())))
+    return evaluate.difference(evaluate.summary(_rows(c, c.parents_by("bm25"))), evaluate.summary(_rows(c, c.hybrid())))
 
 
 @query(sql(WINDOWS + GOLD, "SELECT qid, doc_id FROM gold"))
@@ -443,7 +443,7 @@ def gold_labels(spark, sf):
   WHERE h.rank <= 5 AND h.qid IN (SELECT qid FROM gold) AND h.qid NOT IN (SELECT h2.qid FROM hy h2 JOIN gold g2 ON g2.qid = h2.qid AND g2.doc_id = h2.doc_id WHERE h2.rank = 1)) WHERE n <= 3 GROUP BY 1"""))
 def multilabel_suggest(spark, sf):
     c = Corpus(spark, sf)
-    gold, top = c.gold(), c.hybrid().where("rank <= 5")
+    gold, top = written(c.gold()), written(c.hybrid().where("rank <= 5"))
     first = top.where("rank = 1").join(gold, ["qid", "doc_id"], "left_semi").select("qid")
     other = top.join(gold.select("qid").distinct(), "qid", "left_semi").join(first, "qid", "left_anti").join(gold, ["qid", "doc_id"], "left_anti")
     three = retrieve.ranked(other.withColumnRenamed("rank", "r"), "qid", [F.col("r")], "n", 3)
@@ -458,7 +458,7 @@ def answer_prompts(spark, sf):
     """The grounded prompt of every question: its three best documents, each cut to the grader's budget, best first; a model's answer would stand beside it, and
     without a model the prompt's context is what is given."""
     c = Corpus(spark, sf)
-    top = Corpus.parents_of(c.bm25_children()).where("rank <= 3")
+    top = c.parents_by("bm25").where("rank <= 3")
     j = top.join(table(spark, sf, "documents").select("doc_id", "title", "text"), "doc_id").join(c.questions, "qid")
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.substring("text", 1, 4000))
     g = j.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("ctx"), F.first("query").alias("query"))

@@ -27,24 +27,44 @@ def get_session(app: str = "quillmark", cpus: int | str = "*", shuffle: int = 8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir). Only a local master may do without and gets a temporary one; a cluster without one is an error,
+    as its executors would write where nobody else can read."""
     sc = spark.sparkContext
     got = sc.getCheckpointDir()
     if got:
         return got
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not is_local(sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmark-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and survives the loss of any executor."""
+    """df as a table in the shared folder: cuts lineage, and survives the loss of any executor. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, as objects of the engine."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    p, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+
+
 _shipped: set[str] = set()
 
 

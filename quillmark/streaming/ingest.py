@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.session import shared_dir
+from quillmark.session import drop_at_exit, hadoop_path, shared_dir
 from quillmark.sources.manifest import latest
 
 
@@ -22,22 +22,25 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("v")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("v", 4).alias("v"))
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there; every batch overwrites the result (complete mode), so a replay changes nothing."""
+def run_to_table(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream over what is there, in update mode: the watermark lets finished windows go, so the state stays bounded. Every batch writes what it changed
+    into a folder of its own number, so a replayed batch writes the same again; of a key the latest batch counts."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/s-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out")
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    drop_at_exit(spark, root)
+    return latest(spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out"), keys, "batch").drop("batch")
 
 
-def apply_batch(target: str, batch: DataFrame, key: str, text: str, at: str, deleted: str) -> None:
+def apply_batch(target: str, batch: DataFrame, key: str, text: str, at: str, deleted: str, keep: int = 3) -> None:
     """Merges a micro-batch into the table at `target` (a folder of versions): rows whose content hash is unchanged are skipped, the latest row of a key wins,
-    tombstones delete; a replayed batch changes nothing. The new version is written beside the old one, then named in CURRENT."""
+    tombstones delete; a replayed batch changes nothing. The new version is written beside the old one and renamed into place; the last `keep` stay, so that
+    readers of the one before can finish."""
     spark = batch.sparkSession
     new = latest(batch.withColumn("hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), [key], at, "hash")
     now = current(spark, target)
@@ -49,14 +52,26 @@ def apply_batch(target: str, batch: DataFrame, key: str, text: str, at: str, del
         merged = stay.join(gone, key, "left_anti").join(fresh.select(key), key, "left_anti").unionByName(fresh.where(F.col(deleted).isNull()))
     else:
         merged = new.where(F.col(deleted).isNull())
-    version = uuid.uuid4().hex
-    merged.write.parquet(f"{target}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{target}/CURRENT")
+    draft = f"{target}/_draft-{uuid.uuid4().hex}"
+    merged.write.parquet(draft)
+    number = int(names[-1][2:]) + 1 if (names := versions(spark, target)) else 0
+    done, fs = hadoop_path(spark, f"{target}/v-{number:010d}")
+    if not fs.rename(hadoop_path(spark, draft)[0], done):  # one step: readers see the old version or the new one
+        raise RuntimeError(f"version {number} of {target} was published by another writer")
+    for old in names[: -keep + 1] if keep > 1 else names:
+        fs.delete(hadoop_path(spark, f"{target}/{old}")[0], True)
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
-    try:
-        version = spark.read.text(f"{target}/CURRENT").first()
-    except Exception:  # noqa: BLE001  (no version yet)
-        return None
-    return spark.read.parquet(f"{target}/{version[0]}") if version else None
+    """The latest version, or None before the first. Anything unreadable is an error: it must not pass for an empty table."""
+    names = versions(spark, target)
+    return spark.read.parquet(f"{target}/{names[-1]}") if names else None
+
+
+def versions(spark: SparkSession, target: str) -> list[str]:
+    """The complete versions, oldest first: v-<number> folders that were renamed into place in one step."""
+    p, fs = hadoop_path(spark, target)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(n for n in names if n.startswith("v-"))
