@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.operators import chunking, evaluate, fuse, index, retrieve
 from quillmark.operators.scoring import Index, hashed
-from quillmark.session import table, written
+from quillmark.session import spread, table, written
 
 RUN = 12
 
@@ -18,8 +18,8 @@ class Corpus:
     """The tables that the queries of this module share; the forward index of the windows is built once, when first asked for."""
 
     def __init__(self, spark: SparkSession, sf: str):
-        docs = table(spark, sf, "documents").where("text is not null")
-        self.parents = docs.select("doc_id", "text")
+        docs = spread(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"))
+        self.parents = docs
         self.children = chunking.word_windows(docs, "doc_id", "text", 120, 20, 15, True).withColumn("child_id", F.concat_ws("#", "doc_id", "chunk_no"))
         self.questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")).distinct()
         self.terms_of = index.query_terms(self.questions, "qid", "query")

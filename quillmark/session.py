@@ -87,6 +87,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a table of a few splits would keep the others idle while its texts are worked on. Tables of more
+    splits, as any large one, are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if it has at most `most_rows` rows, else as it is."""
     from pyspark.sql import functions as F
