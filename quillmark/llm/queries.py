@@ -40,8 +40,8 @@ def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
-    a = sections(spark, sf).where(F.col("source").startswith("archive/")).select(F.lit("sections").alias("tbl"), F.col("parent_id").alias("item_id"), "text", F.lit(0).alias("first"))
-    b = table(spark, sf, "parse_failures").select(F.lit("parse_failures").alias("tbl"), F.col("doc_id").alias("item_id"), F.col("reason").alias("text"), F.lit(1).alias("first"))
+    a = sections(spark, sf).where(F.col("source").startswith("archive/")).select(F.lit("sections").alias("tbl"), F.col("parent_id").alias("item_id"), "text", F.lit(0).alias("first"), "source")
+    b = table(spark, sf, "parse_failures").select(F.lit("parse_failures").alias("tbl"), F.col("doc_id").alias("item_id"), F.col("reason").alias("text"), F.lit(1).alias("first"), F.col("doc_id").alias("source"))
     return a.unionByName(b).distinct()
 
 

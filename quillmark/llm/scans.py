@@ -1,9 +1,11 @@
 """Noise in text from scanned pages: words divided by line breaks, misread characters, running headers and page numbers; and its repair into paragraphs.
 
-1. Layout rules mark page numbers and running headers by line; what remains are text lines, whose words are read in order, a word divided by a line break
-   as one (over page breaks too).
+1. Layout rules mark page numbers and running headers by line. A head without a page number on or beside it, that is not the first or last line of its page,
+   has to recur on another page of its source (signs that are misread for each other count as one), or it is text; where a source has a single page, its
+   shape decides. What remains are text lines, whose words are read in order, a word divided by a line break as one (over page breaks too).
 2. A lexicon counts the words of all pages, lines that stand on several pages once.
-3. Words and their deletions of up to two characters meet in a symmetric-delete join with those of more frequent words; a weighted edit distance, in which
+3. Words and their deletions of up to two characters (of words over `DELETED` characters, a third of them, which two edits leave whole somewhere) meet in a
+   symmetric-delete join with those of more frequent words; a weighted edit distance, in which
    misreadings known from print (rn for m, 1 for l, ...) are cheap, keeps candidates, which have to be `RATIO` times as frequent.
 4. Divided words are joined, or keep their hyphen as compounds, by which form the lexicon knows better.
 5. Where a word has several candidates, the counts of its bigrams with its neighbours choose.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +34,8 @@ from quillmark.llm.quality import FUNCTION, RANKED
 from quillmark.session import written
 
 RATIO, MOST_COST, LEAST_COUNT = 12, 0.8, 4
+DELETED = 40
+SALTS = 16  # of the shortest deletions, which many words share
 # How print is misread (what stands there: what was meant), with costs.
 CONFUSED = {
     ("0", "o"): 0.2, ("1", "l"): 0.2, ("1", "i"): 0.2, ("5", "s"): 0.2, ("8", "b"): 0.2, ("6", "b"): 0.3, ("3", "e"): 0.3, ("9", "g"): 0.3, ("@", "a"): 0.2, ("†", "t"): 0.2, ("ſ", "s"): 0.2,
@@ -57,10 +62,18 @@ def capital(line: str) -> bool:
 
 
 HEAD = re.compile(r"\s*(?:\d{1,4}[.\s]+)?([A-ZÀ-Þ][\w'’@†ſ|!$¢€\-]*(?:\s+[\w'’@†ſ|!$¢€\-]+){0,6})(?:\.?\s+\d{1,4})?\s*")
+SHOULDER = re.compile(r"\s*(?:\d{1,4}\s+)?[\[(]\s*[A-ZÀ-Þ][\w'’]*\.?(?:\s+[\w'’@†ſ|!$¢€]+\.?){0,3}[\])]?(?:\s+\d{1,4})?\s*")  # a short head in brackets, often only opened
+ALIKE = str.maketrans("015@†ſ|!$¢€l8", "oisatsiisceib")
 
 
-def line_kinds(lines: list[str], first: int = 0) -> list[str]:
-    """Of each line: text, blank, page_number, running_header or skip (before `first`). A heading or numeral that is a paragraph of its own is text.
+def head_key(line: str) -> str:
+    """A head without numbers and signs, characters that are misread for each other as one."""
+    return re.sub(r"[\W_]+", " ", re.sub(r"(?<![^\W\d_])\d+(?![^\W\d_])", " ", line).casefold().translate(ALIKE)).strip()
+
+
+def line_kinds(lines: list[str], first: int = 0, no_heads: frozenset[str] | set[str] = frozenset()) -> list[str]:
+    """Of each line: text, blank, page_number, running_header or skip (before `first`). A heading or numeral that is a paragraph of its own is text, and so are
+    heads whose key is among `no_heads`, unless their place proves them.
 
     A head in mixed case shows by its place: a short line without an end mark that follows a page number, or stands inside a paragraph although the next
     word would have fitted on it."""
@@ -80,7 +93,7 @@ def line_kinds(lines: list[str], first: int = 0) -> list[str]:
             kind = "page_number" if marked or not alone else "text"
             if not marked and not s[0].isdigit() and not re.fullmatch(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\.?", s):
                 kind = "text"
-        elif re.fullmatch(r"(?i)\W*(?:\d{1,4}\s+)?\W*chap(?:ter|\.)?\s+[\w.]{1,8}\W*(?:\s*\d{1,4})?", s) and re.search(r"[\[\]]", s):
+        elif SHOULDER.fullmatch(s) and len(s) <= 32:
             kind = "running_header"
         elif capital(re.sub(r"[\d]+", "", s)) and len(s) < 80 and not alone and not re.match(r"(?i)\W*(?:chapter|book|part|canto|section|letter|act)\s+[ivxlc\d]+\b", s):
             kind = "running_header"
@@ -96,9 +109,17 @@ def line_kinds(lines: list[str], first: int = 0) -> list[str]:
             near = [len(lines[j]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(lines) and kinds[j] == "text"]
             if (inside or after_page) and near and (max(near) >= 0.75 * width or after_page) and not (nxt.strip() == "" and not after_page):
                 kinds[i] = "running_header"
+    if no_heads:
+        kinds = ["text" if k == "running_header" and not proven(lines, kinds, i) and head_key(lines[i]) in no_heads else k for i, k in enumerate(kinds)]
     return kinds
 
 
+def proven(lines: list[str], kinds: list[str], i: int) -> bool:
+    """Whether a head has a page number, on it or beside it, or is the first or last line of its page."""
+    beside = [next((kinds[j] for j in js if kinds[j] != "blank"), "skip") for js in (range(i - 1, -1, -1), range(i + 1, len(kinds)))]
+    return bool(re.search(r"(?<![^\W\d_])\d", lines[i])) or "page_number" in beside or "skip" in beside
+
+
 class Word:
     __slots__ = ("text", "line", "line2", "cut", "hyphen", "start")
 
@@ -169,6 +190,21 @@ def deletions(w: str, most: int = 2) -> dict[str, int]:
     return out
 
 
+def thirds(w: str) -> list[str]:
+    """The three parts of a long word, each with the word's length and its own number: one of them is whole in any word within two edits."""
+    n = len(w) // 3
+    return [f"\0{len(w)} {k} {x}" for k, x in enumerate((w[:n], w[n : 2 * n], w[-n:]))]
+
+
+def thirds_met(w: str) -> list[str]:
+    """The parts of words of about its length that a long word may have."""
+    out = []
+    for m in range(len(w) - 2, len(w) + 3):
+        n = m // 3
+        out += [f"\0{m} 0 {w[:n]}", f"\0{m} 2 {w[-n:]}", *(f"\0{m} 1 {w[n + k : 2 * n + k]}" for k in range(-2, 3))]
+    return out
+
+
 def weighted_distance(seen: str, meant: str, most: float = 2.0) -> tuple[float, int]:
     """Cost of reading `meant` as `seen`, and where in `seen` the first misreading is."""
     n, m = len(seen), len(meant)
@@ -206,6 +242,29 @@ def english(words: list[Word]) -> bool:
     return count["en"] >= max(2, max(c for k, c in count.items() if k != "en"))
 
 
+def _with_heads(pages: DataFrame) -> DataFrame:
+    """Adds `no_heads`: the keys of lines that have the shape of a head, on a page of a source with several pages, none other of which has them."""
+    source = F.col("source") if "source" in pages.columns else F.col("item_id")
+    pages = pages.select("tbl", "item_id", "text", "first", F.coalesce(source, F.lit("")).alias("source"))
+
+    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = set()
+            for tbl, i, source, text, first in zip(b["tbl"], b["item_id"], b["source"], b["text"], b["first"]):
+                lines = text.split("\n")
+                kinds = line_kinds(lines, first)
+                out |= {(tbl, i, source, head_key(lines[k]), proven(lines, kinds, k)) for k, kind in enumerate(kinds) if kind == "running_header"}
+            yield pd.DataFrame(list(out), columns=["tbl", "item_id", "source", "head", "proven"])
+
+    heads = written(pages.mapInPandas(shaped, "tbl string, item_id string, source string, head string, proven boolean"))
+    spread = F.min("item_id") != F.max("item_id")
+    lone = heads.groupBy("source", "head").agg(spread.alias("again")).where("not again").select("source", "head")
+    several = pages.groupBy("source").agg(spread.alias("several")).where("several").select("source")
+    no = heads.where("not proven").join(lone, ["source", "head"], "left_semi").join(several, "source", "left_semi")
+    no = no.groupBy("tbl", "item_id").agg(F.collect_set("head").alias("no_heads"))  # as many as a page has such lines
+    return pages.join(no, ["tbl", "item_id"], "left").select("tbl", "item_id", "text", "first", "no_heads")
+
+
 def _lexicon(pages: DataFrame) -> DataFrame:
     """(w, n) of all words, and ('a b', n) of all pairs of neighbours; words divided by line breaks count 0.
 
@@ -216,9 +275,9 @@ def _lexicon(pages: DataFrame) -> DataFrame:
         sent: set[bytes] = set()
         for b in batches:
             out = []
-            for text, first in zip(b["text"], b["first"]):
+            for text, first, not_heads in zip(b["text"], b["first"], b["no_heads"]):
                 lines = text.split("\n")
-                words = read_words(lines, line_kinds(lines, first))
+                words = read_words(lines, line_kinds(lines, first, set(not_heads) if not_heads is not None else ()))
                 whole, divided = defaultdict(list), defaultdict(list)
                 for k, w in enumerate(words):
                     (whole if w.line2 < 0 else divided)[w.line].append(w.text)
@@ -236,7 +295,7 @@ def _lexicon(pages: DataFrame) -> DataFrame:
                 sent.clear()
             yield pd.DataFrame(out, columns=["line", "whole", "divided"])
 
-    lines = pages.select("text", "first").mapInPandas(count, "line binary, whole array<string>, divided array<string>").dropDuplicates(["line"])
+    lines = pages.select("text", "first", "no_heads").mapInPandas(count, "line binary, whole array<string>, divided array<string>").dropDuplicates(["line"])
     said = lines.select(F.explode(F.concat(*(F.transform(c, lambda w, n=n: F.struct(w.alias("w"), F.lit(n).cast("bigint").alias("n"))) for c, n in (("whole", 1), ("divided", 0))))).alias("x"))
     return said.groupBy("x.w").agg(F.sum("x.n").alias("n"))
 
@@ -246,8 +305,13 @@ def _candidates(words: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(w, n, d, k) for w, n in zip(b["w"], b["n"]) if len(w) <= 40 for d, k in deletions(w).items()]
-            yield pd.DataFrame(out, columns=["w", "n", "d", "k"])
+            out = []
+            for w, n in zip(b["w"], b["n"]):
+                if len(w) <= DELETED:
+                    out += [(w, n, d, k, 0) for d, k in deletions(w).items()]
+                else:
+                    out += [(w, n, d, 0, role) for role, ds in ((1, thirds(w)), (2, thirds_met(w))) for d in ds]
+            yield pd.DataFrame(out, columns=["w", "n", "d", "k", "role"])
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -258,10 +322,14 @@ def _candidates(words: DataFrame) -> DataFrame:
                     out.append((w, meant, cost, at, n))
             yield pd.DataFrame(out, columns=["w", "meant", "cost", "at", "n"])
 
-    cuts = words.mapInPandas(cut, "w string, n bigint, d string, k int")
+    cuts = words.mapInPandas(cut, "w string, n bigint, d string, k int, role int")
+    # the shortest deletions are shared by many words: known ones stand in every part of them, seen ones in one
+    short = F.length("d") <= 2
     # short words would meet everywhere without two of their letters
-    known = cuts.where((F.col("n") >= LEAST_COUNT) & ((F.length("w") > 3) | (F.col("k") <= 1))).select("d", F.col("w").alias("meant"), F.col("n").alias("nm"))
-    met = cuts.select("d", "w", F.col("n").alias("nw")).join(known, "d").where("w != meant").where(F.col("nm") >= RATIO * F.greatest(F.col("nw"), F.lit(1)) - (RATIO - LEAST_COUNT) * (F.col("nw") == 0).cast("int") - (RATIO - LEAST_COUNT) * (F.col("w").rlike(r"[0-9@†ſ|¢$€!áàâäéèêëíìîïóòôöúùûü]|[a-z][A-Z]")).cast("int"))
+    known = cuts.where((F.col("role") < 2) & (F.col("n") >= LEAST_COUNT) & ((F.length("w") > 3) | (F.col("k") <= 1)))
+    known = known.select("d", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"), F.col("w").alias("meant"), F.col("n").alias("nm"))
+    seen = cuts.where("role != 1").select("d", F.when(short, F.pmod(F.xxhash64("w"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), "w", F.col("n").alias("nw"))
+    met = seen.join(known, ["d", "salt"]).where("w != meant").where(F.col("nm") >= RATIO * F.greatest(F.col("nw"), F.lit(1)) - (RATIO - LEAST_COUNT) * (F.col("nw") == 0).cast("int") - (RATIO - LEAST_COUNT) * (F.col("w").rlike(r"[0-9@†ſ|¢$€!áàâäéèêëíìîïóòôöúùûü]|[a-z][A-Z]")).cast("int"))
     met = met.select("w", "meant", F.col("nm").alias("n")).distinct()
     return met.mapInPandas(weigh, "w string, meant string, cost double, at int, n bigint")
 
@@ -271,7 +339,7 @@ def repairs(pages: DataFrame) -> DataFrame:
     word joined or with its hyphen, a misread one corrected.
 
     Null texts have no rows; `first` is how many lines at the beginning are no page text; repeated pages count once in the result."""
-    pages = pages.where("text is not null")
+    pages = written(_with_heads(pages.where("text is not null")))
     lex = written(_lexicon(pages))
     words = lex.where(~F.col("w").contains(" "))
     function = list(FUNCTION)
@@ -294,9 +362,9 @@ def repairs(pages: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for tbl, i, text, first in zip(b["tbl"], b["item_id"], b["text"], b["first"]):
+            for tbl, i, text, first, not_heads in zip(b["tbl"], b["item_id"], b["text"], b["first"], b["no_heads"]):
                 lines = text.split("\n")
-                kinds = line_kinds(lines, first)
+                kinds = line_kinds(lines, first, set(not_heads) if not_heads is not None else ())
                 out += [(tbl, i, k, n + 1, -1, 0, None, None, None, None) for n, k in enumerate(kinds) if k in ("page_number", "running_header")]
                 ws = read_words(lines, kinds)
                 plain = english(ws)
@@ -310,7 +378,7 @@ def repairs(pages: DataFrame) -> DataFrame:
                         out.append((tbl, i, "word", w.line + 1, w.line2 + 1 if w.line2 >= 0 else -1, w.cut, w.text, before, after, "odd" if odd else None))
             yield pd.DataFrame(out, columns=["tbl", "item_id", "what", "line_no", "line2", "cut", "w", "before", "after", "odd"])
 
-    scanned = written(pages.select("tbl", "item_id", "text", "first").mapInPandas(scan, "tbl string, item_id string, what string, line_no bigint, line2 bigint, cut int, w string, before string, after string, odd string").distinct())
+    scanned = written(pages.select("tbl", "item_id", "text", "first", "no_heads").mapInPandas(scan, "tbl string, item_id string, what string, line_no bigint, line2 bigint, cut int, w string, before string, after string, odd string").distinct())
     layout = scanned.where("what in ('page_number', 'running_header')").select("tbl", "item_id", F.col("what").alias("noise"), "line_no", F.lit(None).cast("string").alias("w"), F.lit(None).cast("string").alias("meant"))
 
     # words
@@ -360,31 +428,38 @@ def paragraphs(pages: DataFrame, repaired: DataFrame) -> DataFrame:
             elif f["noise"] == "hyphenation":
                 whole.add(n)
             elif f["meant"]:
-                words[f["w"]] = f["meant"]
-        out, joined = [[]], False
+                words[n, f["w"]] = f["meant"]
+        out: list[tuple[list[str], list[tuple[int, int]]]] = [([], [])]  # of each paragraph its parts, and where in it which line begins
+        size, joined = 0, False
         for i, line in enumerate(lines):
             if i < first or i in drop:
                 continue
-            if not line.strip():
-                if out[-1] and not joined:
-                    out.append([])
-                continue
             s = line.strip()
+            if not s:
+                if out[-1][0] and not joined:
+                    out.append(([], []))
+                    size = 0
+                continue
             cut = BREAK.search(line.rstrip())
-            if joined and out[-1]:
-                out[-1][-1] += s
-            else:
-                out[-1].append(s)
-            joined = bool(cut)
             if cut:
-                out[-1][-1] = re.sub(rf"\s?[{HYPHENS}]\s*\Z", "" if i in whole else "-", out[-1][-1])
-
-        def fix(m: re.Match) -> str:
-            w = m.group()
-            meant = words.get(key_of(w))
-            return w if meant is None else w.replace(w.strip("'‘’"), meant[:1].upper() + meant[1:] if w[:1].isupper() else meant, 1)
-
-        return "\n\n".join(CHUNK.sub(fix, " ".join(p)) for p in out if p)
+                s = re.sub(rf"\s?[{HYPHENS}]\s*\Z", "" if i in whole else "-", s)
+            if out[-1][0] and not joined:
+                s = " " + s
+            out[-1][1].append((size, i))
+            out[-1][0].append(s)
+            size, joined = size + len(s), bool(cut)
+
+        def mended(parts: list[str], marks: list[tuple[int, int]]) -> str:
+            def fix(m: re.Match) -> str:
+                w = m.group()
+                a = max(0, bisect_right(marks, (m.start(), len(lines))) - 1)
+                z = bisect_right(marks, (m.end() - 1, len(lines)))
+                meant = next((x for _, i in marks[a:z] if (x := words.get((i, key_of(w)))) is not None), None)
+                return w if meant is None else w.replace(w.strip("'‘’"), meant[:1].upper() + meant[1:] if w[:1].isupper() else meant, 1)
+
+            return CHUNK.sub(fix, "".join(parts))
+
+        return "\n\n".join(mended(*p) for p in out if p[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

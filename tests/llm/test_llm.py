@@ -155,6 +155,29 @@ def test_scans_of_many_copies(spark):
     assert len(got) == 60 and all(lines == ([3, 6, 10] if i[0] == "m" else [2, 5, 9]) for i, lines in got)
 
 
+def test_repairs_stay_on_their_line(spark):
+    pages = spark.createDataFrame([("s", "a#1", "the modem was here\nand the modem was there\nat last", 0)], "tbl string, item_id string, text string, first int")
+    fixes = spark.createDataFrame([("s", "a#1", "misread", 1, "modem", "modern")], "tbl string, item_id string, noise string, line_no bigint, w string, meant string")
+    assert scans.paragraphs(pages, fixes).first().text == "the modern was here and the modem was there at last"
+
+
+def test_heads_have_to_recur(spark):
+    """A line in capitals inside a sentence is text, where its source has other pages without it; a repeated one is a head, also misread."""
+    body = "the old bridge stood near the harbour and the river ran below it"
+    lone = f"{body}\nwhile the members of the council met\nROYAL GEOGRAPHICAL SOCIETY\nof London had agreed to see it\n{body}"
+    again = [f"{body}\n{body}\n{h}\n{body} {k}\n{body}" for k, h in enumerate(["THE HOUSEHOLD OF MARN", "THE H0USEHOLD OF MARN"])]
+    pages = spark.createDataFrame([("s", f"a#{k}", t, 0, "a") for k, t in enumerate([lone, *again])], "tbl string, item_id string, text string, first int, source string")
+    got = {(r.item_id, r.line_no) for r in scans.found(scans.repairs(pages)).where("noise = 'running_header'").collect()}
+    assert got == {("a#1", 3), ("a#2", 3)}
+    assert "met ROYAL GEOGRAPHICAL SOCIETY of London" in {r.item_id: r.text for r in scans.paragraphs(pages, scans.repairs(pages)).collect()}["a#0"]
+
+
+def test_long_words_meet():
+    w = "".join(chr(97 + (7 * k * k + 3 * k) % 26) for k in range(60))
+    for other in (w[:20] + w[22:], w[:5] + "q" + w[5:], "zz" + w, w[:-2], w[:29] + "#" + w[30:59], w[1:30] + w[31:]):
+        assert set(scans.thirds(w)) & set(scans.thirds_met(other)) and set(scans.thirds(other)) & set(scans.thirds_met(w))
+
+
 def test_weighted_distance():
     assert scans.weighted_distance("rnargin", "margin")[0] < 0.5 < scans.weighted_distance("bargin", "margin")[0]
     assert scans.weighted_distance("viUage", "village")[0] < 0.5 and scans.weighted_distance("abc", "abc") == (0.0, -1)
