@@ -35,6 +35,7 @@ from quillmark.session import written
 
 RATIO, MOST_COST, LEAST_COUNT = 12, 0.8, 4
 DELETED = 40
+DIVIDED = "\1"  # before a word divided by a line break
 SALTS = 16  # of the shortest deletions, which many words share
 # How print is misread (what stands there: what was meant), with costs.
 CONFUSED = {
@@ -242,21 +243,45 @@ def english(words: list[Word]) -> bool:
     return count["en"] >= max(2, max(c for k, c in count.items() if k != "en"))
 
 
-def _with_heads(pages: DataFrame) -> DataFrame:
-    """Adds `no_heads`: the keys of lines that have the shape of a head, on a page of a source with several pages, none other of which has them."""
-    source = F.col("source") if "source" in pages.columns else F.col("item_id")
-    pages = pages.select("tbl", "item_id", "text", "first", F.coalesce(source, F.lit("")).alias("source"))
+def _first_pass(pages: DataFrame) -> DataFrame:
+    """Of every page (tbl, item_id, source, text, first) as a written table: its lines of the shape of a head (head, proven), and its text lines (line: a hash, says:
+    the word before the line and its words, those divided by a line break marked). A line that stands on several pages has one hash for the n-th time that a page
+    has it."""
 
-    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: set[bytes] = set()
         for b in batches:
-            out = set()
+            out = []
             for tbl, i, source, text, first in zip(b["tbl"], b["item_id"], b["source"], b["text"], b["first"]):
                 lines = text.split("\n")
                 kinds = line_kinds(lines, first)
-                out |= {(tbl, i, source, head_key(lines[k]), proven(lines, kinds, k)) for k, kind in enumerate(kinds) if kind == "running_header"}
-            yield pd.DataFrame(list(out), columns=["tbl", "item_id", "source", "head", "proven"])
+                heads = {(head_key(lines[k]), proven(lines, kinds, k)) for k, kind in enumerate(kinds) if kind == "running_header"}
+                out += [(tbl, i, source, head, sure, None, None) for head, sure in heads]
+                said: dict[int, list[str]] = {}
+                before = ""
+                for w in read_words(lines, kinds):
+                    if w.line not in said:
+                        said[w.line] = [before]
+                    said[w.line].append(w.text if w.line2 < 0 else DIVIDED + w.text)
+                    before = w.text
+                times: Counter = Counter()
+                for words in said.values():
+                    says = " ".join(words)
+                    times[says] += 1
+                    line = hashlib.blake2b(b"%d " % times[says] + says.encode(), digest_size=16).digest()
+                    if line not in sent:
+                        sent.add(line)
+                        out.append((None, None, None, None, None, line, says))
+            if len(sent) > 400_000:
+                sent.clear()
+            yield pd.DataFrame(out, columns=["tbl", "item_id", "source", "head", "proven", "line", "says"])
 
-    heads = written(pages.mapInPandas(shaped, "tbl string, item_id string, source string, head string, proven boolean"))
+    return written(pages.mapInPandas(read, "tbl string, item_id string, source string, head string, proven boolean, line binary, says string"))
+
+
+def _with_heads(pages: DataFrame, seen: DataFrame) -> DataFrame:
+    """Adds `no_heads`: the keys of lines that have the shape of a head, on a page of a source with several pages, none other of which has them."""
+    heads = seen.where("head is not null").select("tbl", "item_id", "source", "head", "proven")
     spread = F.min("item_id") != F.max("item_id")
     lone = heads.groupBy("source", "head").agg(spread.alias("again")).where("not again").select("source", "head")
     several = pages.groupBy("source").agg(spread.alias("several")).where("several").select("source")
@@ -265,38 +290,18 @@ def _with_heads(pages: DataFrame) -> DataFrame:
     return pages.join(no, ["tbl", "item_id"], "left").select("tbl", "item_id", "text", "first", "no_heads")
 
 
-def _lexicon(pages: DataFrame) -> DataFrame:
-    """(w, n) of all words, and ('a b', n) of all pairs of neighbours; words divided by line breaks count 0.
+def _lexicon(seen: DataFrame) -> DataFrame:
+    """(w, n) of all words of lines that do not look like heads, and ('a b', n) of all pairs of neighbours; words divided by line breaks count 0.
 
     A line that stands on several pages counts as often as on the page that has it most: the misreadings of a page that was delivered under many keys,
     changed here and there or not, are as rare as those of a page delivered once."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent: set[bytes] = set()
-        for b in batches:
-            out = []
-            for text, first, not_heads in zip(b["text"], b["first"], b["no_heads"]):
-                lines = text.split("\n")
-                words = read_words(lines, line_kinds(lines, first, set(not_heads) if not_heads is not None else ()))
-                whole, divided = defaultdict(list), defaultdict(list)
-                for k, w in enumerate(words):
-                    (whole if w.line2 < 0 else divided)[w.line].append(w.text)
-                    if k:
-                        whole[w.line].append(f"{words[k - 1].text} {w.text}")
-                times: Counter = Counter()
-                for i in whole.keys() | divided.keys():
-                    says = "\n".join([*whole[i], "", *divided[i]]).encode()
-                    times[says] += 1
-                    line = hashlib.blake2b(b"%d " % times[says] + says, digest_size=16).digest()
-                    if line not in sent:
-                        sent.add(line)
-                        out.append((line, whole[i], divided[i]))
-            if len(sent) > 400_000:
-                sent.clear()
-            yield pd.DataFrame(out, columns=["line", "whole", "divided"])
-
-    lines = pages.select("text", "first", "no_heads").mapInPandas(count, "line binary, whole array<string>, divided array<string>").dropDuplicates(["line"])
-    said = lines.select(F.explode(F.concat(*(F.transform(c, lambda w, n=n: F.struct(w.alias("w"), F.lit(n).cast("bigint").alias("n"))) for c, n in (("whole", 1), ("divided", 0))))).alias("x"))
+    words = F.split("says", " ")
+    lines = seen.where("line is not null").select("line", "says").dropDuplicates(["line"]).select(words.alias("x"))
+    bare = lambda w: F.ltrim(w, F.lit(DIVIDED))
+    n = F.size("x") - 1
+    single = F.transform(F.slice("x", 2, n), lambda w: F.struct(bare(w).alias("w"), (~w.startswith(DIVIDED)).cast("bigint").alias("n")))
+    pairs = F.zip_with(F.slice("x", 1, n), F.slice("x", 2, n), lambda a, b: F.struct(F.concat_ws(" ", bare(a), bare(b)).alias("w"), F.lit(1).cast("bigint").alias("n")))
+    said = lines.select(F.explode(F.concat(single, F.filter(pairs, lambda p: ~p["w"].startswith(" ")))).alias("x"))
     return said.groupBy("x.w").agg(F.sum("x.n").alias("n"))
 
 
@@ -339,8 +344,12 @@ def repairs(pages: DataFrame) -> DataFrame:
     word joined or with its hyphen, a misread one corrected.
 
     Null texts have no rows; `first` is how many lines at the beginning are no page text; repeated pages count once in the result."""
-    pages = written(_with_heads(pages.where("text is not null")))
-    lex = written(_lexicon(pages))
+    source = F.col("source") if "source" in pages.columns else F.col("item_id")
+    pages = pages.where("text is not null").select("tbl", "item_id", "text", "first", F.coalesce(source, F.lit("")).alias("source"))
+    pages = written(pages)
+    seen = _first_pass(pages)
+    pages = _with_heads(pages, seen)
+    lex = written(_lexicon(seen))
     words = lex.where(~F.col("w").contains(" "))
     function = list(FUNCTION)
     cand = written(_candidates(words.where(~F.col("w").isin(function) | (F.col("n") >= LEAST_COUNT))).where(~F.col("w").isin(function)))
