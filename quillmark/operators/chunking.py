@@ -67,6 +67,20 @@ def numbered_sections(df: DataFrame, key: str, text: str, least: int = 40) -> Da
     return out.withColumn("char_len", F.length("text").cast("bigint")).where(F.col("char_len") >= least)
 
 
+def truncated(df: DataFrame, key: str, text: str, mark: str) -> DataFrame:
+    """(key, body): texts up to the first match of `mark`; whole without one."""
+    return df.select(key, F.regexp_replace(text, f"(?s){mark}.*$", "").alias("body"))
+
+
+def paged_islands(lines: DataFrame, key: str, title: str, first_page: str, last_page: str) -> DataFrame:
+    """(key, grp, title, page_start, page_end, lines) of lines (key, line_no, heading, title and pages): what stands before the first heading is the front matter;
+    a section ends on the page where the next one begins, the last on its own last page."""
+    g = islands(lines, key, F.col("heading")).groupBy(key, "grp")
+    s = g.agg(F.min_by(F.coalesce(title, F.lit("")), "line_no").alias("top"), F.min(first_page).alias("page_start"), F.max(F.coalesce(last_page, first_page)).alias("last"), F.count("*").alias("lines"))
+    nxt = F.lead("page_start").over(Window.partitionBy(key).orderBy("grp"))
+    return s.select(key, "grp", F.when(F.col("grp") == 0, "(front matter)").otherwise(F.col("top")).alias("title"), "page_start", F.coalesce(nxt, "last").alias("page_end"), "lines")
+
+
 def merge_stubs(fragments: DataFrame, group: str, order: str, text: str, least: int) -> DataFrame:
     """(group, fragment, n, text, char_len): fragments shorter than `least` fold into the one before, by their own length; a short first one takes the next."""
     f = fragments.select(group, F.col(order).alias("o"), F.col(text).alias("t")).withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy("o")))
@@ -169,9 +183,9 @@ def split_giants(sections: DataFrame, key: str, giant: int = 5000) -> DataFrame:
     return small.unionByName(parts.where(F.length(F.trim("text")) > 0).select(key, "section_idx", "frag", "title", "text"))
 
 
-def resize_sections(sections: DataFrame, key: str, giant: int = 5000, stub: int = 500) -> DataFrame:
-    """(key, section_idx, title, text, char_len): giants divided, stubs folded backward inside their section (a short first one takes the next and keeps its
-    title), sections left with one short fragment folded into the section before; ids g, g#A, g#B, ..."""
+def fragments(sections: DataFrame, key: str, giant: int = 5000, stub: int = 500) -> DataFrame:
+    """(key, s, fragment, title, text, parts, runt, isle): giants divided and stubs folded backward inside their section (a short first one takes the next and keeps
+    its title); runt: the only fragment of its section, and short; isle numbers what runts are folded into."""
     frags = split_giants(sections, key, giant).withColumn("g", F.struct(key, "section_idx"))
     titles = frags.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("frag", "title"))).alias("titles"))
     merged = merge_stubs(frags, "g", "frag", "text", stub)
@@ -182,7 +196,12 @@ def resize_sections(sections: DataFrame, key: str, giant: int = 5000, stub: int
     per = merged.withColumn("parts", F.count("*").over(Window.partitionBy("g"))).select(F.col(f"g.{key}").alias(key), F.col("g.section_idx").alias("s"), "fragment", "title", "text", "parts")
     w = Window.partitionBy(key).orderBy("s", "fragment")
     runt = (F.col("parts") == 1) & (F.length("text") < stub) & (F.row_number().over(w) > 1)
-    per = per.withColumn("runt", runt).withColumn("isle", F.sum((~F.col("runt")).cast("bigint")).over(w))
+    return per.withColumn("runt", runt).withColumn("isle", F.sum((~F.col("runt")).cast("bigint")).over(w))
+
+
+def resize_sections(sections: DataFrame, key: str, giant: int = 5000, stub: int = 500) -> DataFrame:
+    """(key, section_idx, title, text, char_len): the fragments, runts folded into the section before; ids g, g#A, g#B, ..."""
+    per = fragments(sections, key, giant, stub)
     out = per.groupBy(key, "isle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "fragment", "text"))), lambda x: x["text"]), "\n").alias("text"), F.min_by("title", F.struct("s", "fragment")).alias("title"), F.min("s").alias("s"), F.min_by("fragment", F.struct("s", "fragment")).alias("fragment"))
     ids = Window.partitionBy(key, "s").orderBy("fragment")
     j = F.row_number().over(ids) - 1

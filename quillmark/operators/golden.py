@@ -75,3 +75,14 @@ def following(df: DataFrame, group: str, order: str, value: str, n: int, name: s
     give = rows.select(F.col(group).alias("_g"), F.explode(F.sequence(F.col("rn") - n + 1, F.col("rn"))).alias("_to"), F.struct(F.col("rn").alias("rn"), F.col(value).alias("v")).alias("x"))
     got = give.groupBy("_g", "_to").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias(name))  # at most n
     return rows.join(got, (F.col(group) == F.col("_g")) & (F.col("rn") == F.col("_to"))).drop("_g", "_to", "rn")
+
+
+def expanded(df: DataFrame, stratum: str, key: str, drawn: Column, good: Column, n: int, over: float, seed: str) -> DataFrame:
+    """(key, stratum): about n of the drawn rows in the mix of the others: of each stratum `over` times its part is taken in hash order, those that are not good are
+    dropped, and what is left is cut to its part."""
+    mix = df.where(~drawn).groupBy(stratum).agg(F.count("*").alias("c"))
+    all_ = F.broadcast(mix.agg(F.sum("c").alias("all")))  # a single row
+    part = mix.crossJoin(all_).select(stratum, F.floor(n * F.col("c") / F.col("all") + 0.5).alias("want"))
+    rows = df.where(drawn).withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, key))))
+    kept = rows.join(F.broadcast(part), stratum).where(F.col("rn") <= F.ceil(over * F.col("want"))).where(good)  # a row a stratum
+    return kept.withColumn("n", F.row_number().over(Window.partitionBy(stratum).orderBy("rn"))).where("n <= want").select(key, stratum)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmark.plans import project, references, retrieval
+from quillmark.plans import corpus, gates, project, references, retrieval
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (references, retrieval, project):
+for _part in (references, retrieval, project, gates, corpus):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

@@ -260,31 +260,17 @@ def label_override(spark, sf):
     return labels(spark, sf)
 
 
-_TRIAGE = "SELECT id, CASE WHEN bool_or(n LIKE '%low-groundedness%') THEN 'DROPPED' WHEN bool_or(n LIKE '%ANSWERABLE%') THEN 'REVIEW_NEGATIVE' WHEN bool_or(n LIKE '%gold%') THEN 'GRAY' ELSE 'OTHER' END AS bucket, count(*) AS notes FROM (SELECT id, unnest(_validate) AS n FROM q) WHERE n IS NOT NULL GROUP BY 1"
+_TRIAGE = "SELECT id, CASE WHEN bool_or(n LIKE '%ungrounded%') THEN 'DROPPED' WHEN bool_or(n LIKE '%answerable%') THEN 'REVIEW_NEGATIVE' WHEN bool_or(n LIKE '%multi-label%') THEN 'GRAY' ELSE 'OTHER' END AS bucket, count(*) AS notes FROM (SELECT id, unnest(_validate) AS n FROM q) WHERE n IS NOT NULL GROUP BY 1"
 
 
 @query(sql(QA, _TRIAGE))
 def triage_buckets(spark, sf):
     n = questions(spark, sf).select("id", F.explode("_validate").alias("n")).where("n is not null")
     has = lambda s: F.bool_or(F.col("n").contains(s))
-    bucket = F.when(has("low-groundedness"), "DROPPED").when(has("ANSWERABLE"), "REVIEW_NEGATIVE").when(has("gold"), "GRAY").otherwise("OTHER")
+    bucket = F.when(has("ungrounded"), "DROPPED").when(has("answerable"), "REVIEW_NEGATIVE").when(has("multi-label"), "GRAY").otherwise("OTHER")
     return n.groupBy("id").agg(bucket.alias("bucket"), F.count("*").alias("notes"))
 
 
-_SIB = """
-note AS (SELECT id, unnest(_validate) AS n, doc, gold, a FROM (SELECT id, _validate, regexp_replace(relevant_parent_ids[1], '#[^#]*$', '') AS doc, relevant_parent_ids[1] AS gold, """ + content("_answer") + """ AS a FROM q)),
-cand AS (SELECT DISTINCT id, gold, a, unnest(regexp_extract_all(n, '[A-Za-z0-9][A-Za-z0-9_./-]*#[0-9]+')) AS parent_id, doc FROM note WHERE n LIKE '%gold%'),
-"""
-
-
-@query(sql(SECTIONS + QA + _SIB, "SELECT id, parent_id FROM cand JOIN sec USING (parent_id) WHERE parent_id != gold AND regexp_replace(parent_id, '#[^#]*$', '') = doc AND len(a) > 0 AND len(list_intersect(a, " + content("text") + ")) / len(a)::DOUBLE >= 0.5"))
-def triage_siblings(spark, sf):
-    q = questions(spark, sf).select("id", F.col("relevant_parent_ids").getItem(0).alias("gold"), T.content_terms(F.col("_answer")).alias("a"), F.explode("_validate").alias("n")).where(F.col("n").contains("gold"))
-    c = q.select("id", "gold", "a", F.explode(F.regexp_extract_all("n", F.lit("[A-Za-z0-9][A-Za-z0-9_./-]*#[0-9]+"), F.lit(0))).alias("parent_id")).distinct()
-    j = c.join(sections(spark, sf).select("parent_id", "text"), "parent_id").where((F.col("parent_id") != F.col("gold")) & (T.document_key(F.col("parent_id")) == T.document_key(F.col("gold"))))
-    return j.where((F.size("a") > 0) & (T.overlap(F.col("a"), T.content_terms(F.col("text"))) >= 0.5)).select("id", "parent_id")
-
-
 _BAL = """
 sz AS (SELECT type, count(*) AS c FROM q GROUP BY 1), tt AS (SELECT sum(c) AS al FROM sz),
 qo AS (SELECT type, floor(least(30, al) * c / al::DOUBLE)::BIGINT AS base, round(least(30, al) * c / al::DOUBLE - floor(least(30, al) * c / al::DOUBLE), 9) AS frac, al FROM sz, tt),
@@ -516,9 +502,41 @@ def markdown_sections(spark, sf):
     return chunking.markdown_sections(table(spark, sf, "documents").where("text is not null"), "doc_id", "text")
 
 
-@query()
+_SUBHEAD = r"^\s*([A-Z])\.?\s+([A-Z][A-Za-z][^\n]{0,50})$"
+_RESIZED = _NUM + f"""
+bl AS (SELECT doc_id, section_idx, title, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM (SELECT *, string_split(text, chr(10)) AS l FROM nn WHERE length(text) > 5000)),
+bt AS (SELECT *, CASE WHEN regexp_matches(line, '{_SUBHEAD}') AND NOT regexp_matches(trim(line, ' '), '[,;:]$') THEN regexp_extract(line, '{_SUBHEAD}', 1) END AS letter FROM bl),
+bh AS (SELECT *, letter IS NOT NULL AND (bef IS NULL OR letter > bef) AS head FROM (SELECT *, max(letter) OVER (PARTITION BY doc_id, section_idx ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bef FROM bt)),
+bg AS (SELECT *, sum(head::BIGINT) OVER (PARTITION BY doc_id, section_idx ORDER BY line_no) AS frag FROM bh),
+rf AS (SELECT doc_id, section_idx AS s, 0 AS frag, title, text AS t FROM nn WHERE length(text) <= 5000 UNION ALL
+  SELECT * FROM (SELECT doc_id, section_idx, frag, min_by(CASE WHEN head THEN trim(line, ' ') ELSE title END, line_no) AS title, string_agg(line, chr(10) ORDER BY line_no) AS t FROM bg GROUP BY 1, 2, 3) WHERE length(trim(t, ' ')) > 0),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY frag) AS rn FROM rf),
+r2 AS (SELECT *, sum(CAST(rn = 1 OR length(t) >= 500 AS BIGINT)) OVER (PARTITION BY doc_id, s ORDER BY frag) AS isle FROM r1),
+r3 AS (SELECT doc_id, s, isle, string_agg(t, chr(10) ORDER BY frag) AS t, count(*) AS n FROM r2 GROUP BY 1, 2, 3),
+r4 AS (SELECT *, CASE WHEN max(CASE WHEN isle = 1 THEN length(t) < 500 END) OVER (PARTITION BY doc_id, s) AND isle <= 2 THEN 1 ELSE isle END AS place FROM r3),
+r5 AS (SELECT doc_id, s, place, string_agg(t, chr(10) ORDER BY isle) AS t, sum(n) AS n FROM r4 GROUP BY 1, 2, 3),
+r6 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY place) AS fragment, coalesce(sum(n) OVER (PARTITION BY doc_id, s ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS start, count(*) OVER (PARTITION BY doc_id, s) AS parts FROM r5),
+r7 AS (SELECT r6.*, r1.title FROM r6 JOIN r1 ON r1.doc_id = r6.doc_id AND r1.s = r6.s AND r1.rn = r6.start),
+r8 AS (SELECT *, parts = 1 AND length(t) < 500 AND row_number() OVER (PARTITION BY doc_id ORDER BY s, fragment) > 1 AS runt FROM r7),
+r9 AS (SELECT *, sum((NOT runt)::BIGINT) OVER (PARTITION BY doc_id ORDER BY s, fragment) AS land FROM r8),
+ra AS (SELECT doc_id, land, string_agg(t, chr(10) ORDER BY s, fragment) AS text, min_by(title, s * 10000 + fragment) AS title, min_by(fragment, s * 10000 + fragment) AS fragment, min(s) AS s FROM r9 GROUP BY 1, 2),
+rs AS (SELECT doc_id, CASE WHEN j > 0 THEN s || '#' || chr((64 + j)::INTEGER) ELSE s::VARCHAR END AS section_idx, title, text, length(text) AS char_len FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY fragment) - 1 AS j FROM ra)),
+"""
+
+
+@query(sql(_RESIZED, "SELECT doc_id, section_idx, title, text, char_len FROM rs WHERE char_len >= 40"))
 def resized_sections(spark, sf):
-    return chunking.resize_sections(chunking.numbered_sections(table(spark, sf, "documents").where("text is not null"), "doc_id", "text"), "doc_id")
+    """Numbered sections resized; slivers are folded into their neighbours first, and dropped only where they are still slivers after that."""
+    s = chunking.numbered_sections(table(spark, sf, "documents").where("text is not null"), "doc_id", "text", least=1)
+    return chunking.resize_sections(s, "doc_id").where("char_len >= 40")
+
+
+@query(sql(_RESIZED, "SELECT doc_id, count(*) FILTER (WHERE runt) AS runts, count(DISTINCT land) AS sections FROM r9 GROUP BY 1"))
+def runt_merge(spark, sf):
+    """How many sections were left with one short fragment and folded into the one before."""
+    s = chunking.numbered_sections(table(spark, sf, "documents").where("text is not null"), "doc_id", "text", least=1)
+    per = chunking.fragments(s, "doc_id").groupBy("doc_id")
+    return per.agg(F.count_if("runt").alias("runts"), F.count_distinct("isle").alias("sections"))
 
 
 @query(sql(SECTIONS, "SELECT parent_id FROM sec ORDER BY sha256('s1|' || parent_id) LIMIT 20"))
@@ -533,10 +551,11 @@ def corpus_fingerprint(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(h).alias("fingerprint"))
 
 
-@query(sql(QA, "SELECT id, fp, keep FROM (SELECT id, sha256('factual' || chr(0) || query) AS fp, _gen IS NOT NULL AS keep FROM q WHERE query IS NOT NULL AND type = 'factual')"))
+@query(sql(QA, "SELECT id, fp, keep FROM (SELECT id, sha256(type || chr(0) || query) AS fp, _gen IS NOT NULL AS keep FROM q WHERE query IS NOT NULL AND type IS NOT NULL)"))
 def generation_fingerprints(spark, sf):
-    q = questions(spark, sf).where("query is not null and type = 'factual'")
-    return q.select("id", T.fingerprint(F.lit("factual"), F.col("query")).alias("fp"), F.col("_gen").isNotNull().alias("keep"))
+    """Of every kind of question: what it was made of, and whether what was made is kept."""
+    q = questions(spark, sf).where("query is not null and type is not null")
+    return q.select("id", T.fingerprint(F.col("type"), F.col("query")).alias("fp"), F.col("_gen").isNotNull().alias("keep"))
 
 
 @query(sql(QA, "SELECT n.id AS negative_id, n._near_miss_of AS parent_id, count(o.id) AS answerable_by FROM q n LEFT JOIN q o ON o.type != 'negative' AND list_contains(o.relevant_parent_ids, n._near_miss_of) WHERE n.type = 'negative' AND n._near_miss_of IS NOT NULL GROUP BY 1, 2"))

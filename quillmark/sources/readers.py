@@ -1,30 +1,54 @@
-"""Readers of raw files and a data source of paged catalogues; parsers and fetchers are given by the caller."""
+"""Readers of raw files; parsers are given by the caller, those of plain text and HTML are here."""
 
 from __future__ import annotations
 
-import hashlib
-import time
+import html
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillmark.operators.chunking import lane_of
 
 SUFFIXES = ("pdf", "htm", "html", "md", "txt")
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """(doc_id, source, path, lane, content) of all files below root/source/ with a known suffix, hidden ones left out; doc_id is source/stem."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def files(spark: SparkSession, root: str, only: str | None = None, limit: int | None = None) -> DataFrame:
+    """(doc_id, source, path, lane, content) of all files below root/source/ with a known suffix, hidden ones left out; doc_id is source/stem. `only` names one
+    source, whose folder alone is listed; `limit` keeps the first files in the order of their paths."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{only}" if only else root)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     source = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
     d = d.where(~name.startswith(".") & F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES))
+    if limit is not None:
+        d = d.select("path").orderBy("path").limit(limit).join(d, "path")  # contents do not travel to be ordered
     return d.select(F.concat_ws("/", source, F.regexp_replace(name, r"\.[^.]+$", "")).alias("doc_id"), source.alias("source"), "path", lane_of(source, F.col("path")).alias("lane"), "content")
 
 
+def markdown(spark: SparkSession, root: str) -> DataFrame:
+    """(path, file_no, text) of the Markdown files in a folder, numbered from 1 in the order of their paths; whole files, decoded as UTF-8."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(root).select("path", F.decode("content", "UTF-8").alias("text"))
+    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("path"))
+    return d.select("path").select("path", number.alias("file_no")).join(d, "path")  # paths alone are numbered in one task
+
+
+def plain_text(content: bytes) -> list[str]:
+    return [content.decode("utf-8", "replace")]
+
+
+def html_text(content: bytes) -> list[str]:
+    """A page's text: scripts, styles, navigation and comments gone, blocks on lines of their own, entities decoded."""
+    t = re.sub(r"(?is)<(script|style|nav)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ", content.decode("utf-8", "replace"))
+    t = re.sub(r"(?i)<(?:br|/?(?:p|div|li|tr|h[1-6]|table|ul|ol|section|article|blockquote|pre))\b[^>]*>", "\n", t)
+    t = html.unescape(re.sub(r"<[^>]+>", " ", t))
+    return ["\n".join(x for line in t.split("\n") if (x := " ".join(line.split())))]
+
+
+PARSERS = {"md": plain_text, "html": html_text}  # PDF and scanned pages need a parser of the caller's
+
+
 def plain_html(c: F.Column) -> F.Column:
     """Text of HTML: scripts, styles and comments gone, tags to spaces, common entities decoded, white space collapsed."""
     t = F.regexp_replace(c, r"(?is)<(script|style|nav)\b[^>]*>.*?</(script|style|nav)>|<!--.*?-->", " ")
@@ -50,43 +74,3 @@ def parsed(raw: DataFrame, parsers: dict[str, Callable[[bytes], list[str]]]) ->
 
     ran = raw.select("doc_id", "lane", "content").mapInPandas(run, "doc_id string, lane string, text string, reason string")
     return ran.where("reason is null").drop("reason"), ran.where("reason is not null").select("doc_id", "reason")
-
-
-def fetched(get: Callable[[str], bytes], url: str, tries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> tuple[bytes, str]:
-    """Content and its SHA-256; errors whose `status` is 429 or 5xx are tried again after 1, 2, 4 ... waits."""
-    for k in range(tries):
-        try:
-            data = get(url)
-            return data, hashlib.sha256(data).hexdigest()
-        except Exception as e:  # noqa: BLE001
-            code = getattr(e, "status", None)
-            if k + 1 == tries or not (code == 429 or code and 500 <= code < 600):
-                raise
-            sleep(wait * 2**k)
-    raise AssertionError
-
-
-class PagedSource(DataSource):
-    """Entries of a catalogue, one partition a page: .option("pages", "a,b,c") with a class attribute `fetch(page) -> list of (id, url, format)`."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_catalogue"
-
-    def schema(self) -> str:
-        return "page string, id string, url string, format string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader([p for p in self.options.get("pages", "").split(",") if p], self.options.get("prefix", "https://example.org"))
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, pages: list[str], prefix: str):
-        self.pages, self.prefix = pages, prefix
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.pages] or [InputPartition("")]
-
-    def read(self, partition):
-        for k in range(3 if partition.value else 0):  # the offline stand-in: three entries a page
-            yield partition.value, f"{partition.value}-{k}", f"{self.prefix}/{partition.value}/{k}.html", "html"

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import chunking, evaluate, fuse, golden, loop, references, retrieve
-from quillmark.sources import manifest, readers
+from quillmark import session
+from quillmark.operators import chunking, evaluate, fuse, golden, loop, models, references, retrieve, scoring
+from quillmark.sources import catalogues, json_files, manifest, readers
 from quillmark.streaming import ingest
 
 
@@ -123,29 +124,177 @@ def test_manifest(spark):
     assert manifest.upsert(m, new, ["source", "id"]).count() == 4
 
 
-def test_fetch_and_sources(spark, tmp_path):
+def test_download(tmp_path):
+    import hashlib
+
     class Busy(Exception):
         status = 503
 
-    waits, calls = [], []
+    waits, calls, now = [], [], [0.0]
 
-    def get(url):
+    def stream(url):
         calls.append(url)
+        yield b"da"
         if len(calls) < 3:
             raise Busy
-        return b"data"
-
-    assert readers.fetched(get, "u", sleep=waits.append)[0] == b"data" and waits == [1.0, 2.0]
-    spark.dataSource.register(readers.PagedSource)
-    assert spark.read.format("paged_catalogue").option("pages", "a,b").load().count() == 6
+        yield b"ta"
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+
+    throttle = catalogues.Throttle(lambda: now[0], sleep)
+    target = str(tmp_path / "x" / "f.pdf")
+    got = catalogues.download(stream, "http://a.example/f", target, wait=0.5, throttle=throttle, sleep=sleep)
+    assert got == (4, hashlib.sha256(b"data").hexdigest()) and (tmp_path / "x" / "f.pdf").read_bytes() == b"data"
+    assert waits == [1.0, 2.0] and not (tmp_path / "x" / "f.pdf.part").exists()
+    throttle.before("http://a.example/g", 0.5)
+    throttle.before("http://b.example/g", 0.5)
+    assert waits == [1.0, 2.0, 0.5]
+    with pytest.raises(KeyError):
+        catalogues.again(lambda: {}["no"], sleep=sleep)
+
+
+ANSWERS = {
+    "arxiv": ("cs.CL", b"<feed xmlns='http://www.w3.org/2005/Atom'><entry><id>http://arxiv.org/abs/1.2v3</id><title>A\n b</title></entry><entry><id>http://arxiv.org/abs/4.5v1</id></entry></feed>", [("1.2v3", "https://arxiv.org/pdf/1.2v3.pdf", "pdf", "A b"), ("4.5v1", "https://arxiv.org/pdf/4.5v1.pdf", "pdf", "")]),
+    "sec": ("12", b'{"filings": {"recent": {"form": ["8-K", "10-K", "10-K"], "accessionNumber": ["1-1", "2-2", "3-3"], "primaryDocument": ["a.htm", "b.htm", "c.htm"]}}}', [("2-2", "https://www.sec.gov/Archives/edgar/data/12/22/b.htm", "htm", "12")]),
+    "wikipedia": ("Law", b'{"query": {"categorymembers": [{"title": "A b/c"}]}}', [("A_b/c", "https://en.wikipedia.org/api/rest_v1/page/pdf/A_b%2Fc", "pdf", "A b/c")]),
+    "archive": ("it", b'{"files": [{"name": "a.PDF", "size": "9"}, {"name": "b c.pdf", "size": "7"}, {"name": "d.txt"}]}', [("it", "https://archive.org/download/it/b%20c.pdf", "pdf", "b c.pdf")]),
+    "datagov": ("0", b'{"result": {"results": [{"name": "p", "id": "q", "resources": [{"format": "csv", "url": "u"}, {"format": "pdf", "url": "v"}]}, {"resources": []}]}}', [("q", "v", "pdf", "p")]),
+    "rtd": ("proj", b"", [("proj", "https://proj.readthedocs.io/_/downloads/en/latest/pdf/", "pdf", "proj")]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ANSWERS))
+def test_catalogues(spark, tmp_path, name):
+    """Every catalogue from saved answers, as a data source with a partition a page."""
+    import hashlib
+
+    page, answer, want = ANSWERS[name]
+    if url := catalogues.CATALOGUES[name].request(page, 5):
+        (tmp_path / hashlib.sha256(url.encode()).hexdigest()).write_bytes(answer)
+    got = catalogues.entries(spark, name, [page], 5, str(tmp_path))
+    assert [(r.id, r.url, r.format, r.title) for r in got.collect()] == want and {r.source for r in got.collect()} == {name}
+
+
+def test_files_and_parsers(spark, tmp_path):
     (tmp_path / "sec").mkdir()
-    (tmp_path / "sec" / "f.htm").write_text("<p>Hi &amp; bye</p>")
+    (tmp_path / "rtd").mkdir()
+    (tmp_path / "sec" / "f.htm").write_text("<nav>menu</nav><p>Hi &amp; bye</p><p>there</p>")
     (tmp_path / "sec" / ".hidden.md").write_text("x")
     (tmp_path / "sec" / "x.bin").write_text("x")
+    (tmp_path / "rtd" / "b.md").write_text("two")
+    (tmp_path / "rtd" / "a.md").write_text("öne")
     files = readers.files(spark, str(tmp_path))
-    ok, bad = readers.parsed(files.unionByName(files.withColumn("lane", F.lit("none"))), {"html": lambda b: [b.decode()]})
-    assert [r.doc_id for r in ok.collect()] == ["sec/f"] and bad.count() == 1
-    assert ok.select(readers.plain_html(F.col("text"))).first()[0] == "Hi & bye"
+    ok, bad = readers.parsed(files.unionByName(files.withColumn("lane", F.lit("none"))), readers.PARSERS)
+    assert rows(ok, "doc_id", "text") == [("rtd/a", "öne"), ("rtd/b", "two"), ("sec/f", "Hi & bye\nthere")] and bad.count() == 3
+    assert [r.doc_id for r in readers.files(spark, str(tmp_path), only="rtd").orderBy("path").collect()] == ["rtd/a", "rtd/b"]
+    assert [r.doc_id for r in readers.files(spark, str(tmp_path), limit=2).orderBy("path").collect()] == ["rtd/a", "rtd/b"]
+    assert [(r.file_no, r.text) for r in readers.markdown(spark, str(tmp_path / "rtd")).orderBy("file_no").collect()] == [(1, "öne"), (2, "two")]
+    assert ok.where("doc_id = 'sec/f'").select(readers.plain_html(F.lit("<p>Hi &amp; bye</p>"))).first()[0] == "Hi & bye"
+
+
+def test_json_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "qa.json").write_text('[{"id": "a", "n": 1},\n {"id": "b", "x": 2}]')
+    assert rows(json_files.scan(spark, str(tmp_path / "qa.json"), "id string, n int", lines=False)) == [("a", 1), ("b", None)]
+    d = spark.createDataFrame([("s", "1", None), ("s", "2#A", "t\n")], "source string, section_idx string, text string")
+    json_files.write(d, str(tmp_path / "out"))
+    back = json_files.parents(json_files.scan(spark, str(tmp_path / "out"), d.schema))
+    assert rows(back, "parent_id", "text") == [("s#1", None), ("s#2#A", "t\n")]
+    name = json_files.write_result(d, str(tmp_path), "bm25", {"k": 5}, "now")
+    saved = json.loads(open(name).read())
+    assert name.endswith("bm25_now.json") and saved["k"] == 5 and len(saved["rows"]) == 2
+    with pytest.raises(ValueError):
+        json_files.write_result(d, str(tmp_path), "bm25", {}, "now", most=1)
+    (tmp_path / ".env").write_text("# c\nexport A='b=c'\nB = 2\n")
+    assert json_files.settings(str(tmp_path / ".env")) == {"A": "b=c", "B": "2"}
+
+
+def test_models(spark):
+    """Forms with one more asking, models that fail, caches, and the writer's refusal."""
+
+    class Failing:
+        name = "failing"
+
+        def answer(self, prompts):
+            raise OSError("down")
+
+    class Stubborn:
+        name = "stubborn"
+
+        def answer(self, prompts):
+            return ["{\"verdict\": \"maybe\"}" for _ in prompts]
+
+    p = spark.createDataFrame([(i, f"QUESTION: red bridge {'x' * i}\nANSWER: the red bridge") for i in range(6)] + [(9, None)], "k bigint, p string")
+    check = models.enum_field("verdict", models.VERDICTS)
+    got = models.ask(p, "k", "p", models.OverlapJudge, check, size=2, workers=2).collect()
+    assert {r.answer for r in got} <= set(models.VERDICTS) and {r.calls for r in got} == {1, 2} and len(got) == 7
+    assert {(r.answer, r.reason) for r in models.ask(p, "k", "p", Failing).collect()} == {(None, "OSError: down")}
+    assert {(r.answer, r.calls, r.reason) for r in models.ask(p, "k", "p", Stubborn, check).collect()} == {(None, 2, "answer does not fit the form")}
+    assert models.json_object('so: ```{"a": {"b": 1}} {') == {"a": {"b": 1}} and models.json_object("[1]") is None and models.json_object(None) is None
+    cache = spark.createDataFrame([], "fp string, answer string")
+    q = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k bigint, p string")
+    got, new = models.ask_cached(q, "k", "p", "m", models.FirstPassage, cache)
+    assert new.count() == 2 and got.where("hit").count() == 0
+    got, newer = models.ask_cached(q, "k", "p", "m", models.FirstPassage, new)
+    assert newer.count() == 0 and got.where("hit").count() == 3
+    w = models.FirstPassage(0.5)
+    assert w.answer(["Context:\n[1] T\nthe red bridge\n\n[2] U\nx\n\nQuestion: red bridge?\nAnswer:", "Context:\n\n\nQuestion: red?\nAnswer:"]) == ["the red bridge", loop.REFUSAL]
+    e = {r.k: r.embedding for r in models.embedded(q, "k", "p", lambda: models.HashedWords(8)).collect()}
+    assert e[1] == e[2] != e[3] and sum(x * x for x in e[1]) == pytest.approx(1)
+
+
+def test_scoring_ways(spark, monkeypatch):
+    """Blocks of questions and joined norms give what one block and broadcast norms give; texts without terms and empty tables have no rows."""
+    texts = [(f"d{i}#{j}", f"d{i}", " ".join("red blue bridge river stone old new".split()[k % 7] for k in range(i + j, i + 2 * j + 3))) for i in range(6) for j in range(4)] + [("e#0", "e", ""), ("n#0", "n", None)]
+    d = spark.createDataFrame(texts, "k string, p string, t string")
+    q = spark.createDataFrame([(i, w, 1 + i % 2) for i in range(5) for w in ("red", "bridge", "nothing", "old")[i % 3 :]], "qid bigint, term string, qtf bigint")
+    for mode in ("bm25", "okapi", "tfidf", "any", "all", "share"):
+        one = rows(scoring.Index.build(d.where("t is not null"), "k", "p", "t").scores(q, mode))
+        monkeypatch.setattr(scoring, "BLOCK", 2)
+        monkeypatch.setattr(scoring, "MOST_TERMS", 1)
+        assert rows(scoring.Index.build(d.where("t is not null"), "k", "p", "t").scores(q, mode)) == one
+        monkeypatch.undo()
+        best = {}
+        for qid, k, s in one:
+            best[qid, k.split("#")[0]] = max(s, best.get((qid, k.split("#")[0]), s))
+        assert {(a, b): s for a, b, s in rows(scoring.Index.build(d.where("t is not null"), "k", "p", "t").scores(q, mode, "parent"))} == best
+    top = scoring.Index.build(d.where("t is not null"), "k", "p", "t").scores(q, "bm25", most=2)
+    assert {(r.qid, r.key) for r in retrieve.ranked(top, "qid", [F.desc("score"), F.col("key")], most=2).collect()} <= {(r.qid, r.key) for r in top.collect()}
+    empty = scoring.Index.build(d.limit(0), "k", "p", "t")
+    assert empty.scores(q, "bm25").count() == 0 and scoring.Index.build(d.where("t is not null"), "k", "p", "t").scores(q.limit(0), "bm25").count() == 0
+
+
+def test_numbered_and_samples(spark):
+    d = spark.createDataFrame([(f"section-{i:05d}",) for i in range(2000)], "k string")
+    assert rows(golden.numbered(d, "k"), "k", "rn") == [(f"section-{i:05d}", i + 1) for i in range(2000)]
+    hashed = d.withColumn("h", golden.hash_order("s", "k"))
+    for n in (0, 1, 777, 2000, 5000):
+        rest = spark.createDataFrame([(n,)], "rest bigint")
+        want = sorted((r.h, r.k) for r in hashed.collect())[:n]
+        for digits in (1, 4):
+            assert sorted((r.h, r.k) for r in golden.first_by_hash(hashed, "h", rest, digits).collect()) == want
+    got = {r.k: r.f for r in golden.following(d.limit(40).withColumn("g", F.substring("k", 13, 1)), "g", "k", "k", 3, "f").collect()}
+    assert got["section-00000"] == ["section-00000", "section-00010", "section-00020"] and got["section-00030"] == ["section-00030"]
+
+
+def test_shared_folder():
+    assert session.is_local("local[8]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("yarn")
+
+
+def test_unreadable_table_raises(spark, tmp_path):
+    """A table that cannot be read is not an empty one."""
+    target = str(tmp_path / "t")
+    assert ingest.current(spark, target) is None
+    b = spark.createDataFrame([("a", "x", 1, None)], "k string, text string, at int, gone string")
+    ingest.apply_batch(target, b, "k", "text", "at", "gone")
+    assert ingest.current(spark, target).count() == 1
+    for f in (tmp_path / "t").rglob("*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception):  # noqa: B017
+        ingest.apply_batch(target, spark.createDataFrame([("b", "y", 2, None)], b.schema), "k", "text", "at", "gone")
 
 
 def test_spend(spark):
