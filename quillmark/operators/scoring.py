@@ -158,7 +158,7 @@ class Index:
                         w = n * (K1 + 1) / (n + K1 * (1 - B + B * dl[r] / avgdl))
                     elif mode == "tfidf":
                         if every is None:
-                            norm = b.column(5).to_numpy()
+                            norm = b.column(5).to_numpy(zero_copy_only=False)
                         else:
                             x = tf / dl[row] * every[1][np.searchsorted(every[0], t)]
                             norm = np.sqrt(np.bincount(row, x * x, len(dl)))

@@ -338,9 +338,10 @@ def test_incremental_ingest(spark, tmp_path):
 def test_plan(spark, sf):
     from quillmark.plans import retrieval
 
-    d = retrieval.QUERIES["bm25_parent_rank"](spark, sf)
-    plan = d._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "CartesianProduct" not in plan
+    plan = retrieval.Corpus(spark, sf).children._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    plan = retrieval.QUERIES["bm25_parent_rank"](spark, sf)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<key:string,parent:bigint,dl:bigint,terms:array<bigint>,tf:array<int>>" in plan and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
 
 
 def test_resize(spark):
