@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from quillmark.functions.text import tokens
 from quillmark.session import written
 
-BLOCK = 256  # questions a block: their terms' weights are a matrix in every task
+BLOCK = 256  # questions a block: their terms' weights are in every task
+MOST_WEIGHTS = 5_000_000  # question terms that are collected at once; more of them block by block
 MOST_TERMS = 4_000_000  # up to so many terms the inverse document frequencies are broadcast for the norms, beyond they are joined
 ROWS = 256
 K1, B = 1.5, 0.75
@@ -67,6 +68,7 @@ class Index:
     stats: DataFrame
     n: int
     avgdl: float
+    _normed: tuple | None = None
 
     @classmethod
     def build(cls, df: DataFrame, key: str, parent: str, text: str) -> Index:
@@ -85,6 +87,11 @@ class Index:
 
     def normed(self) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
         """The rows for TF-IDF and, where the terms are few enough, all their inverse document frequencies; else the rows have a norm joined to them."""
+        if self._normed is None:
+            self._normed = self._find_norms()
+        return self._normed
+
+    def _find_norms(self) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
         if self.stats.count() <= MOST_TERMS:
             got = self.stats.select("h", self.idf("tfidf").alias("idf")).toPandas().sort_values("h")  # at most MOST_TERMS rows
             return self.rows, (got["h"].to_numpy(np.int64), got["idf"].to_numpy(np.float64))
@@ -99,26 +106,36 @@ class Index:
         mode: "bm25", "okapi" (frequent terms weigh a quarter of the mean), "tfidf" (cosine), "any" (a tenth for each position that matches), "all" (only texts
         with every term of the question), "share" (of the question's distinct terms). by "parent": a parent scores as its best text. With `most`, at least the
         `most` best of each question, and ties, are given."""
-        terms = written(q.select("qid", F.xxhash64("term").alias("h"), F.col("qtf").cast("double").alias("qtf")))
-        ids = [r.qid for r in terms.select("qid").distinct().orderBy("qid").collect()]  # the questions' ids
+        terms = q.select("qid", F.xxhash64("term").alias("h"), F.col("qtf").cast("double").alias("qtf"))
+        kind = terms.schema["qid"].dataType.simpleString()
+        rows = terms.limit(MOST_WEIGHTS + 1).collect()
+        if len(rows) <= MOST_WEIGHTS:
+            ids = sorted({r.qid for r in rows})
+            number = {x: k // BLOCK for k, x in enumerate(ids)}
+            blocks: list = [[] for _ in range(0, max(1, len(ids)), BLOCK)]
+            for r in rows:
+                blocks[number[r.qid]].append(r)
+        else:
+            terms = written(terms)
+            ids = [r.qid for r in terms.select("qid").distinct().orderBy("qid").collect()]  # the questions' ids
+            blocks = [terms.where(F.col("qid").isin(ids[k : k + BLOCK])) for k in range(0, len(ids), BLOCK)]
         mean = self.stats.agg(F.avg(self.idf("okapi"))).first()[0] if mode == "okapi" else 0.0
-        rows, every = self.normed() if mode == "tfidf" else (self.rows, None)
+        source, every = self.normed() if mode == "tfidf" else (self.rows, None)
         out = None
-        for k in range(0, max(1, len(ids)), BLOCK):
-            one = self._block(rows, every, terms.where(F.col("qid").isin(ids[k : k + BLOCK])) if len(ids) > BLOCK else terms, mode, mean, by, most)
+        for block in blocks:
+            one = self._block(source, every, block if isinstance(block, list) else block.collect(), kind, mode, mean, by, most)
             out = one if out is None else out.unionByName(one)
         return out
 
-    def _block(self, rows: DataFrame, every, terms: DataFrame, mode: str, mean: float, by: str, most: int | None) -> DataFrame:
+    def _block(self, rows: DataFrame, every, got: list, kind: str, mode: str, mean: float, by: str, most: int | None) -> DataFrame:
         spark = rows.sparkSession
-        wanted = F.broadcast(terms.select("h").distinct())  # of at most BLOCK questions
+        wanted = F.broadcast(spark.createDataFrame([(h,) for h in sorted({r.h for r in got})], "h bigint"))  # of at most BLOCK questions
         known = {r.h: r.idf for r in self.stats.join(wanted, "h").select("h", self.idf(mode).alias("idf")).collect()}
-        got = terms.collect()
         qids = sorted({r.qid for r in got})
         number = {x: j for j, x in enumerate(qids)}
         vocabulary = np.array(sorted(known), np.int64)
         place = {h: v for v, h in enumerate(vocabulary.tolist())}
-        weight = np.zeros((len(vocabulary), len(qids)))
+        weight = np.zeros((len(vocabulary), len(qids)))  # of at most BLOCK questions' terms
         need = np.zeros(len(qids))
         for r in got:
             need[number[r.qid]] += 1
@@ -131,14 +148,17 @@ class Index:
             weight /= np.where(size > 0, size, 1)
         elif mode == "share":
             weight /= np.maximum(need, 1)
-        shared = spark.sparkContext.broadcast((qids, vocabulary, weight, need, every, np.array([known[h] for h in vocabulary.tolist()])))
+        v, j = np.nonzero(weight)
+        lists = np.searchsorted(v, np.arange(len(vocabulary) + 1)), j, weight[v, j]  # of each term its questions and their weights
+        shared = spark.sparkContext.broadcast((qids, vocabulary, lists, need, every, np.array([known[h] for h in vocabulary.tolist()])))
         avgdl, column, parents = self.avgdl, 0 if by == "key" else 1, by == "parent"
         most = None if parents else most  # a parent may stand in several batches
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, vocabulary, weight, need, every, idf = shared.value
+            qids, vocabulary, (begin, asked, weight), need, every, idf = shared.value
             if not len(vocabulary):
                 return
+            size = np.diff(begin)
             names = pa.array(qids)
             floor = np.full(len(qids), -np.inf)
             best = np.full((len(qids), most), -np.inf) if most else None
@@ -165,9 +185,11 @@ class Index:
                         w = n / dl[r] * idf[v] / norm[r]
                     else:
                         w = n if mode == "any" else np.ones(len(n))
-                    first = np.flatnonzero(np.diff(r, prepend=-1))
-                    score = np.add.reduceat(weight[v] * w[:, None], first, axis=0)
-                    who = r[first]
+                    # of every hit the questions with its term, added up by text and question
+                    who, r = np.unique(r, return_inverse=True)
+                    many = size[v]
+                    at = np.arange(many.sum()) + np.repeat(begin[v] - (np.cumsum(many) - many), many)
+                    score = np.bincount(np.repeat(r * len(qids), many) + asked[at], weight[at] * np.repeat(w, many), len(who) * len(qids)).reshape(len(who), len(qids))
                     keep = score >= need - 1e-9 if mode == "all" else score != 0
                     if parents:  # children of a parent lie side by side
                         name = b.column(column).take(pa.array(who)).to_numpy(zero_copy_only=False)
@@ -182,8 +204,8 @@ class Index:
                     if len(i):
                         yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), b.column(column).take(pa.array(who[i])), pa.array(score[i, j])], ["qid", by, "score"])
 
-        kinds = terms.schema["qid"].dataType.simpleString(), rows.schema[by].dataType.simpleString()
+        kinds = kind, rows.schema[by].dataType.simpleString()
         out = rows.mapInArrow(run, f"qid {kinds[0]}, {by} {kinds[1]}, score double")
-        if parents:
-            out = out.groupBy("qid", by).agg(F.max("score").alias("score"))
+        if parents:  # by question at once, as the rankings are: one exchange for both
+            out = out.repartition("qid").groupBy("qid", by).agg(F.max("score").alias("score"))
         return out.withColumn("score", F.round("score", 6))
