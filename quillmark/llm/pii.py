@@ -64,7 +64,8 @@ ADDRESS = re.compile(
 # A place where an address may be has one of these (any white space as a space), or a box in any case.
 ANCHORS = [" Street", " St.", " St,", " Road", " Rd", " Avenue", " Ave", " Boulevard", " Blvd", " Lane", " Ln", " Drive", " Dr.", " Dr,", " Close", " Crescent", " Court", " Ct", " Terrace", " Place", " Pl.", " Way", " Square", " Sq", " Row", " Parkway", " Pkwy", " Highway", " Hwy", " Circle", " Mews", " Gardens", " Hill", " Walk", " Grove"]
 ANCHORS += ["straße", "strasse", "Straße", "Strasse", "str. ", "weg ", "platz ", "allee ", "gasse ", "Weg ", "Platz ", "Allee ", " rue ", " place ", " avenue ", " boulevard ", " chemin ", " allée ", " impasse ", " quai ", " route ", "Calle", "Avenida", "Plaza", "Paseo", "Camino", "Carrera", "C/"]
-BOX = re.compile(r"(?i)box|postfach|apartado|casilla|boîte postale|b\.p\.")
+BOXES = ("box", "postfach", "apartado", "casilla", "boîte postale", "b.p.")
+BOX = re.compile("(?i)" + "|".join(map(re.escape, BOXES)))
 SPACE = re.compile(r"[^\S ]")
 NUMBERS = re.compile(r"[\d(+][\d\s().\-/–‑]{5,}")
 NAME = re.compile(rf"(?<![\w&'’-])(?:([A-ZÀ-Þ][a-zà-ÿ]+|[A-ZÀ-Þ]{{3,}})((?:\s+[A-ZÀ-Þ]\.){{0,2}})\s+([A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)?)|([A-ZÀ-Þ]\.)((?:\s?[A-ZÀ-Þ]\.){{0,1}})\s+([A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)?)|([A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)?),\s+([A-ZÀ-Þ][a-zà-ÿ]+|[A-ZÀ-Þ]{{3,}}|[A-ZÀ-Þ]\.)((?:\s?[A-ZÀ-Þ]\.){{0,2}}))(?![\w@])")
@@ -185,16 +186,20 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
             i = end - n + 1
             if k != "name" or not i or not text[i - 1].isalnum():
                 at[k].append(i)
-    at["address"] += [m.start() for m in BOX.finditer(text)]
+    low = text.lower()
+    if any(w in low for w in BOXES):  # few texts have one
+        at["address"] += [m.start() for m in BOX.finditer(text)]
     for k in at.values():
         k.sort()
     for a, z in windows(text, at["email"], 120, 120):
         for m in EMAIL.finditer(text, a, z):
             add(m.start(), m.end(), "email")
-    for m in ACCOUNT.finditer(text):
-        if confirmed("account", m.group()):
-            add(m.start(), m.end(), "account")
-    runs = [(max(0, m.start() - 4), min(len(text), m.end() + 8)) for m in NUMBERS.finditer(text)]
+    numbers = [(m.start(), m.end()) for m in NUMBERS.finditer(text)]
+    runs = [(max(0, a - 4), min(len(text), z + 8)) for a, z in numbers]
+    for a, z in windows(text, [a for a, z in numbers if sum(map(str.isdigit, text[a:z])) >= 6], 30, 60):  # an account number holds six digits in a row at least
+        for m in ACCOUNT.finditer(text, a, z):
+            if confirmed("account", m.group()):
+                add(m.start(), m.end(), "account")
     for a, z in runs:
         for m in CARD.finditer(text, a, z):
             before = text[max(0, m.start() - 40) : m.start()]
