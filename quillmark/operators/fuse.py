@@ -23,6 +23,17 @@ def reciprocal(a: DataFrame, b: DataFrame, qid: str, key: str, c: int = 60, wa:
     return both.select(qid, key, F.round(score, 10).alias("score"))
 
 
+def reciprocal_columns(scores: DataFrame, qid: str, key: str, a: str, b: str, c: int = 60, fill: bool = False) -> DataFrame:
+    """(qid, key, score): the same of two columns of scores of one table, null where a ranking lacks the key; ranks are by score, then key."""
+    w = Window.partitionBy(qid)
+    ranked_ = scores
+    for x in (a, b):
+        place = F.row_number().over(w.orderBy(F.col(x).desc_nulls_last(), F.col(key)))
+        ranked_ = ranked_.withColumn(f"r_{x}", F.when(F.col(x).isNotNull(), place)).withColumn(f"n_{x}", F.count(x).over(w))
+    part = lambda x: 1.0 / (c + F.coalesce(f"r_{x}", F.col(f"n_{x}") + 1)) if fill else F.coalesce(1.0 / (c + F.col(f"r_{x}")), F.lit(0.0))
+    return ranked_.select(qid, key, F.round(part(a) + part(b), 10).alias("score"))
+
+
 def head_tail(order: DataFrame, rescored: DataFrame, qid: str, key: str) -> DataFrame:
     """(qid, key, score, rank): rescored keys first by their new scores, then the rest in their old order with score 0; scores of the two are never mixed."""
     head = ranked(rescored, qid, [F.desc("score"), F.col(key)], "pos").select(qid, key, "score", F.lit(0).alias("segment"), "pos")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.session import small
+
 #: An answer is a refusal only if it is exactly this.
 REFUSAL = "I cannot answer this from the provided context."
 
@@ -50,7 +52,7 @@ def priced(calls: DataFrame, prices: DataFrame, model: str, tokens_in: str, toke
     cache hits are free. Models are matched once each, not once a call."""
     names = calls.select(model).distinct()
     dear = prices.agg(F.max(F.struct("price_in", "price_out")).alias("d"))
-    match = names.join(F.broadcast(prices), F.col(model).startswith(F.col("prefix")), "left")  # a handful of price rows
+    match = names.join(small(prices, 10_000), F.col(model).startswith(F.col("prefix")), "left")
     best = match.groupBy(model).agg(F.max_by(F.struct("price_in", "price_out"), F.length("prefix")).alias("p")).crossJoin(F.broadcast(dear))
     best = best.select(model, F.coalesce("p.price_in", "d.price_in").alias("pin"), F.coalesce("p.price_out", "d.price_out").alias("pout"))
     usd = F.when(hit, 0.0).otherwise((F.col(tokens_in) * F.col("pin") + F.col(tokens_out) * F.col("pout")) / 1e6)

@@ -100,8 +100,9 @@ class Index:
         norm = post.join(self.stats.select("h", self.idf("tfidf").alias("idf")), "h").groupBy("key").agg(F.sqrt(F.sum(w * w)).alias("norm"))
         return self.rows.join(norm, "key", "left"), None
 
-    def scores(self, q: DataFrame, mode: str, by: str = "key", most: int | None = None) -> DataFrame:
-        """(qid, key or parent, score), rounded to 6 places, of questions q (qid, term, qtf) in any number: in blocks of BLOCK.
+    def scores(self, q: DataFrame, mode: str | tuple[str, ...], by: str = "key", most: int | None = None) -> DataFrame:
+        """(qid, key or parent, score), rounded to 6 places, of questions q (qid, term, qtf) in any number: in blocks of BLOCK. With several modes, one pass gives a
+        column for each, named like it, null where that mode has no score.
 
         mode: "bm25", "okapi" (frequent terms weigh a quarter of the mean), "tfidf" (cosine), "any" (a tenth for each position that matches), "all" (only texts
         with every term of the question), "share" (of the question's distinct terms). by "parent": a parent scores as its best text. With `most`, at least the
@@ -119,46 +120,51 @@ class Index:
             terms = written(terms)
             ids = [r.qid for r in terms.select("qid").distinct().orderBy("qid").collect()]  # the questions' ids
             blocks = [terms.where(F.col("qid").isin(ids[k : k + BLOCK])) for k in range(0, len(ids), BLOCK)]
-        mean = self.stats.agg(F.avg(self.idf("okapi"))).first()[0] if mode == "okapi" else 0.0
-        source, every = self.normed() if mode == "tfidf" else (self.rows, None)
+        modes = (mode,) if isinstance(mode, str) else mode
+        mean = self.stats.agg(F.avg(self.idf("okapi"))).first()[0] if "okapi" in modes else 0.0
+        source, every = self.normed() if "tfidf" in modes else (self.rows, None)
         out = None
         for block in blocks:
-            one = self._block(source, every, block if isinstance(block, list) else block.collect(), kind, mode, mean, by, most)
+            one = self._block(source, every, block if isinstance(block, list) else block.collect(), kind, modes, mean, by, most if len(modes) == 1 else None)
             out = one if out is None else out.unionByName(one)
         return out
 
-    def _block(self, rows: DataFrame, every, got: list, kind: str, mode: str, mean: float, by: str, most: int | None) -> DataFrame:
+    def _block(self, rows: DataFrame, every, got: list, kind: str, modes: tuple[str, ...], mean: float, by: str, most: int | None) -> DataFrame:
         spark = rows.sparkSession
         wanted = F.broadcast(spark.createDataFrame([(h,) for h in sorted({r.h for r in got})], "h bigint"))  # of at most BLOCK questions
-        known = {r.h: r.idf for r in self.stats.join(wanted, "h").select("h", self.idf(mode).alias("idf")).collect()}
+        df = {r.h: r for r in self.stats.join(wanted, "h").select("h", *[self.idf(m).alias(m) for m in modes]).collect()}
         qids = sorted({r.qid for r in got})
         number = {x: j for j, x in enumerate(qids)}
-        vocabulary = np.array(sorted(known), np.int64)
+        vocabulary = np.array(sorted(df), np.int64)
         place = {h: v for v, h in enumerate(vocabulary.tolist())}
-        weight = np.zeros((len(vocabulary), len(qids)))  # of at most BLOCK questions' terms
         need = np.zeros(len(qids))
         for r in got:
             need[number[r.qid]] += 1
-            if r.h in place:
-                idf = known[r.h]
-                w = {"any": 0.1, "all": 1.0, "share": 1.0}.get(mode) or r.qtf * (0.25 * mean if mode == "okapi" and idf < 0 else idf)
-                weight[place[r.h], number[r.qid]] += w
-        if mode == "tfidf":
-            size = np.sqrt((weight * weight).sum(axis=0))
-            weight /= np.where(size > 0, size, 1)
-        elif mode == "share":
-            weight /= np.maximum(need, 1)
-        v, j = np.nonzero(weight)
-        lists = np.searchsorted(v, np.arange(len(vocabulary) + 1)), j, weight[v, j]  # of each term its questions and their weights
-        shared = spark.sparkContext.broadcast((qids, vocabulary, lists, need, every, np.array([known[h] for h in vocabulary.tolist()])))
+        lists = []
+        for mode in modes:
+            weight = np.zeros((len(vocabulary), len(qids)))  # of at most BLOCK questions' terms
+            for r in got:
+                if r.h in place:
+                    idf = df[r.h][mode]
+                    w = {"any": 0.1, "all": 1.0, "share": 1.0}.get(mode) or r.qtf * (0.25 * mean if mode == "okapi" and idf < 0 else idf)
+                    weight[place[r.h], number[r.qid]] += w
+            if mode == "tfidf":
+                size = np.sqrt((weight * weight).sum(axis=0))
+                weight /= np.where(size > 0, size, 1)
+            elif mode == "share":
+                weight /= np.maximum(need, 1)
+            v, j = np.nonzero(weight)
+            # of each term its questions and their weights
+            lists.append((np.searchsorted(v, np.arange(len(vocabulary) + 1)), j, weight[v, j], np.array([df[h][mode] for h in vocabulary.tolist()])))
+        shared = spark.sparkContext.broadcast((qids, vocabulary, lists, need, every))
         avgdl, column, parents = self.avgdl, 0 if by == "key" else 1, by == "parent"
         most = None if parents else most  # a parent may stand in several batches
+        labels = ["score"] if len(modes) == 1 else list(modes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, vocabulary, (begin, asked, weight), need, every, idf = shared.value
+            qids, vocabulary, lists, need, every = shared.value
             if not len(vocabulary):
                 return
-            size = np.diff(begin)
             names = pa.array(qids)
             floor = np.full(len(qids), -np.inf)
             best = np.full((len(qids), most), -np.inf) if most else None
@@ -174,38 +180,43 @@ class Index:
                     if not len(hit):
                         continue
                     v, r, n = v[hit], row[hit], tf[hit]
-                    if mode in ("bm25", "okapi"):
-                        w = n * (K1 + 1) / (n + K1 * (1 - B + B * dl[r] / avgdl))
-                    elif mode == "tfidf":
-                        if every is None:
-                            norm = b.column(5).to_numpy(zero_copy_only=False)
-                        else:
-                            x = tf / dl[row] * every[1][np.searchsorted(every[0], t)]
-                            norm = np.sqrt(np.bincount(row, x * x, len(dl)))
-                        w = n / dl[r] * idf[v] / norm[r]
-                    else:
-                        w = n if mode == "any" else np.ones(len(n))
-                    # of every hit the questions with its term, added up by text and question
-                    who, r = np.unique(r, return_inverse=True)
-                    many = size[v]
-                    at = np.arange(many.sum()) + np.repeat(begin[v] - (np.cumsum(many) - many), many)
-                    score = np.bincount(np.repeat(r * len(qids), many) + asked[at], weight[at] * np.repeat(w, many), len(who) * len(qids)).reshape(len(who), len(qids))
-                    keep = score >= need - 1e-9 if mode == "all" else score != 0
+                    who, own = np.unique(r, return_inverse=True)
                     if parents:  # children of a parent lie side by side
                         name = b.column(column).take(pa.array(who)).to_numpy(zero_copy_only=False)
-                        run_ = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
-                        score = np.maximum.reduceat(np.where(keep, score, -np.inf), run_, axis=0)
-                        keep, who = score > -np.inf, who[run_]
+                        runs = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+                    found = []
+                    for mode, (begin, asked, weight, idf) in zip(modes, lists):
+                        if mode in ("bm25", "okapi"):
+                            w = n * (K1 + 1) / (n + K1 * (1 - B + B * dl[r] / avgdl))
+                        elif mode == "tfidf":
+                            if every is None:
+                                norm = b.column(5).to_numpy(zero_copy_only=False)
+                            else:
+                                x = tf / dl[row] * every[1][np.searchsorted(every[0], t)]
+                                norm = np.sqrt(np.bincount(row, x * x, len(dl)))
+                            w = n / dl[r] * idf[v] / norm[r]
+                        else:
+                            w = n if mode == "any" else np.ones(len(n))
+                        # of every hit the questions with its term, added up by text and question
+                        many = np.diff(begin)[v]
+                        at = np.arange(many.sum()) + np.repeat(begin[v] - (np.cumsum(many) - many), many)
+                        score = np.bincount(np.repeat(own * len(qids), many) + asked[at], weight[at] * np.repeat(w, many), len(who) * len(qids)).reshape(len(who), len(qids))
+                        score[~(score >= need - 1e-9) if mode == "all" else score == 0] = -np.inf
+                        found.append(np.maximum.reduceat(score, runs, axis=0) if parents else score)
+                    if parents:
+                        who = who[runs]
+                    keep = np.any([x > -np.inf for x in found], axis=0)
                     if most:
-                        keep &= score >= floor - 2e-6
-                        best = np.sort(np.concatenate([best, np.where(keep, score, -np.inf).T], axis=1), axis=1)[:, -most:]
+                        keep &= found[0] >= floor - 2e-6
+                        best = np.sort(np.concatenate([best, np.where(keep, found[0], -np.inf).T], axis=1), axis=1)[:, -most:]
                         floor = best[:, 0]
                     i, j = np.nonzero(keep)
                     if len(i):
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), b.column(column).take(pa.array(who[i])), pa.array(score[i, j])], ["qid", by, "score"])
+                        columns = [pa.array(x[i, j], mask=x[i, j] == -np.inf) for x in found]
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), b.column(column).take(pa.array(who[i])), *columns], ["qid", by, *labels])
 
         kinds = kind, rows.schema[by].dataType.simpleString()
-        out = rows.mapInArrow(run, f"qid {kinds[0]}, {by} {kinds[1]}, score double")
+        out = rows.mapInArrow(run, f"qid {kinds[0]}, {by} {kinds[1]}, " + ", ".join(f"{x} double" for x in labels))
         if parents:  # by question at once, as the rankings are: one exchange for both
-            out = out.repartition("qid").groupBy("qid", by).agg(F.max("score").alias("score"))
-        return out.withColumn("score", F.round("score", 6))
+            out = out.repartition("qid").groupBy("qid", by).agg(*[F.max(x).alias(x) for x in labels])
+        return out.select("qid", by, *[F.round(x, 6).alias(x) for x in labels])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import chunking, golden, retrieve
+from quillmark.operators.dense import DenseStore
 from quillmark.operators.scoring import Index
 from quillmark.plans import project as P
 from quillmark.plans import retrieval as R
@@ -278,3 +279,19 @@ def fulltext_cover(spark, sf):
     c = R.Corpus(spark, sf)
     need = c.terms_of.groupBy("qid").agg(F.count("*").alias("met"))
     return c.children_by("all").select("qid", "child_id").join(need, "qid").select("qid", "child_id", "met")
+
+
+_DENSE_PARENTS = _USABLE.replace("SELECT DISTINCT id, embedding AS e FROM langchain_pg_embedding WHERE", f"SELECT DISTINCT e.id, {_PARENT} AS parent, e.embedding AS e FROM langchain_pg_embedding e WHERE") + """
+sm AS (SELECT * FROM (SELECT id, e, row_number() OVER (ORDER BY sha256('s3|' || id), list_aggregate(e, 'sum')) AS rn FROM (SELECT DISTINCT id, e FROM u)) WHERE rn <= 20),
+dp AS (SELECT s.rn AS qid, u.parent, max(round(list_sum(list_transform(list_zip(s.e, u.e), lambda z: z[1]::DOUBLE * z[2])) / (sqrt(list_sum(list_transform(s.e, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(u.e, lambda x: x::DOUBLE * x)))), 6)) AS score FROM sm s, u GROUP BY 1, 2),
+"""
+
+
+@query(sql(_DENSE_PARENTS, "SELECT qid, parent, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent) AS rank FROM dp) WHERE rank <= 50"))
+def dense_parents(spark, sf):
+    """Sections ranked by their best vector, for 20 sampled vectors of a collection as queries."""
+    v = _vectors(spark, sf).where(F.col("collection_id").endswith("b3e2") & (F.size("embedding") == 64)).select("id", "parent_id", "embedding").distinct()
+    order = [golden.hash_order("s3", "id"), F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double"))]
+    q = _usable(spark, sf).select("id", "e").distinct().orderBy(*order).limit(20)
+    q = q.withColumn("qid", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("bigint")).select("qid", F.col("e").alias("vector"))  # 20 rows
+    return DenseStore(v, "id", "parent_id", "embedding").parents(written(q)).where("rank <= 50")

@@ -125,6 +125,18 @@ def rejudge(spark, sf):
     return both.select("qid", "before").join(again, "qid").groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
+@query(sql(_JUDGED, "SELECT qid, why FROM (SELECT qid, CASE WHEN positive AND loss != 'none' THEN 'cause' WHEN NOT positive THEN 'negative' WHEN row_number() OVER (PARTITION BY positive, loss = 'none' ORDER BY sha256('b0|' || qid)) <= 10 THEN 'control' END AS why FROM lo) WHERE why IS NOT NULL"))
+def slice_losses(spark, sf):
+    """A slice from a baseline run: the questions it lost, all negatives, and ten others as controls."""
+    c = R.Corpus(spark, sf)
+    top = written(c.parents_by("bm25").where("rank <= 5"))
+    base = _ended(c, written(_answered(c, spark, sf)), top).select("qid", "positive", "loss")
+    j = c.questions.select("qid").join(base, "qid", "left")
+    rn = F.row_number().over(Window.partitionBy("positive", F.col("loss") == "none").orderBy(golden.hash_order("b0", "qid")))
+    why = F.when(F.col("positive") & (F.col("loss") != "none"), "cause").when(~F.col("positive"), "negative").when(rn <= 10, "control")
+    return j.withColumn("why", why).where("why is not null").select("qid", "why")
+
+
 @query("SELECT doc_id, b AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 5) AS weight FROM (SELECT doc_id, ('0x' || left(sha256(w), 4))::BIGINT % 64 AS b, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(" + tok("text") + ") AS w FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2)")
 def embed_documents(spark, sf):
     """Vectors by the offline embedder, as (doc_id, bucket, weight)."""

@@ -61,7 +61,12 @@ class Corpus:
         return self.questions.select("qid", F.when(F.length("query") < 200, "short").otherwise("long").alias("kind"))
 
     def hybrid(self) -> DataFrame:
-        both = fuse.reciprocal(self.parents_by("tfidf"), self.parents_by("bm25"), "qid", "doc_id", fill=True)
+        return self.fused(self.forward)
+
+    def fused(self, ix: Index) -> DataFrame:
+        """Both rankings of the parents from one pass over an index, fused by rank."""
+        s = ix.scores(self.terms_of, ("tfidf", "bm25"), "parent").withColumnRenamed("parent", "doc_id")
+        both = fuse.reciprocal_columns(s, "qid", "doc_id", "tfidf", "bm25", fill=True)
         return retrieve.ranked(both, "qid", [F.desc("score"), F.col("doc_id")])
 
 
@@ -276,7 +281,8 @@ cr AS (SELECT qid, child_id, round(sum(s), 10) AS score FROM (SELECT qid, child_
 
 
 def _child_rrf(c: Corpus) -> DataFrame:
-    return fuse.reciprocal(child_order(c.children_by("tfidf")), child_order(c.children_by("bm25")), "qid", "child_id")
+    s = c.forward.scores(c.terms_of, ("tfidf", "bm25")).withColumnRenamed("key", "child_id")
+    return fuse.reciprocal_columns(s, "qid", "child_id", "tfidf", "bm25")
 
 
 @query(sql(WINDOWS + BM25 + TFIDF + CHILD_RRF, "SELECT qid, child_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM cr) WHERE rank <= 20"))
@@ -388,7 +394,9 @@ def _rrf_blurb(spark, sf, lexical: str) -> DataFrame:
     c = Corpus(spark, sf)
     b = _blurbed(spark, sf, c)
     blurbed = Index.build(b, "child_id", "doc_id", "text")
-    both = fuse.reciprocal(c.parents_by("tfidf", ix=blurbed), c.parents_by("bm25", ix=blurbed if lexical == "blurbed" else c.forward), "qid", "doc_id", fill=True)
+    if lexical == "blurbed":
+        return c.fused(blurbed).where("rank <= 50")
+    both = fuse.reciprocal(c.parents_by("tfidf", ix=blurbed), c.parents_by("bm25"), "qid", "doc_id", fill=True)
     return retrieve.ranked(both, "qid", [F.desc("score"), F.col("doc_id")], most=50)
 
 

@@ -1,4 +1,4 @@
-"""Readers of raw files; parsers are given by the caller, those of plain text and HTML are here."""
+"""Readers of raw files; parsers are given by the caller, those of plain text, HTML and simple PDF files are here."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.operators.chunking import lane_of
+from quillmark.sources.pdf import page_texts
 
 SUFFIXES = ("pdf", "htm", "html", "md", "txt")
 
@@ -46,7 +47,7 @@ def html_text(content: bytes) -> list[str]:
     return ["\n".join(x for line in t.split("\n") if (x := " ".join(line.split())))]
 
 
-PARSERS = {"md": plain_text, "html": html_text}  # PDF and scanned pages need a parser of the caller's
+PARSERS = {"md": plain_text, "html": html_text, "pdf": page_texts}  # scanned pages need a parser of the caller's
 
 
 def plain_html(c: F.Column) -> F.Column:

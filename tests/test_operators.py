@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark import session
-from quillmark.operators import chunking, evaluate, fuse, golden, loop, models, references, retrieve, scoring
+from quillmark.operators import chunking, dense, evaluate, fuse, golden, loop, models, references, retrieve, scoring
 from quillmark.sources import catalogues, json_files, manifest, readers
+from quillmark.sources.pdf import page_texts as pdf_texts
 from quillmark.streaming import ingest
 
 
@@ -194,6 +195,20 @@ def test_files_and_parsers(spark, tmp_path):
     assert ok.where("doc_id = 'sec/f'").select(readers.plain_html(F.lit("<p>Hi &amp; bye</p>"))).first()[0] == "Hi & bye"
 
 
+def test_pdf_pages():
+    import zlib
+
+    one = zlib.compress(b"BT /F1 12 Tf 72 700 Td (First \\(line\\)) Tj 0 -14 Td [(sec) -20 (ond) -300 (line)] TJ ET")
+    two = b"BT (caf\\351) Tj T* <414243> Tj ET"
+    pdf = b"%PDF-1.4\n" + b"".join([
+        b"1 0 obj << /Type /Pages /Kids [2 0 R 3 0 R] /Count 2 >> endobj\n", b"2 0 obj << /Type /Page /Contents 4 0 R >> endobj\n", b"3 0 obj << /Type /Page /Contents [5 0 R] >> endobj\n",
+        b"4 0 obj << /Length %d /Filter /FlateDecode >> stream\n" % len(one) + one + b"\nendstream endobj\n", b"5 0 obj << /Length %d >> stream\n" % len(two) + two + b"\nendstream endobj\n",
+    ])
+    assert pdf_texts(pdf) == ["First (line)\nsecond line", "caf\u00e9\nABC"]
+    with pytest.raises(ValueError):
+        pdf_texts(b"no pdf")
+
+
 def test_json_files(spark, tmp_path):
     import json
 
@@ -267,6 +282,16 @@ def test_scoring_ways(spark, monkeypatch):
     assert empty.scores(q, "bm25").count() == 0 and scoring.Index.build(d.where("t is not null"), "k", "p", "t").scores(q.limit(0), "bm25").count() == 0
 
 
+def test_dense_store(spark):
+    v = spark.createDataFrame([("a#1", "a", [1.0, 0.0]), ("a#2", "a", [0.0, 2.0]), ("b#1", "b", [3.0, 3.0]), ("n", "n", None), ("z", "z", [0.0, 0.0]), ("x", "x", [1.0, None]), ("l", "l", [1.0, 1.0, 1.0]), ("i", "i", [float("nan"), 1.0])], "k string, p string, e array<double>")
+    store = dense.DenseStore(v, "k", "p", "e")
+    q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 1.0])], "qid bigint, vector array<double>")
+    assert rows(store.retrieve(q, 2), "qid", "key", "score") == [(1, "a#1", 1.0), (1, "b#1", 0.707107), (2, "a#1", 0.707107), (2, "b#1", 1.0)]
+    assert rows(store.parents(q), "qid", "parent", "rank") == [(1, "a", 1), (1, "b", 2), (2, "a", 2), (2, "b", 1)]
+    with pytest.raises(ValueError):
+        dense.DenseStore(v, "k", "p", "e", most_queries=1).scores(q)
+
+
 def test_numbered_and_samples(spark):
     d = spark.createDataFrame([(f"section-{i:05d}",) for i in range(2000)], "k string")
     assert rows(golden.numbered(d, "k"), "k", "rn") == [(f"section-{i:05d}", i + 1) for i in range(2000)]
