@@ -1,4 +1,4 @@
-"""Rankings of all questions at once: TF-IDF, BM25 and full-text over postings, dense over vectors."""
+"""Similarity and ranking of scores of all questions at once."""
 
 from __future__ import annotations
 
@@ -8,46 +8,6 @@ from pyspark.sql import functions as F
 from quillmark.session import small
 
 
-def bm25(post: DataFrame, terms: DataFrame, stats: DataFrame, q: DataFrame, qid: str, key: str, k1: float = 1.5, b: float = 0.75, idf_mode: str = "positive") -> DataFrame:
-    """(qid, key, score), rounded to 6 places. idf_mode "positive": ln(1 + (N - df + .5) / (df + .5)); "okapi": ln((N - df + .5) / (df + .5)), where negative ones
-    are replaced by a quarter of the mean. The query's terms select their postings by a join on the term; statistics are one row."""
-    one = F.broadcast(stats)
-    t = terms.crossJoin(one)  # a single row
-    if idf_mode == "positive":
-        t = t.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    else:
-        t = t.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        mean = F.broadcast(t.agg(F.avg("raw").alias("mean")))
-        t = t.crossJoin(mean).withColumn("idf", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")))
-    wanted = q.join(t.select("term", "idf", "avgdl"), "term")
-    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return post.join(wanted, "term").groupBy(qid, key).agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def tfidf(post: DataFrame, terms: DataFrame, stats: DataFrame, q: DataFrame, qid: str, key: str) -> DataFrame:
-    """(qid, key, score): cosine of L2-normalised tf * (ln((1 + N) / (1 + df)) + 1)."""
-    t = terms.crossJoin(F.broadcast(stats)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = post.join(t, "term").withColumn("w", F.col("tf") / F.col("dl") * F.col("idf"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    qw = q.join(t, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
-    qnorm = qw.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dot = w.join(qw.select(qid, "term", "qw"), "term").groupBy(qid, key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dot.join(norm, key).join(qnorm, qid).select(qid, key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
-
-
-def fulltext_or(post: DataFrame, q: DataFrame, qid: str, key: str) -> DataFrame:
-    """(qid, key, score): texts with any of the query's terms; every matching position counts a tenth. q: distinct content terms."""
-    return post.join(q.select(qid, "term").distinct(), "term").groupBy(qid, key).agg(F.round(F.sum("tf") * 0.1, 6).alias("score"))
-
-
-def fulltext_and(post: DataFrame, q: DataFrame, qid: str, key: str) -> DataFrame:
-    """(qid, key): texts with all of the query's distinct terms, stop words included."""
-    need = q.groupBy(qid).agg(F.count_distinct("term").alias("need"))
-    met = post.join(q.select(qid, "term").distinct(), "term").groupBy(qid, key).agg(F.count("*").alias("met"))
-    return met.join(need, qid).where("met = need").select(qid, key)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

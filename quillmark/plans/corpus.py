@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import chunking, golden, retrieve
-from quillmark.operators.dense import DenseStore
+from quillmark.operators.dense import DenseStore, approximate
 from quillmark.operators.scoring import Index
 from quillmark.plans import project as P
 from quillmark.plans import retrieval as R
@@ -295,3 +295,13 @@ def dense_parents(spark, sf):
     q = _usable(spark, sf).select("id", "e").distinct().orderBy(*order).limit(20)
     q = q.withColumn("qid", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("bigint")).select("qid", F.col("e").alias("vector"))  # 20 rows
     return DenseStore(v, "id", "parent_id", "embedding").parents(written(q)).where("rank <= 50")
+
+
+@query()
+def ann_lsh_recall(spark, sf):
+    """How many of the ten nearest the approximate search finds, for every vector whose id is divisible by 20 against all."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    exact = P.QUERIES["dense_topk"](spark, sf).select("qid", F.col("vec_id").alias("key"))
+    got = approximate(e, q, "vec_id", "embedding").select("qid", "key", F.lit(1).alias("found"))
+    return exact.join(got, ["qid", "key"], "left").agg(F.count("*").alias("nearest"), F.count("found").alias("found"), F.round(F.count("found") / F.count("*"), 4).alias("recall"))

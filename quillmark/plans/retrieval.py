@@ -359,8 +359,8 @@ def top8_children_top3_parents(spark, sf):
     return retrieve.ranked(first, "qid", [F.col("best_rank")], most=3)
 
 
-BLURB = """
-titled AS (SELECT c.child_id, c.doc_id, c.chunk, 'This passage is from ' || coalesce(d.source, '') || ', section ''' || coalesce(d.title, '') || ''', about: ' || array_to_string(string_split(c.chunk, ' ')[1:8], ' ') || '.' AS blurb
+BLURB = f"""
+titled AS (SELECT c.child_id, c.doc_id, c.chunk, 'This passage is from ' || coalesce(d.source, '') || ', section ''' || trim(regexp_replace(coalesce(d.title, ''), '{T.WS}+', ' ', 'g'), ' ') || ''', about: ' || array_to_string(string_split(c.chunk, ' ')[1:8], ' ') || '.' AS blurb
   FROM children c JOIN documents d USING (doc_id)),
 """
 
@@ -368,7 +368,7 @@ titled AS (SELECT c.child_id, c.doc_id, c.chunk, 'This passage is from ' || coal
 def _blurbed(spark: SparkSession, sf: str, c: Corpus) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "source", "title")
     first = F.array_join(F.slice(F.split("chunk", " "), 1, 8), " ")
-    blurb = F.concat(F.lit("This passage is from "), F.coalesce("source", F.lit("")), F.lit(", section '"), F.coalesce("title", F.lit("")), F.lit("', about: "), first, F.lit("."))
+    blurb = F.concat(F.lit("This passage is from "), F.coalesce("source", F.lit("")), F.lit(", section '"), T.squeezed(F.coalesce("title", F.lit(""))), F.lit("', about: "), first, F.lit("."))
     return c.children.join(d, "doc_id").select("child_id", "doc_id", F.col("chunk").alias("raw_text"), blurb.alias("blurb")).withColumn("text", F.concat_ws("\n", "blurb", "raw_text"))
 
 

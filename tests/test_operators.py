@@ -309,6 +309,21 @@ def test_shared_folder():
     assert session.is_local("local[8]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("yarn")
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    target = str(tmp_path / "t")
+    b = spark.createDataFrame([(f"k{i}", "x", 1, None) for i in range(50)], "k string, text string, at int, gone string")
+    ingest.apply_batch(target, b, "k", "text", "at", "gone", keep=2, buckets=8)
+    one = ingest.version(spark, target)
+    ingest.apply_batch(target, spark.createDataFrame([("k1", "y", 2, None), ("k1", "old", 0, None)], b.schema), "k", "text", "at", "gone", keep=2)
+    two = ingest.version(spark, target)
+    assert (two.number, two.buckets, len(one.folders)) == (1, 8, 8) and sum(one.folders[k] != f for k, f in two.folders.items()) == 1
+    ingest.apply_batch(target, spark.createDataFrame([(f"k{i}", None, 3, "z") for i in range(50)], b.schema), "k", "text", "at", "gone", keep=2)
+    assert ingest.current(spark, target).count() == 0 and ingest.versions(spark, target) == ["v-0000000001", "v-0000000002"]
+    assert spark.read.schema(two.schema).parquet(*(f"{target}/{f}" for f in two.folders.values())).where("text = 'y'").count() == 1
+    ingest.apply_batch(target, spark.createDataFrame([("n", "new", 4, None)], b.schema), "k", "text", "at", "gone", keep=2)
+    assert rows(ingest.current(spark, target), "k", "text") == [("n", "new")]
+
+
 def test_unreadable_table_raises(spark, tmp_path):
     """A table that cannot be read is not an empty one."""
     target = str(tmp_path / "t")
@@ -318,6 +333,10 @@ def test_unreadable_table_raises(spark, tmp_path):
     assert ingest.current(spark, target).count() == 1
     for f in (tmp_path / "t").rglob("*.parquet"):
         f.write_bytes(b"broken")
+    with pytest.raises(Exception):  # noqa: B017
+        ingest.apply_batch(target, spark.createDataFrame([("a", "y", 2, None)], b.schema), "k", "text", "at", "gone")
+    for f in (tmp_path / "t" / "v-0000000000").glob("part-*"):
+        f.write_text("broken")
     with pytest.raises(Exception):  # noqa: B017
         ingest.apply_batch(target, spark.createDataFrame([("b", "y", 2, None)], b.schema), "k", "text", "at", "gone")
 

@@ -15,7 +15,11 @@ def test_same_as_sql(spark, sf, duck, name):
 
 def test_names_and_schemas(spark, sf):
     assert set(catalogue.SQL) <= set(catalogue.QUERIES)
-    assert not [n for n in catalogue.QUERIES if n not in catalogue.SQL and n not in ("recursive_split", "resized_sections")]
+    assert not [n for n in catalogue.QUERIES if n not in catalogue.SQL and n not in ("recursive_split", "ann_lsh_recall")]
+
+
+def test_approximate_recall(spark, sf):
+    assert catalogue.QUERIES["ann_lsh_recall"](spark, sf).first().recall >= 0.9
 
 
 def test_entry(spark):
