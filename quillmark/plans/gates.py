@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import chunking, golden, loop, models, retrieve
+from quillmark.operators import golden, loop, models
 from quillmark.plans import project as P
 from quillmark.plans import retrieval as R
 from quillmark.session import drop_at_exit, shared_dir, table, written
 from quillmark.sources import json_files
-from quillmark.sources import manifest as M
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
