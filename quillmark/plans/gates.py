@@ -156,9 +156,10 @@ def cached_answers(spark, sf):
 
 _TEMPLATES = {
     "factual": "Write one question that the passage answers.\nTitle: {title}\nPassage:\n{text}\nReply as JSON with question and answer.",
+    "near_miss": "Write one question on the matter of the passage that the passage does not answer.\nTitle: {title}\nPassage:\n{text}\nReply as JSON with question.",
     "blurb": "Say in one sentence what the passage is about and where it is from.\nSource: {source}\nTitle: {title}\nPassage:\n{text}",
 }
-_BUDGET = {"factual": 3000, "blurb": 3500}
+_BUDGET = {"factual": 3000, "near_miss": 3500, "blurb": 3500}
 
 
 def _filled(template: str, most: int) -> F.Column:
@@ -186,6 +187,22 @@ def prompt_templates(spark, sf):
     return out
 
 
+_REWORD, _NEGATIVE = "Say the question in other words and keep its meaning.\nQuestion: ", "Write one question that none of these sections answers.\nTitles: "
+_LINE = lambda t: "'" + t.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(sql(P.QA, f"SELECT id, sha256({_LINE(_REWORD)} || query) AS prompt_hash FROM q WHERE type = 'factual' AND query IS NOT NULL"))
+def prompt_paraphrases(spark, sf):
+    """The prompts that reword the factual questions."""
+    return P.questions(spark, sf).where("type = 'factual' and query is not null").select("id", F.sha2(F.concat(F.lit(_REWORD), "query"), 256).alias("prompt_hash"))
+
+
+@query(f"SELECT parent_id, sha256({_LINE(_NEGATIVE)} || titles) AS prompt_hash FROM ({P.SQL['title_window']})")
+def prompt_negatives(spark, sf):
+    """The prompts for negatives: a section's title and the eleven after it."""
+    return P.QUERIES["title_window"](spark, sf).select("parent_id", F.sha2(F.concat(F.lit(_NEGATIVE), "titles"), 256).alias("prompt_hash"))
+
+
 # ---- loop: sets, retries, hits in any pass
 _SETS = P._loop_sql() + "ss AS (SELECT qid, max(o) >= 0.8 AS good, count(*) AS n FROM gr0 GROUP BY 1),"
 
