@@ -89,8 +89,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores: a table of a few splits would keep the others idle while its texts are worked on. Tables of more
-    splits, as any large one, are not moved."""
+    splits, as any large one, are not moved, nor is what an exchange gives (asking for its partitions would run it)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
