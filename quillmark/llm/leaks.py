@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.filters import Filter, bloom
 from quillmark.llm.shingles import TOKEN_CLASS, _power, mix
-from quillmark.session import written
+from quillmark.session import spread, written
 
 FILTER_BITS = 22
 PLACES = 1 << 36  # more than an item has characters
@@ -248,6 +248,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     """
     spark = documents.sparkSession
     d = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).alias("text")).where("doc_id is not null and text is not null")
+    d = spread(d)
     i = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and length(text) > 0").distinct()
     total = i.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     groups = max(1, -(-total // most_bytes))

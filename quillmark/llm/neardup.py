@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.filters import Filter, bloom
 from quillmark.llm.shingles import HASH_BITS, M1, blocks, mix, shingle_sets
-from quillmark.session import small, written
+from quillmark.session import small, spread, written
 
 LEAST_SKETCH, MOST_SKETCH = 16, 24  # bits; at most 16 MB are broadcast
 HOT = 1 << 15  # sets in a block of a divided list
@@ -354,7 +354,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     spark = df.sparkSession
     least = width if least_tokens is None else least_tokens
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    src = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
+    src = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null"))
     levels, lengths, mean = sketch(src.select("text"), width, least, threshold)
     limit = boundary(lengths, levels)
     shared = spark.sparkContext.broadcast(levels.tobytes())

@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.session import written
+from quillmark.session import spread, written
 
 TOKENIZER = os.environ.get("QUILLMARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the public pattern of this vocabulary
@@ -45,7 +45,7 @@ def encoding(path: str):
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(key, tokens): tokens of whole texts; null texts have none."""
-    d = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    d = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = d.schema["key"].dataType.simpleString()
     context = df.sparkSession.sparkContext
     if (context.applicationId, tokenizer) not in _added:  # executors need not have the file

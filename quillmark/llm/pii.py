@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.session import spread
+
 ACCEPT = 0.5
 S = r"[\s.\-‑–/]"
 AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|AT|arroba|@)\s?[\])}>]\s?|\s(?:at|AT)\s(?=[\w-]+\s(?:dot|DOT)\s))"
@@ -267,7 +269,7 @@ def spans(documents: DataFrame, names: DataFrame, key: str = "doc_id", text: str
     any length are read whole. No shuffle but for repeated rows."""
     rows = _list(names, word, kind)
     shared = documents.sparkSession.sparkContext.broadcast(rows)
-    d = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and length(text) > 0")
+    d = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and length(text) > 0"))
     key_type = d.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,7 +284,7 @@ def spans(documents: DataFrame, names: DataFrame, key: str = "doc_id", text: str
 def redacted(documents: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", word: str = "word", kind: str = "word_kind") -> DataFrame:
     """(key, text, spans): every row of documents, its text with typed placeholders, and how many there are; null texts stay null."""
     shared = documents.sparkSession.sparkContext.broadcast(_list(names, word, kind))
-    d = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    d = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
     key_type = d.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

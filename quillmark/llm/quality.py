@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.languages import FUNCTION, RANKED
+from quillmark.session import spread
 
 PROFILES_LANG = {k: {w: 1 / (i + 2) for i, w in enumerate(v)} for k, v in RANKED.items()}
 CLASSES = ("function", "word", "name", "number", "cell", "leader", "marker", "noise")
@@ -220,7 +221,7 @@ def text_statistics(df: DataFrame, key: str, text: str, title: str | None = None
 
     A null text has counts of 0 and no kind; an empty or blank one is junk (without content); a null title has no title_kind. Null keys stay null keys; an
     empty table gives no rows; extra columns are ignored; texts of any length are read whole."""
-    d = df.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(title) if title else F.lit(None)).cast("string").alias("title"))
+    d = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(title) if title else F.lit(None)).cast("string").alias("title")))
     kind = d.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

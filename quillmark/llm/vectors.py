@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.shingles import M3, mix
-from quillmark.session import small, written
+from quillmark.session import small, spread, written
 
 FIT_ROWS = 65_536  # the bound of the fitting sample
 EPSILON = 1.9  # of the code's error bound, in standard deviations
@@ -33,7 +33,7 @@ def usable(df: DataFrame, id_col: str, group_col: str, vector_col: str, dims: di
     """(id, grp, h, d, v): rows with a vector of their group's length, finite and not zero, as normalised 32-bit numbers; h names the vector. Without `dims`, a
     group's length is its most frequent one (ties: the longer). Null ids and groups take no part; a row delivered twice stays twice here."""
     d = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(vector_col).cast("array<float>").alias("v"))
-    d = d.where("id is not null and grp is not null and size(v) > 0")
+    d = spread(d.where("id is not null and grp is not null and size(v) > 0"))
     if dims is None:
         n = d.groupBy("grp", F.size("v").alias("d")).count().groupBy("grp").agg(F.max(F.struct("count", "d")).alias("m")).select("grp", F.col("m.d").alias("dim"))
     else:
