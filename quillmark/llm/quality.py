@@ -143,16 +143,17 @@ def class_counts(text: str, known: Classes) -> Counter:
 
 
 def divergence(p: dict, q: dict) -> float:
-    """Jensen-Shannon, base 2: 0 for equal distributions, 1 for disjoint ones. Weights need not be normalised."""
+    """Jensen-Shannon, base 2: 0 for equal distributions, 1 for disjoint ones. Weights need not be normalised. Only keys of both are visited: what one side
+    alone has adds half its share, and the shares add up to 1."""
     sp, sq = sum(p.values()), sum(q.values())
     if not sp or not sq:
         return 1.0
     total = 0.0
-    for k in p.keys() | q.keys():
-        a, b = p.get(k, 0) / sp, q.get(k, 0) / sq
-        m = (a + b) / 2
-        total += (a * math.log2(a / m) if a else 0) + (b * math.log2(b / m) if b else 0)
-    return total / 2
+    for k in p:
+        if k in q:
+            a, b = p[k] / sp, q[k] / sq
+            total += (a * math.log2(a / (a + b)) if a else 0) + (b * math.log2(b / (a + b)) if b else 0)
+    return max(0.0, 1 + total / 2)
 
 
 class Profiles:
@@ -198,8 +199,7 @@ def statistics(text: str | None, title: str | None, known: Classes) -> dict:
     lines = [x for x in t.split("\n") if x.strip()]
     words = [w.lower() for w in WORD.findall(t)]
     common = Counter(w for w in words if w in FUNCTION)
-    most = sorted(RANKED, key=lambda k: -sum(c for w, c in common.items() if w in PROFILES_LANG[k]))[:2]
-    far_of = {k: divergence(common, PROFILES_LANG[k]) for k in most} if common else {}
+    far_of = {k: divergence(common, v) for k, v in PROFILES_LANG.items()} if common else {}
     lang = min(far_of, key=far_of.get) if far_of else None
     kind, far = text_kind(t, known, far_of[lang] if lang else 1.0) if text is not None else (None, None)
     visible = sum(map(len, t.split()))

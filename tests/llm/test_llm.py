@@ -132,6 +132,28 @@ def test_divergence():
     assert quality.divergence({"a": 1}, {"a": 7}) == pytest.approx(0) and quality.divergence({"a": 1}, {"b": 1}) == pytest.approx(1) and quality.divergence({}, {"a": 1}) == 1
 
 
+@pytest.mark.parametrize(("text", "language"), [("A Marta canta bem.", "pt"), ("Kot i pies.", "pl")])
+def test_language_third_by_words(text, language):
+    assert quality.statistics(text, None, quality.Classes())["language"] == language  # two languages before it have as many of the words
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(sorted(quality.FUNCTION)), min_size=1, max_size=12))
+def test_language_nearest_of_all(words):
+    def entropy(x):
+        return -(x[x > 0] * np.log2(x[x > 0])).sum()
+
+    vocabulary = sorted(quality.FUNCTION)
+    p = np.array([words.count(w) for w in vocabulary], float) / len(words)
+    far = {}
+    for k, v in quality.PROFILES_LANG.items():
+        q = np.array([v.get(w, 0) for w in vocabulary])
+        q /= q.sum()
+        far[k] = entropy((p + q) / 2) - (entropy(p) + entropy(q)) / 2
+    got = quality.statistics(" ".join(words), None, quality.Classes())
+    assert got["language_divergence"] == pytest.approx(min(far.values())) and far[got["language"]] == pytest.approx(min(far.values()))
+
+
 # ---- 3 scans
 PAGE = "The pleas-\nant column was seen by thé river, and the wide-\n[ 12 ]\nTHE VALLEY OF HALLE\nranging framéwork stood near the old column of stone there.\n\nIV.\n\nThe colurnn was old and the river was very wide there too."
 FILL = "\n".join(["The pleasant column was seen by the river, and the wide-ranging framework stood near the old column of stone."] * 30)
